@@ -16,15 +16,17 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+_MARK = re.compile(r"\{(" + "|".join(TABLES) + r")\}")
+
+
 def derive(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     """Run a derivation on Spark; ``{name}`` marks a given table."""
-    used = sorted(set(re.findall(r"\{(\w+)\}", sql)))
-    return spark.sql(sql, **{t: read(spark, sf, t) for t in used})
+    return spark.sql(_MARK.sub(lambda m: f"parquet.`{sf}/{m[1]}.parquet`", sql))
 
 
 def plain(sql: str) -> str:
     """The same derivation as DuckDB reads it."""
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return _MARK.sub(lambda m: m[1], sql)
 
 
 # Customers as items of a three-level tree: region, nation, market segment. One segment has no
