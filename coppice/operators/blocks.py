@@ -53,18 +53,18 @@ def cosine_cost(x, xw, y, yw):
     return cosine(x, y)
 
 
-def best_group(rows: DataFrame, groups: DataFrame, cost: Callable, block: int = GROUP_BLOCK) -> DataFrame:
+def best_group(rows: DataFrame, groups: DataFrame, cost: Callable, block: int = GROUP_BLOCK, written: bool = False) -> DataFrame:
     """``(id, gid, cost)``: the cheapest group for every row; ties go to the lowest group number.
 
-    ``rows(id, vec[, w, own, parent])``, ``groups(gid, vec[, w, parent])``. A row never matches the
-    group ``own`` and, with ``parent``, only groups of the same parent; a row without any candidate
+    ``rows(id, vec[, w, own, scope])``, ``groups(gid, vec[, w, scope])``. A row never matches the
+    group ``own`` and, with ``scope``, only groups of the same scope; a row without any candidate
     is absent. At most about ``block`` groups are held at a time, however many there are, and the
-    rows are never shuffled.
+    rows are never shuffled. ``written`` says that ``groups`` is already a table.
     """
-    has = {c: c in rows.columns for c in ("w", "own", "parent")}
+    has = {c: c in rows.columns for c in ("w", "own", "scope")}
     cols = ["id", "vec", *[c for c in has if has[c]]]
-    take = ["gid", "vec", *[c for c in ("w", "parent") if has[c]]]
-    groups = cut(groups.select(*take))
+    take = ["gid", "vec", *[c for c in ("w", "scope") if has[c]]]
+    groups = groups.select(*take) if written else cut(groups.select(*take))
     passes = max(1, math.ceil(groups.count() / block))
     found = []
     for b in range(passes):
@@ -74,7 +74,7 @@ def best_group(rows: DataFrame, groups: DataFrame, cost: Callable, block: int =
             continue
         gid, vec = held["gid"].to_numpy(), matrix(held["vec"])
         gw = held["w"].to_numpy(float) if has["w"] else None
-        gp = held["parent"].to_numpy() if has["parent"] else None
+        gp = held["scope"].to_numpy() if has["scope"] else None
 
         def nearest(batches: Iterator[pd.DataFrame], gid=gid, vec=vec, gw=gw, gp=gp) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -84,8 +84,8 @@ def best_group(rows: DataFrame, groups: DataFrame, cost: Callable, block: int =
                          vec, gw[None, :] if has["w"] else None)
                 if has["own"]:
                     c = np.where(pdf["own"].to_numpy()[:, None] == gid[None, :], np.inf, c)
-                if has["parent"]:
-                    c = np.where(pdf["parent"].to_numpy()[:, None] == gp[None, :], c, np.inf)
+                if has["scope"]:
+                    c = np.where(pdf["scope"].to_numpy()[:, None] == gp[None, :], c, np.inf)
                 at = c.argmin(axis=1)
                 low = c[np.arange(len(pdf)), at]
                 out = pd.DataFrame({"id": pdf["id"], "gid": gid[at], "cost": low})
@@ -103,23 +103,32 @@ def best_group(rows: DataFrame, groups: DataFrame, cost: Callable, block: int =
     return out.groupBy("id").agg(best).select("id", "b.gid", "b.cost")
 
 
-def over_tiles(left: DataFrame, right: DataFrame, n_left: int, n_right: int, fn: Callable, schema: str,
-               tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Run ``fn(left_block, right_block)`` for every pair of blocks; both sides have a unique ``id``.
+def over_tiles(left: DataFrame, right: DataFrame, fn: Callable, schema: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Run ``fn(left_block, right_block)`` for every pair of blocks of the same scope.
 
-    The block of a row is a hash of its id, so blocks are even whatever the data looks like.
+    Both sides have a unique ``id`` and may have an integer ``scope``; rows of different scopes never
+    meet. The block of a row is a hash of its id (or of a ``block_key`` column), and a scope has as
+    many blocks as its size asks for, so blocks stay even and bounded whatever the data looks like.
     """
-    lb, rb = max(1, math.ceil(n_left / tile_rows)), max(1, math.ceil(n_right / tile_rows))
+    left, right = (df if "scope" in df.columns else df.withColumn("scope", F.lit(0)) for df in (left, right))
 
-    def placed(df: DataFrame, blocks: int, others: int, mine: str, other: str) -> DataFrame:
-        home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias(mine)
-        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)
-        out = df.select("*", home, every)
+    def count(df: DataFrame, name: str) -> DataFrame:
+        out = df.groupBy("scope").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias(name))
         return out.toDF(*out.columns)
 
-    a = placed(left, lb, rb, "_i", "_j").groupBy("_i", "_j")
-    b = placed(right, rb, lb, "_j", "_i").groupBy("_i", "_j")
-    names = [p.strip().split(" ")[0] for p in schema.split(",")]
+    lb, rb = count(left, "_lb"), count(right, "_rb")
+
+    def placed(df: DataFrame, mine: str, other: str, own: str, others: str) -> DataFrame:
+        key = "block_key" if "block_key" in df.columns else "id"
+        home = F.pmod(F.xxhash64(key), F.col(own)).cast("int").alias(mine)
+        every = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other)
+        out = df.join(lb, "scope").join(rb, "scope").select(*df.columns, home, every)
+        return out.toDF(*out.columns)
+
+    tile_key = ["scope", "_i", "_j"]
+    a = placed(left, "_i", "_j", "_lb", "_rb").groupBy(*tile_key)
+    b = placed(right, "_j", "_i", "_rb", "_lb").groupBy(*tile_key)
+    names = [p.strip().split(" ")[0] for p in schema.split(", ")]
 
     def tile(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if not len(lp) or not len(rp):

@@ -52,8 +52,8 @@ def nearest_centroid(items: DataFrame, groups: DataFrame, metric: str = "euclide
 def closest_groups(groups: DataFrame) -> DataFrame:
     """``(gid, other, similarity)``: every group's most similar other group by cosine.
 
-    ``groups(gid, vec[, parent])``; with ``parent`` only siblings are compared. The most similar
-    pair overall, or per parent, is the maximum of this table: no list of pairs is needed.
+    ``groups(gid, vec[, scope])``; with ``scope`` only siblings are compared. The most similar
+    pair overall, or per scope, is the maximum of this table: no list of pairs is needed.
     """
     rows = groups.withColumn("id", F.col("gid")).withColumn("own", F.col("gid"))
     near = bl.best_group(rows, groups, bl.cosine_cost)
@@ -66,71 +66,95 @@ def cluster_numbers(assignments: DataFrame) -> DataFrame:
     return number_rows(sizes, ["config_id", "cluster"], "g").withColumn("g", F.col("g") - 1)
 
 
+def _slices(configs: np.ndarray) -> list[tuple[int, int]]:
+    """Cluster ranges of bounded width that keep a configuration together where it fits."""
+    edges = [0, *(np.flatnonzero(configs[1:] != configs[:-1]) + 1).tolist(), len(configs)]
+    out, start = [], 0
+    for lo, hi in zip(edges, edges[1:]):
+        if hi - start > CLUSTER_SLICE and lo > start:
+            out.append((start, lo))
+            start = lo
+        while hi - start > CLUSTER_SLICE:
+            out.append((start, start + CLUSTER_SLICE))
+            start += CLUSTER_SLICE
+    return [*out, (start, len(configs))] if start < len(configs) else out
+
+
 def silhouette_values(vectors: DataFrame, assignments: DataFrame, tile_rows: int = bl.TILE_ROWS) -> DataFrame:
     """``(item_id, config_id, a, b, s)``: exact euclidean silhouette of every item.
 
     One pass over the distance tiles serves all configurations: a tile multiplies its distances
     with the cluster indicators and returns, per item, the distance sums to the clusters. Clusters
     are taken a slice at a time, so the sums stay short even for a labelling with very many
-    clusters. Every configuration must label every item.
+    clusters. ``vectors`` may carry a ``scope``; configurations then label the items of one scope
+    and only those are compared.
     """
     numbers = cut(cluster_numbers(assignments))
-    total = numbers.count()
+    ordered = numbers.select("config_id", "g").toPandas().sort_values("g")
     wide = (
         assignments.join(numbers.select("config_id", "cluster", "g"), ["config_id", "cluster"])
         .groupBy("item_id").agg(F.array_sort(F.collect_list("g")).alias("labels"))
     )
-    rows = cut(vectors.join(wide, "item_id").select(F.col("item_id").alias("id"), "features", "labels"))
-    n = rows.count()
+    keep = [c for c in ("scope",) if c in vectors.columns]
+    rows = cut(vectors.join(wide, "item_id").select(F.col("item_id").alias("id"), "features", "labels", *keep))
+    kind = dict(assignments.dtypes)["config_id"]
     parts = []
-    for start in range(0, total, CLUSTER_SLICE):
-        held = numbers.filter((F.col("g") >= start) & (F.col("g") < start + CLUSTER_SLICE)).toPandas().sort_values("g")
-        width, sizes = len(held), held["size"].to_numpy(float)
-        configs = held["config_id"].to_numpy()
+    slices = _slices(ordered["config_id"].to_numpy())
+    for start, stop in slices:
+        held = numbers.filter((F.col("g") >= start) & (F.col("g") < stop)).toPandas().sort_values("g")
+        width, sizes, configs = len(held), held["size"].to_numpy(float), held["config_id"].to_numpy()
         edges = [0, *(np.flatnonzero(configs[1:] != configs[:-1]) + 1).tolist(), width]
+        config_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+
+        def placed(labels, start=start, width=width):
+            row = np.repeat(np.arange(len(labels)), [len(v) for v in labels])
+            lab = np.concatenate(labels.to_numpy()) - start
+            ok = (lab >= 0) & (lab < width)
+            return row[ok], lab[ok]
 
-        def sums(lp: pd.DataFrame, rp: pd.DataFrame, start=start, width=width) -> pd.DataFrame:
+        def sums(lp: pd.DataFrame, rp: pd.DataFrame, placed=placed, width=width) -> pd.DataFrame:
             member = np.zeros((len(rp), width))
-            lab = np.stack(rp["labels"].to_numpy()) - start
-            r, c = np.nonzero((lab >= 0) & (lab < width))
-            member[r, lab[r, c]] = 1.0
+            member[placed(rp["labels"])] = 1.0
             out = bl.euclidean(bl.matrix(lp["features"]), bl.matrix(rp["features"]))
-            same = lp["id"].to_numpy()[:, None] == rp["id"].to_numpy()[None, :]
-            out[same] = 0.0
+            out[lp["id"].to_numpy()[:, None] == rp["id"].to_numpy()[None, :]] = 0.0
             return pd.DataFrame({"id": lp["id"], "sums": list(out @ member)})
 
-        tiles = bl.over_tiles(rows, rows, n, n, sums, "id long, sums array<double>", tile_rows)
+        tiles = bl.over_tiles(rows, rows, sums, "id long, sums array<double>", tile_rows)
         totals = tiles.groupBy("id").agg(vx.sum_vector(F.col("sums")).alias("sums")).join(rows.select("id", "labels"), "id")
 
-        def finish(batches, start=start, sizes=sizes, configs=configs, edges=edges):
+        def finish(batches, placed=placed, sizes=sizes, configs=configs, edges=edges, config_of=config_of, split=len(slices) > 1):
             for pdf in batches:
                 if not len(pdf):
                     continue
-                s, lab = bl.matrix(pdf["sums"]), np.stack(pdf["labels"].to_numpy()) - start
-                at = np.arange(len(pdf))
-                for lo, hi in zip(edges, edges[1:]):
-                    inside = (lab >= lo) & (lab < hi)
-                    mine = np.where(inside.any(1), np.where(inside, lab, 0).sum(1), -1)
-                    own = mine >= 0
-                    col = np.where(own, mine - lo, 0)
-                    seg, size = s[:, lo:hi], sizes[lo:hi]
-                    near = seg / size
-                    near[at[own], col[own]] = np.inf
+                s = bl.matrix(pdf["sums"])
+                own = np.full((len(pdf), len(edges) - 1), -1)
+                row, lab = placed(pdf["labels"])
+                own[row, config_of[lab]] = lab
+                for c, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                    at = np.arange(len(pdf)) if split else np.flatnonzero(own[:, c] >= 0)
+                    if not len(at):
+                        continue
+                    mine, size = own[at, c], sizes[lo:hi]
+                    seg = s[at, lo:hi]
+                    near, here, col = seg / size, np.flatnonzero(mine >= 0), mine - lo
+                    near[here, col[here]] = np.inf
                     b = near.min(axis=1)
-                    m = size[col]
-                    a = np.where(own & (m > 1), seg[at, col] / np.maximum(m - 1, 1), np.nan)
+                    a, alone = np.full(len(at), np.nan), np.zeros(len(at), bool)
+                    m = size[col[here]]
+                    a[here] = np.where(m > 1, seg[here, col[here]] / np.maximum(m - 1, 1), 0.0)
+                    alone[here] = m == 1
                     yield pd.DataFrame({
-                        "item_id": pdf["id"], "config_id": configs[lo], "a": a,
-                        "b": np.where(np.isfinite(b), b, np.nan), "alone": own & (m == 1)})
+                        "item_id": pdf["id"].to_numpy()[at], "config_id": configs[lo], "a": a,
+                        "b": np.where(np.isfinite(b), b, np.nan), "alone": alone})
 
-        kind = dict(assignments.dtypes)["config_id"]
         part = totals.mapInPandas(finish, f"item_id long, config_id {kind}, a double, b double, alone boolean")
         parts.append(part.withColumn("a", F.nanvl("a", F.lit(None))).withColumn("b", F.nanvl("b", F.lit(None))))
     both = parts[0]
     for more in parts[1:]:
         both = both.unionByName(more)
     if len(parts) > 1:
-        both = both.groupBy("item_id", "config_id").agg(F.max("a").alias("a"), F.min("b").alias("b"), F.max("alone").alias("alone"))
+        both = both.groupBy("item_id", "config_id").agg(
+            F.max("a").alias("a"), F.min("b").alias("b"), F.max("alone").alias("alone")).filter("a is not null")
     top = F.greatest("a", "b")
     s = F.when(F.col("alone") | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
     return both.select("item_id", "config_id", "a", "b", F.coalesce(s, F.lit(0.0)).alias("s"))
@@ -191,15 +215,15 @@ def davies_bouldin(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
     """``(config_id, davies_bouldin)``: mean over clusters of the worst (s_i + s_j) / d_ij."""
     numbers = cut(cluster_numbers(assignments))
     config = numbers.groupBy("config_id").agg(
-        F.min("g").alias("parent"), F.count("*").alias("k"), F.sum("size").alias("n"))
+        F.min("g").alias("scope"), F.count("*").alias("k"), F.sum("size").alias("n"))
     labelled = assignments.join(vectors, "item_id").select("item_id", "config_id", "cluster", "features")
     spread = own_centroid_distance(labelled, ["config_id", "cluster"]).groupBy("config_id", "cluster").agg(
         F.avg("distance").alias("w"))
     groups = cut(
         centroids(labelled, ["config_id", "cluster"]).join(spread, ["config_id", "cluster"])
         .join(numbers.select("config_id", "cluster", "g"), ["config_id", "cluster"])
-        .join(config.select("config_id", "parent"), "config_id")
-        .select(F.col("g").alias("gid"), F.col("centroid").alias("vec"), "w", "parent"))
+        .join(config.select("config_id", "scope"), "config_id")
+        .select(F.col("g").alias("gid"), F.col("centroid").alias("vec"), "w", "scope"))
     rows = groups.withColumn("id", F.col("gid")).withColumn("own", F.col("gid"))
     worst = bl.best_group(rows, groups, _davies_cost).select(F.col("id").alias("g"), (-F.col("cost")).alias("worst"))
     mean = numbers.join(worst, "g").groupBy("config_id").agg(F.avg("worst").alias("value"))

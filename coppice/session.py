@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +42,43 @@ def shared_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="coppice-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
+    _ship(spark, folder)
     return folder
 
 
+def _ship(spark: SparkSession, folder: str) -> None:
+    """Give this package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if any(f.endswith("coppice.zip") for f in sc._python_includes):
+        return
+    package, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/code-{uuid.uuid4().hex}/coppice.zip")
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(target)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(fs.makeQualified(target).toString())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and forget how it was made."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The plan starts over from files every executor can reach, so a lost executor costs a re-read.
+    Unlike a checkpoint the table keeps its true size in the plan, which lets the optimizer
+    broadcast it when it is small, and later steps read only the columns they use.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def number_rows(df: DataFrame, order: list, name: str = "row_no", within: list[str] | None = None) -> DataFrame:

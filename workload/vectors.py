@@ -81,7 +81,7 @@ SELECT CAST(g AS BIGINT) AS gid, CAST(o AS BIGINT) AS other, round(s, 6) AS simi
 QUALIFY row_number() OVER (PARTITION BY g ORDER BY s DESC, o) = 1""")
 
 register("sibling_pairs", lambda s, d: vm.closest_groups(
-    groups(s, d).select("gid", "vec", (F.col("gid") % 3).alias("parent"))).select(
+    groups(s, d).select("gid", "vec", (F.col("gid") % 3).alias("scope"))).select(
     "gid", "other", F.round("similarity", 6).alias("similarity")), _E + """
 SELECT CAST(g AS BIGINT) AS gid, CAST(o AS BIGINT) AS other, round(s, 6) AS similarity FROM (
  SELECT x.cluster AS g, y.cluster AS o, list_cosine_similarity(x.c, y.c) AS s FROM c x JOIN c y
