@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.session import cut
+from coppice.session import cut, shared_dir
 
 GROUP_BLOCK = 4096
 TILE_ROWS = 1024
@@ -61,6 +61,7 @@ def best_group(rows: DataFrame, groups: DataFrame, cost: Callable, block: int =
     is absent. At most about ``block`` groups are held at a time, however many there are, and the
     rows are never shuffled. ``written`` says that ``groups`` is already a table.
     """
+    shared_dir(rows.sparkSession)
     has = {c: c in rows.columns for c in ("w", "own", "scope")}
     cols = ["id", "vec", *[c for c in has if has[c]]]
     take = ["gid", "vec", *[c for c in ("w", "scope") if has[c]]]
@@ -110,6 +111,7 @@ def over_tiles(left: DataFrame, right: DataFrame, fn: Callable, schema: str, til
     meet. The block of a row is a hash of its id (or of a ``block_key`` column), and a scope has as
     many blocks as its size asks for, so blocks stay even and bounded whatever the data looks like.
     """
+    shared_dir(left.sparkSession)
     left, right = (df if "scope" in df.columns else df.withColumn("scope", F.lit(0)) for df in (left, right))
 
     def count(df: DataFrame, name: str) -> DataFrame:
