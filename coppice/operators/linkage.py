@@ -167,19 +167,24 @@ def _mutual_pairs(near: DataFrame) -> DataFrame:
 
 
 def find_roots(pointers: DataFrame, keys: list[str]) -> DataFrame:
-    """Follow ``(keys, node, up)`` to the end by pointer doubling; a root points to itself."""
-    p = cut(pointers.select(*keys, "node", "up"))
-    while True:
-        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    """Follow ``(keys, node, up)`` to the end by pointer doubling; a root points to itself.
+
+    Two doublings per written table, so the rounds are half the logarithm of the longest path.
+    """
+    def double(p: DataFrame) -> DataFrame:
         on = F.col("a.up") == F.col("b.node")
-        for s in same:
-            on = on & s
-        nxt = cut(p.alias("a").join(p.alias("b"), on).select(
+        for k in keys:
+            on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        return p.alias("a").join(p.alias("b"), on).select(
             *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.node").alias("node"), F.col("b.up").alias("up"),
-            (F.col("a.up") != F.col("b.up")).alias("_moved")))
-        if not nxt.filter("_moved").take(1):
-            return nxt.drop("_moved")
-        p = nxt.drop("_moved")
+            (F.col("a.up") != F.col("b.up")).alias("_moved"))
+
+    p = cut(pointers.select(*keys, "node", "up"))
+    while True:
+        p = cut(double(double(p)))
+        if not p.filter("_moved").take(1):
+            return p.drop("_moved")
+        p = p.drop("_moved")
 
 
 def cut_tree(items: DataFrame, tree: DataFrame, ks: list[int]) -> DataFrame:

@@ -8,7 +8,9 @@ cluster counts and all groups; candidates come back in one long assignment table
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from coppice.operators.tag_metrics import tag_metrics
 from coppice.session import cut, number_rows
 
 CONFIG = ["scope", "ord"]
+PARALLEL_FITS = 6  # algorithms fitted side by side; each is a series of Spark jobs of its own
 
 
 def _scoped(items: DataFrame) -> DataFrame:
@@ -60,16 +63,19 @@ def candidate_sweep(items: DataFrame, configs: list[tuple], gate_spectral: bool
     plan = scores.valid_configs(sizes, configs, ["scope"]) if gate_spectral else _ungated(sizes, configs)
     plan = cut(plan)
     wanted = {(r["algo"], r["method"]) for r in plan.select("algo", "method").distinct().collect()}
-    parts, failed = [], []
     gate = rows.join(sizes.filter(F.col("n") <= cfg.SPECTRAL_MAX_ITEMS), "scope", "left_semi") if gate_spectral else rows
-    for key, fit in {**_fits(rows, [c for c in configs if c[0] != "spectral"], starts),
-                     **_fits(gate, [c for c in configs if c[0] == "spectral"], starts)}.items():
-        if key not in wanted:
-            continue
+    fits = {**_fits(rows, [c for c in configs if c[0] != "spectral"], starts), **_fits(gate, [c for c in configs if c[0] == "spectral"], starts)}
+
+    def attempt(key: tuple):
         try:
-            parts.append(cut(fit().withColumn("algo", F.lit(key[0])).withColumn("method", F.lit(key[1]).cast("string"))))
+            return cut(fits[key]().withColumn("algo", F.lit(key[0])).withColumn("method", F.lit(key[1]).cast("string")))
         except Exception as e:  # a fit that breaks down costs its candidates, not the sweep
-            failed.append((key[1] or key[0], f"{type(e).__name__}: {e}"[:500]))
+            return key[1] or key[0], f"{type(e).__name__}: {e}"[:500]
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        done = pool.map(inheritable_thread_target(spark)(attempt), [k for k in fits if k in wanted], chunksize=1)
+    parts = [d for d in done if isinstance(d, DataFrame)]
+    failed = [d for d in done if not isinstance(d, DataFrame)]
     if not parts:
         return spark.createDataFrame([], "scope int, ord int, algo string, method string, size int, item_id long, cluster int"), failed
     long = parts[0]
