@@ -67,6 +67,8 @@ def best_group(rows: DataFrame, groups: DataFrame, cost: Callable, block: int =
     take = ["gid", "vec", *[c for c in ("w", "scope") if has[c]]]
     groups = groups.select(*take) if written else cut(groups.select(*take))
     passes = max(1, math.ceil(groups.count() / block))
+    if passes > 1:
+        rows = cut(rows.select(*cols))
     found = []
     for b in range(passes):
         mine = groups if passes == 1 else groups.filter(F.pmod(F.xxhash64("gid"), F.lit(passes)) == b)

@@ -93,9 +93,11 @@ def _starts(items: DataFrame, ks: list[int], starts: int, dims: Callable[[int],
         x = bl.matrix(part.sort_values("_rn")["vec"])
         for k in ks:
             if k < sizes[scope]:
+                part_x = x[:, :dims(k)]
+                still = KMEANS_TOL * max(float(part_x.var(axis=0).mean()), 1e-12)
                 for s in range(starts):
-                    centres = _spread_out(x[:, :dims(k)], k, np.random.RandomState(SEED + s))
-                    models.append({"scope": int(scope), "k": k, "start": s, "centres": centres, "cost": np.inf})
+                    centres = _spread_out(part_x, k, np.random.RandomState(SEED + s))
+                    models.append({"scope": int(scope), "k": k, "start": s, "centres": centres, "cost": np.inf, "still": still})
     return models, sizes
 
 
@@ -131,9 +133,8 @@ def kmeans_models(items: DataFrame, ks: list[int], starts: int = KMEANS_STARTS,
         still = []
         for m, centres, total in zip(live, new, cost):
             moved = ((centres - m["centres"]) ** 2).sum()
-            scale = max(float(np.var(m["centres"], axis=0).mean()), 1e-12)
             m["centres"], m["cost"] = centres, total
-            if moved > KMEANS_TOL * scale:
+            if moved > m["still"]:
                 still.append(m)
         live = still
     return models

@@ -22,7 +22,7 @@ from coppice.functions import vectors as vx
 from coppice.operators import blocks as bl
 from coppice.session import cut
 
-TAIL_GROUPS = 256  # groups per scope that one task may finish
+TAIL_GROUPS = 512  # groups per scope that one task may finish
 DIGITS = 10  # costs closer than this are ties, so that both sides of a pair agree
 
 
@@ -88,13 +88,11 @@ def dendrogram(items: DataFrame, method: str = "ward") -> DataFrame:
     while groups.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") > TAIL_GROUPS).take(1):
         rows = groups.withColumn("id", F.col("gid")).withColumn("own", F.col("gid"))
         near = cut(_complete_nearest(members) if members is not None else bl.best_group(rows, groups, cost, written=True))
-        mutual = cut(_mutual_pairs(near))
-        if not mutual.take(1):
-            mutual = near.orderBy("cost", "id").limit(1).select(
+        step = cut(_merge_rows(_mutual_pairs(near), groups, offset))
+        if step.isEmpty():
+            closest = near.orderBy("cost", "id").limit(1).select(
                 F.least("id", "gid").alias("a"), F.greatest("id", "gid").alias("b"), "cost")
-        both = mutual.select("a", "cost", F.explode(F.array("a", "b")).alias("gid"))
-        step = cut(both.join(groups.select("gid", "scope"), "gid").select(
-            "scope", F.col("gid").alias("node"), (F.col("a") + offset).alias("up"), F.col("cost").alias("height")))
+            step = cut(_merge_rows(closest, groups, offset))
         steps.append(step)
         to = step.select(F.col("node").alias("gid"), "up")
         weighted = F.transform("vec", lambda v: v * F.col("w"))
@@ -159,6 +157,12 @@ def _tail(groups: DataFrame, members: DataFrame | None, method: str, offset: int
     return far.groupBy("scope").applyInPandas(finish, "node long, up long, height double, scope int").select("scope", "node", "up", "height")
 
 
+def _merge_rows(pairs: DataFrame, groups: DataFrame, offset: int) -> DataFrame:
+    both = pairs.select("a", "cost", F.explode(F.array("a", "b")).alias("gid"))
+    return both.join(groups.select("gid", "scope"), "gid").select(
+        "scope", F.col("gid").alias("node"), (F.col("a") + offset).alias("up"), F.col("cost").alias("height"))
+
+
 def _mutual_pairs(near: DataFrame) -> DataFrame:
     """Pairs of groups that are each other's nearest, once each."""
     a, b = near.alias("a"), near.alias("b")

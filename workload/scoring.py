@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from coppice import settings as cfg
@@ -267,5 +269,16 @@ register("config_grid", lambda s, d: grid(s, d).select("config_id", "model", "va
          _G + "SELECT concat(model, '_', variant, '_', cluster_algo) AS config_id, model, variant, cluster_algo FROM g")
 register("config_label", lambda s, d: grid(s, d).groupBy("cluster_algo").agg(F.count("*").alias("n")),
          _G + "SELECT cluster_algo, count(*) AS n FROM g GROUP BY 1")
-register("candidate_union", lambda s, d: hi.cluster_distribution(labelled(s, d).select("config_id", "item_id", "cluster")).select("config_id", "n_items"),
-         _I + _LAB + "SELECT config_id, CAST(sum(n) AS BIGINT) AS n_items FROM sz GROUP BY 1")
+
+
+def _union(spark, sf):
+    """Three labellings of the parts in one candidate list, in generation order."""
+    p = read(spark, sf, "part")
+    ways = [("brand", F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int")), ("size", F.col("p_size") % 7), ("type", F.length("p_type"))]
+    parts = [p.select(F.lit(i).alias("ord"), F.lit(n).alias("config_id"), F.col("p_partkey").alias("item_id"), c.alias("cluster")) for i, (n, c) in enumerate(ways)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+register("candidate_union", _union, """
+SELECT 0 AS ord, 'brand' AS config_id, p_partkey AS item_id, CAST(replace(p_brand, 'Brand#', '') AS INT) AS cluster FROM part
+UNION ALL SELECT 1, 'size', p_partkey, p_size % 7 FROM part UNION ALL SELECT 2, 'type', p_partkey, CAST(length(p_type) AS INT) FROM part""")
