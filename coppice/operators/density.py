@@ -4,7 +4,8 @@
 2. the minimum spanning tree of the mutual reachability distances, by Boruvka rounds whose
    cheapest outgoing edges again come from the tiles;
 3. connected components of the tree at a ladder of edge lengths: every distinct length when there
-   are few, evenly spaced ones otherwise;
+   are few, evenly spaced ones otherwise (bounded scopes in one task each, others by hooking and
+   pointer doubling over all levels at once);
 4. the condensed tree, cluster stabilities and the excess-of-mass choice, as joins over the
    components that reach the minimum size.
 """
@@ -24,6 +25,7 @@ from coppice.functions import vectors as vx
 from coppice.session import cut, number_rows
 
 MAX_LEVELS = 64
+SMALL_SCOPE = 4096  # tree edges of a scope that one task may settle
 DIGITS = 10
 NOISE = -1
 
@@ -125,6 +127,41 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     return label
 
 
+def _members(tree: DataFrame, levels: DataFrame, keys: list[str]) -> DataFrame | None:
+    """``(keys, level, node, up)``: the component of every connected node at every level.
+
+    A scope of at most ``SMALL_SCOPE`` edges is settled in one task, level by level; larger ones go
+    through :func:`components`, all levels at once.
+    """
+    at = [*keys, "level"]
+    sized = tree.groupBy(*keys).agg((F.count("*") <= SMALL_SCOPE).alias("small"))
+    active = cut(tree.join(sized, keys).join(levels, keys).filter(F.col("w") <= F.col("eps")).groupBy(*keys, "small", "lo", "hi").agg(
+        F.min("level").alias("level")).select(*at, "small", F.col("lo").alias("a"), F.col("hi").alias("b")))
+    top = levels.groupBy(*keys).agg(F.max("level").alias("top"))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("level")
+        nodes, ends = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+        ends, lab = ends.reshape(-1, 2), np.arange(len(nodes))
+        out = []
+        steps = pdf["level"].to_numpy()
+        for level in range(int(steps[0]), int(pdf["top"].iloc[0]) + 1):
+            for a, b in ends[steps == level]:
+                low, high = sorted((lab[a], lab[b]))
+                lab[lab == high] = low
+            out.append(pd.DataFrame({"level": level, "node": nodes, "up": nodes[lab]}))
+        return pd.concat(out).assign(scope=int(pdf["scope"].iloc[0]), j=int(pdf["j"].iloc[0]))
+
+    found = active.filter("small").join(top, keys).groupBy(*keys).applyInPandas(settle, "scope int, j int, level int, node long, up long")
+    large = active.filter("not small")
+    if active.isEmpty():
+        return None
+    if not large.isEmpty():
+        reached = large.withColumnRenamed("level", "first").join(levels.select(*at), keys).filter("level >= first")
+        found = found.unionByName(components(reached, at))
+    return cut(found)
+
+
 def hdbscan(items: DataFrame, sizes: list[int], max_levels: int = MAX_LEVELS) -> DataFrame:
     """``(id, scope, k, cluster)`` with ``k`` the minimum size and ``-1`` for noise.
 
@@ -138,8 +175,7 @@ def hdbscan(items: DataFrame, sizes: list[int], max_levels: int = MAX_LEVELS) ->
     levels = cut(ladder(tree, max_levels))
     steps = levels.withColumn("next_eps", F.lead("eps").over(W.partitionBy(*keys).orderBy("level")))
     at = [*keys, "level"]
-    edges = tree.join(levels, keys).filter(F.col("w") <= F.col("eps")).select(*at, F.col("lo").alias("a"), F.col("hi").alias("b"))
-    members = components(edges, at)
+    members = _members(tree, levels, keys)
     if members is None:
         return rows.select("id", "scope", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("k"), F.lit(NOISE).alias("cluster"))
     size_of = F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("j") + 1)

@@ -92,7 +92,9 @@ def test_spectral_embedding_spans_the_leading_eigenvectors(spark):
     assert np.linalg.svd(q.T @ want)[1] == pytest.approx(np.ones(4), abs=1e-6)
 
 
-def test_density_clusters_and_noise(spark):
+@pytest.mark.parametrize("small", [4096, 10])
+def test_density_clusters_and_noise(spark, monkeypatch, small):
+    monkeypatch.setattr(de, "SMALL_SCOPE", small)
     x = np.vstack([BLOBS, np.random.default_rng(6).normal(size=(8, 6)) * 12])
     got = de.hdbscan(points(spark, x), [5, 10], 256)
     for k in (5, 10):
