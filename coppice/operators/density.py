@@ -204,7 +204,7 @@ def hdbscan(items: DataFrame, sizes: list[int], max_levels: int = MAX_LEVELS) ->
         F.max_by("head", "level").alias("head"))
     numbers = inside.groupBy(*keys, "head").agg(F.min("id").alias("low")).withColumn(
         "cluster", F.row_number().over(W.partitionBy(*keys).orderBy("low")) - 1)
-    found = inside.join(numbers, [*keys, "head"]).select("id", "scope", "j", "cluster")
+    found = inside.join(cut(numbers.drop("low")), [*keys, "head"]).select("id", "scope", "j", "cluster")
     every = rows.select("id", "scope", F.posexplode(F.array(*[F.lit(s) for s in sizes])).alias("j", "k"))
     return every.join(found, ["id", "scope", "j"], "left").select("id", "scope", "k", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 

@@ -69,7 +69,7 @@ def node_ids(paths: DataFrame) -> DataFrame:
 def assign_ids(result: DataFrame) -> DataFrame:
     """Add ``full_numeric_id``, the dotted id of the deepest node on the item's path."""
     ids = node_ids(path_counts(result)).select(*cfg.LEVELS, F.col("node_id").alias("full_numeric_id"))
-    return result.join(ids, cfg.LEVELS)
+    return result.join(cut(ids), cfg.LEVELS)
 
 
 def taxonomy_summary(result: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
@@ -168,7 +168,8 @@ def leaf_kpis(result: DataFrame) -> DataFrame:
         (F.max("n") * 100.0 / F.sum("n")).alias("largest_l1_pct"),
         F.when(F.max("deep"), 3).otherwise(2).alias("depth"),
     )
-    return leaves.withColumn("_k", F.lit(1)).join(tree.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = leaves.unionByName(tree, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def sunburst_levels(result: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ def attach_names(tree: DataFrame, names: DataFrame) -> DataFrame:
     only shown when its parent has more than one. Names are joined to the distinct paths first,
     so the item-side join is a single one.
     """
-    paths = tree.select("l1", "l2", "l3").distinct()
+    paths = cut(tree.select("l1", "l2", "l3").distinct())
     split = paths.groupBy("l1").agg((F.countDistinct("l2") > 1).alias("_split"))
 
     def level(n: int, keys: list[str]) -> DataFrame:
@@ -270,7 +271,7 @@ def attach_names(tree: DataFrame, names: DataFrame) -> DataFrame:
         F.when(F.col("_split"), F.coalesce("_n2", blank)).otherwise(blank).alias(L2),
         F.coalesce("_n3", blank).alias(L3),
     )
-    rows = tree.withColumn("_l3", F.coalesce("l3", F.lit(-1))).join(shown, ["l1", "l2", "_l3"])
+    rows = tree.withColumn("_l3", F.coalesce("l3", F.lit(-1))).join(cut(shown), ["l1", "l2", "_l3"])
     return with_paths(rows.drop("_l3"))
 
 

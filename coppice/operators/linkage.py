@@ -220,7 +220,7 @@ def _dense(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Replace roots by cluster numbers from 0, in the order of their smallest item."""
     lows = rows.groupBy(*keys, "root").agg(F.min("id").alias("low"))
     numbered = lows.withColumn("cluster", F.row_number().over(W.partitionBy(*keys).orderBy("low")) - 1)
-    return rows.join(numbered.drop("low"), [*keys, "root"]).drop("root")
+    return rows.join(cut(numbered.drop("low")), [*keys, "root"]).drop("root")
 
 
 def agglomerative(items: DataFrame, method: str, ks: list[int]) -> DataFrame:

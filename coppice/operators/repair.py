@@ -84,7 +84,7 @@ def reassign_orphans(tree: DataFrame, vectors: DataFrame, max_leaf: int = cfg.OR
     moves = cut(moves.select(F.col("id").alias("item_id"), F.col("gid").alias("from_leaf"), F.col("to").alias("to_leaf"),
                              "distance", F.col("cost").alias("new_distance")))
     target = moves.join(leaves.select(F.col("gid").alias("to_leaf"), *[F.col(c).alias(f"to{c}") for c in path]), "to_leaf")
-    moved = tree.join(target.select("item_id", *[f"to{c}" for c in path]), "item_id", "left")
+    moved = tree.join(cut(target.select("item_id", *[f"to{c}" for c in path])), "item_id", "left")
     new = [F.when(F.col("tol1").isNotNull(), F.col(f"to{c}")).otherwise(F.col(c)).alias(c) for c in path]
     return cut(_with_null(moved.select("item_id", *new))), moves
 
@@ -160,7 +160,7 @@ def merge_small_leaves(tree: DataFrame, vectors: DataFrame, small: int = cfg.SMA
     ids = next_child_ids(kids, adopted, "to", "l3", ["entry"]).select("to", "entry", F.col("new_id").alias("new_l3"))
     change = moved.join(entry.select("gid", "entry"), "gid").join(ids, ["to", "entry"], "left").join(
         groups.select("gid", "l1", "l2"), "gid").select("l1", "l2", "to_l2", "new_l3", F.lit(True).alias("_m"))
-    joined = tree.join(change, ["l1", "l2"], "left")
+    joined = tree.join(cut(change), ["l1", "l2"], "left")
     return cut(joined.select("item_id", "l1", F.coalesce("to_l2", "l2").alias("l2"),
                              F.when(F.col("_m"), F.col("new_l3")).otherwise(F.col("l3")).cast("int").alias("l3")))
 
@@ -186,5 +186,5 @@ def _merge_level(tree: DataFrame, vectors: DataFrame, threes: DataFrame, small:
     left = change.groupBy("parent").agg(F.countDistinct("to").alias("left"))
     change = change.join(left, "parent").select(
         "l1", "l2", "l3", F.when(F.col("left") > 1, F.col("to_l3")).alias("to_l3"), F.lit(True).alias("_m"))
-    joined = tree.join(change, ["l1", "l2", "l3"], "left")
+    joined = tree.join(cut(change), ["l1", "l2", "l3"], "left")
     return joined.select("item_id", "l1", "l2", F.when(F.col("_m"), F.col("to_l3")).otherwise(F.col("l3")).alias("l3"))

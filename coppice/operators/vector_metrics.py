@@ -31,7 +31,7 @@ def centroids(labelled: DataFrame, keys: list[str]) -> DataFrame:
 def own_centroid_distance(labelled: DataFrame, keys: list[str], metric: str = "euclidean") -> DataFrame:
     """Every item with its distance to its own group's centroid."""
     measure = vx.euclidean if metric == "euclidean" else vx.cosine_distance
-    joined = labelled.join(centroids(labelled, keys), keys)
+    joined = labelled.join(cut(centroids(labelled, keys)), keys)
     return joined.select(*labelled.columns, "n", measure(F.col("features"), F.col("centroid")).alias("distance"))
 
 

@@ -103,7 +103,8 @@ def number_rows(df: DataFrame, order: list, name: str = "row_no", within: list[s
     placed = placed.withColumn(name, base + F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_slot")
     if not within:
         return placed
-    firsts = placed.groupBy(*within).agg((F.min(name) - 1).alias("_first"))
+    # Written, so that its size is known and a short list of groups is broadcast to the rows.
+    firsts = cut(placed.groupBy(*within).agg((F.min(name) - 1).alias("_first")))
     same = None
     for c in within:
         hit = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice import settings as cfg
+from coppice.session import cut
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:
@@ -24,7 +25,7 @@ def write_review_files(review: DataFrame, summary: DataFrame, path: str, headers
     so its files are still in order and no task writes it alone. ``headers`` renames the columns to
     the reviewers' wording.
     """
-    last = review.groupBy("domain").agg(F.max("position").alias("_last"))
+    last = cut(review.groupBy("domain").agg(F.max("position").alias("_last")))
     piece = F.floor((F.col("position") - 1) * files_per_domain / F.col("_last"))
     placed = review.join(last, "domain").withColumn("_piece", piece).drop("_last")
     spread = placed.repartition("domain", "_piece").sortWithinPartitions("domain", "position").drop("_piece")

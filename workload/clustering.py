@@ -202,8 +202,8 @@ register("judged_shortlist", _judged)
 
 def _loop(spark, sf):
     labels, _, attempts = sw.correction_loop(vector_items(spark, sf), judge, [4, 6], [2, 3], [15], starts=2)
-    best = attempts.agg(F.max("quality").alias("quality"))
-    return labels.groupBy("l1", "l2").agg(F.count("*").alias("n")).withColumn("z", F.lit(0)).join(best.withColumn("z", F.lit(0)), "z").drop("z")
+    best = attempts.agg(F.max("quality")).first()[0]
+    return labels.groupBy("l1", "l2").agg(F.count("*").alias("n")).withColumn("quality", F.lit(best))
 
 
 register("correction_loop", _loop)
