@@ -40,10 +40,9 @@ def _complete_nearest(members: DataFrame) -> DataFrame:
     A small group stays in one block, so a tile settles its distance to other small groups by
     itself. Groups too large for that are spread by item and only their partial maxima travel.
     """
-    size = W.partitionBy("gid")
-    small = F.count("*").over(size) <= bl.TILE_ROWS // 4
-    rows = members.withColumn("whole", small).withColumn("block_key", F.when(F.col("whole"), F.col("gid")).otherwise(F.col("id")))
-    rows = cut(rows)
+    sizes = cut(members.groupBy("gid").agg((F.count("*") <= bl.TILE_ROWS // 4).alias("whole")))
+    key = F.when(F.col("whole"), F.col("gid")).otherwise(F.col("id"))
+    rows = cut(members.join(sizes, "gid").withColumn("block_key", key))
 
     def farthest(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         lp, rp = lp.sort_values("gid"), rp.sort_values("gid")
