@@ -122,19 +122,17 @@ register("embed_items", lambda s, d: em.embed_items(scoring.items(s, d).select("
     "item_id", "features"))
 
 
-def _length_model(texts):
-    """A stand-in embedding model: simple counts of the text it is given."""
-    return [[float(len(t)), float(t.count(" ")), float(t.count(";"))] for t in texts]
-
-
 def _cached(spark, sf):
     """Embed every document twice through the cache; only the texts that changed are embedded anew."""
+    def length_model(texts):
+        return [[float(len(t)), float(t.count(" ")), float(t.count(";"))] for t in texts]
+
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
     path = scratch_path(spark, "vectors")
     first = docs.withColumn("variant", F.lit("v1"))
-    em.embed_missing(spark, first, path, "counts", _length_model, max_chars=None)
+    em.embed_missing(spark, first, path, "counts", length_model, max_chars=None)
     edited = first.withColumn("text", F.when(F.col("item_id") % 5 == 0, F.concat("text", F.lit("; more"))).otherwise(F.col("text")))
-    got = em.embed_missing(spark, edited, path, "counts", _length_model, max_chars=None)
+    got = em.embed_missing(spark, edited, path, "counts", length_model, max_chars=None)
     total = em._stored(spark, path).groupBy("item_id").agg(F.count("*").alias("kept"))
     return got.select("item_id", F.col("features")[0].alias("length"), F.col("features")[1].alias("spaces"), F.col("features")[2].alias("semicolons")).join(total, "item_id")
 
