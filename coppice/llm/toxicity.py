@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from coppice.llm.common import keyed, ready, slices
 from coppice.llm.text_features import NAMES, text_features
 
-SAMPLE = 12_000
+SAMPLE = 6_000
 WORDS = 400
 FOLDS = 5
 ROUNDS = 300
