@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import binary_output, packing, quality, toxicity
+from coppice.llm import binary_output, cross_polytope, lm, packing, quality, toxicity, va_file
 from coppice.llm.common import fold, table
 
 
@@ -29,6 +29,28 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_cross_polytope(spark: SparkSession, sf: str) -> DataFrame:
+    return cross_polytope.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op6_va_file(spark: SparkSession, sf: str) -> DataFrame:
+    return va_file.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+def op7_log_bilinear(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.score(table(spark, sf, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
@@ -42,8 +64,11 @@ def op10_binary_output(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op5_cross_polytope": op5_cross_polytope,
+    "op6_va_file": op6_va_file,
+    "op7_log_bilinear": op7_log_bilinear,
     "op9_packing": op9_packing,
     "op10_binary_output": op10_binary_output,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_va_file": OP6_SQL}
