@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import binary_output, cross_polytope, lm, packing, quality, toxicity, va_file
+from coppice.llm import binary_output, cross_polytope, lm, mixing, packing, quality, toxicity, va_file
 from coppice.llm.common import fold, table
 
 
@@ -51,6 +51,10 @@ def op7_log_bilinear(spark: SparkSession, sf: str) -> DataFrame:
     return lm.score(table(spark, sf, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf, "documents")).digest()
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_cross_polytope": op5_cross_polytope,
     "op6_va_file": op6_va_file,
     "op7_log_bilinear": op7_log_bilinear,
+    "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_binary_output": op10_binary_output,
 }
