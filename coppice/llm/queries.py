@@ -8,10 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import binary_output, cross_polytope, lm, mixing, packing, quality, toxicity, va_file
+from coppice.llm import binary_output, cross_polytope, lm, mixing, near_dedup, packing, quality, toxicity, va_file
 from coppice.llm.common import fold, table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf, "documents"), words=3, parts=85, of=100)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     w AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM t),
+     s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS s
+           FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM w WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+     l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+     c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT l.a, c.r FROM c JOIN l ON l.b = c.doc_id WHERE c.r < l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.r AS component_id, d.doc_id = m.r AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS r FROM c GROUP BY doc_id) m ON m.doc_id = d.doc_id
+"""
+
+
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = quality.fit(docs, table(spark, sf, "labels"))
@@ -66,6 +84,7 @@ def op10_binary_output(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op5_cross_polytope": op5_cross_polytope,
@@ -76,4 +95,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_binary_output": op10_binary_output,
 }
 
-ORACLES: dict[str, str] = {"op6_va_file": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op6_va_file": OP6_SQL}
