@@ -10,8 +10,8 @@ meet again and again, others part. The number of independent trees follows from
 at the threshold (MISS). Nodes with few records (SMALL) compare all of theirs. In a larger node
 every record is first compared with one pivot; what is then in the pivot's component needs no more
 comparison inside it, so only the others meet the node's records, if they are few. Otherwise the node
-branches further, at most to DEEPEST, where the others are compared however many they are: no limit
-drops a pair.
+branches further, at most to DEEPEST; records that are still together there are compared all with
+all, block against block: no limit drops a pair.
 
 Sketches settle most comparisons (a pair at the threshold passes but once in a million); every link
 is confirmed on the full sets. Only components matter, so a pair that already is in one component is
@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -39,7 +40,9 @@ from coppice.llm.components import components
 SIGNATURE = 128
 START = 3  # levels before the first look at the nodes
 STEP = 3  # levels between looks
-DEEPEST = 15
+DEEPEST = 9
+#: Records of a family that a task compares with as many others.
+BLOCK = 512
 SMALL = 16
 MISS = 1e-6
 #: Sketch bits in which a pair at the threshold may differ, in standard deviations above the mean.
@@ -162,40 +165,98 @@ class Links:
         c = self.component.select(F.col("node").alias(col), F.col("component").alias(name))
         return df.join(c, col, "left").withColumn(name, F.coalesce(name, col))
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Compare the full sets of candidate pairs a, b and keep the links."""
-        pairs = settle(pairs.select("a", "b").distinct())
-        if not pairs.limit(1).count():
-            return
-        needed = pairs.select(F.col("a").alias("record")).union(pairs.select("b")).distinct()
-        ids = settle(needed.join(self.where, "record"))
-        n, parts, of = self.n, self.parts, self.of
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """record, items (sorted hashes) for a table of records, from the whole texts."""
+        ids = settle(needed.select("record").distinct().join(self.where, "record"))
+        n = self.n
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
                 s = [shingles(t, n) for t in b.column(1).to_pylist()]
                 names = [np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64).item() for x in s]
                 keep = [i for i, (x, y) in enumerate(zip(names, b.column(0).to_pylist())) if x == y]
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.int64()), pa.array([s[i].tobytes() for i in keep], pa.binary())], names=["record", "items"])
 
+        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("record", "text")
+        return settle(texts.mapInArrow(read, "record long, items binary").dropDuplicates(["record"]))
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Compare the full sets of candidate pairs a, b and keep the links."""
+        pairs = settle(pairs.select("a", "b").distinct())
+        if not pairs.limit(1).count():
+            return
+        parts, of = self.parts, self.of
+
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ok = []
-                for x, y in zip(b.column(2), b.column(3)):
-                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                    both = len(np.intersect1d(x, y, assume_unique=True)) if of * min(len(x), len(y)) >= parts * max(len(x), len(y)) else 0
-                    ok.append(of * both >= parts * (len(x) + len(y) - both))
+                ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), parts, of) for x, y in zip(b.column(2), b.column(3))]
                 yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("record", "text")
-        read = settle(texts.mapInArrow(sets, "record long, items binary").dropDuplicates(["record"]))
+        read = self.sets(pairs.select(F.col("a").alias("record")).union(pairs.select("b")))
         left, right = read.select(F.col("record").alias("a"), F.col("items").alias("x")), read.select(F.col("record").alias("b"), F.col("items").alias("y"))
-        found = settle(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+        self.add(settle(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")))
+
+    def add(self, found: DataFrame) -> None:
         if not found.limit(1).count():
             return
         before = self.component.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b") if self.component is not None else None
         self.component = components(found if before is None else before.unionByName(found))
 
+    def compare_families(self, members: DataFrame) -> None:
+        """Records that share nodes which do not part them (record, pivot): all of a family, block against block.
+
+        A task holds two blocks of at most about BLOCK records and gives back only links that join
+        two components, so a family of any size is compared whole without a list of its pairs.
+        """
+        family = settle(components(members.select(F.col("record").alias("a"), F.col("pivot").alias("b"))))
+        blocks = family.groupBy("component").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("blocks"))
+        placed = family.join(blocks, "component").select(F.col("node").alias("record"), F.col("component").alias("family"), "blocks")
+        placed = self.of_record(placed.withColumn("block", F.pmod(F.xxhash64("record"), F.col("blocks"))), "record", "c")
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        placed = placed.select("record", "family", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        parts, of = self.parts, self.of
+
+        def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(block_links(pdf["record"].tolist(), pdf["items"].tolist(), pdf["c"].tolist(), pdf["block"].to_numpy(), parts, of), columns=["a", "b"], dtype="int64")
+
+        with_sets = placed.join(self.sets(family.select(F.col("node").alias("record"))), "record")
+        self.add(settle(with_sets.groupBy("family", "lo", "hi").applyInPandas(meet, "a long, b long")))
+
+
+def similar(x: np.ndarray, y: np.ndarray, parts: int, of: int) -> bool:
+    """of * intersection >= parts * union, on sorted sets."""
+    if of * min(len(x), len(y)) < parts * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return of * both >= parts * (len(x) + len(y) - both)
+
+
+def block_links(names: list[int], items: list[bytes], known: list[int], block: np.ndarray, parts: int, of: int) -> list[tuple[int, int]]:
+    """Links that join components, among the records of one block or between two."""
+    sets = [np.frombuffer(x, np.uint64) for x in items]
+    sigs = np.array([signature(x) for x in sets])
+    need = parts / of - SPREAD * np.sqrt(parts / of * (1 - parts / of) / SIGNATURE)
+    root = {c: c for c in known}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out, two = [], block.min() != block.max()
+    for i in range(len(names)):
+        rest = np.flatnonzero(block > block[i]) if two else np.arange(i + 1, len(names))
+        if not len(rest):
+            continue
+        near = rest[(sigs[rest] == sigs[i]).mean(axis=1) >= need]
+        for j in near.tolist():
+            a, b = find(known[i]), find(known[j])
+            if a != b and similar(sets[i], sets[j], parts, of):
+                root[b] = a
+                out.append((names[i], names[j]))
+    return out
+
 
 def _far(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return F.bit_count(a1.bitwiseXOR(b1)) + F.bit_count(a2.bitwiseXOR(b2))
@@ -226,8 +287,7 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
         pairs = star.select(F.col("record").alias("a"), F.col("pivot").alias("b"))
         placed = settle(links.of_record(links.of_record(members.select("node", "record", "s1", "s2", "n", "pivot"), "record", "c"), "pivot", "pc"))
         others = placed.groupBy("node").agg(F.sum((F.col("c") != F.col("pc")).cast("long")).alias("others"))
-        last = depth >= DEEPEST
-        few = others.filter("others > 0") if last else others.filter(f"others > 0 and others <= {SMALL}")
+        few = others.filter(f"others > 0 and others <= {SMALL}")
         # the records outside the pivot's component meet all records of other components in the node
         out = placed.filter("c <> pc").join(few, "node").select("node", F.col("record").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("c").alias("ca"))
         met = out.join(placed.select("node", F.col("record").alias("b"), "s1", "s2", F.col("c").alias("cb")), "node")
@@ -236,11 +296,12 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
         more = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(met).distinct()
         more = links.of_record(links.of_record(more, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b").join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         links.confirm(more)
-        if last:
-            break
         many = settle(others.filter(f"others > {SMALL}").select("node"))
         if not many.limit(1).count():
             break
+        if depth >= DEEPEST:
+            links.compare_families(members.select("node", "record", "pivot").join(many, "node"))
+            break
         act = settle(_walk(members.select("node", "record").join(many, "node").join(records, "record"), threshold, None, STEP))
         depth += STEP
     return links.of_record(described.select("doc_id", "record", "n_shingles"), "record", "component")
