@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import binary_output, cross_polytope, lm, mixing, near_dedup, packing, quality, toxicity, va_file
+from coppice.llm import binary_output, cross_polytope, lm, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, va_file
 from coppice.llm.common import fold, table
 
 
@@ -47,6 +47,10 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf, "documents"))
+
+
 def op5_cross_polytope(spark: SparkSession, sf: str) -> DataFrame:
     return cross_polytope.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_cross_polytope": op5_cross_polytope,
     "op6_va_file": op6_va_file,
     "op7_log_bilinear": op7_log_bilinear,
