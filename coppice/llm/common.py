@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
     """Cut record batches so that each holds about SLICE_BYTES of text, however long the texts are."""
     for b in batches:
         col = b.column(b.schema.get_field_index(text))
-        size = np.array([len(x) if x is not None else 0 for x in col.cast(pa.large_binary()).to_pylist()], dtype=np.int64) if b.num_rows else np.zeros(0, np.int64)
+        size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         if size.sum() <= SLICE_BYTES:
             if b.num_rows:
                 yield b
@@ -69,9 +70,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
                 yield b.slice(lo, hi - lo)
 
 
-def lower_words(text: str | None) -> list[bytes]:
+def utf8(column: pa.Array) -> list[bytes | None]:
+    """A column of texts as UTF-8, without decoding them."""
+    return column.cast(pa.binary()).to_pylist()
+
+
+def lower_words(text: str | bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, as UTF-8; other letters stay as they are."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return raw.lower().split()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import fold, keyed, lower_words, ready, settle, slices
+from coppice.llm.common import fold, keyed, lower_words, ready, settle, slices, utf8
 
 #: Classes of the model: the words, one for the end of a text, one for all other words.
 VOCABULARY = 2046
@@ -146,7 +146,7 @@ class Scorer:
 _SCORERS: dict[int, Scorer] = {}
 
 
-def _ids(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+def _ids(texts: list[bytes | None], vocabulary: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     words = [[*lower_words(t), END] for t in texts]
     ends = np.cumsum([len(w) for w in words])
     get = vocabulary.get
@@ -161,7 +161,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         seen: Counter[bytes] = Counter()
         give = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
         for b in slices(batches):
-            for t in b.column(1).to_pylist():
+            for t in utf8(b.column(1)):
                 seen.update(lower_words(t))
             seen[END] += b.num_rows
             if len(seen) >= FLUSH:
@@ -208,7 +208,7 @@ def score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: st
             _SCORERS[name] = Scorer(Model.unpack(sent_model.value))
         scorer, (ours, common) = _SCORERS[name], sent_words.value
         for b in slices(batches):
-            words, ids, ends = _ids(b.column(1).to_pylist(), ours)
+            words, ids, ends = _ids(utf8(b.column(1)), ours)
             cuts = np.concatenate([[0], ends])
             p = np.concatenate([[0], np.cumsum(scorer.log10(ids, ends))])
             c = np.fromiter((common.get(x, 0) for w in words for x in w), np.int64, len(ids))
@@ -246,7 +246,7 @@ def _train_round(docs: DataFrame, model: Model, sent_words, unigram: np.ndarray,
         own, seen = Model.unpack(sent.value), 0
         steps = _Steps(own)
         for b in slices(batches):
-            _, ids, ends = _ids(b.column(1).to_pylist(), sent_words.value[0])
+            _, ids, ends = _ids(utf8(b.column(1)), sent_words.value[0])
             own = train(own, ids, ends, unigram, seen + 1 + 7919 * k, rate, steps)
             seen += len(ids)
         if seen:

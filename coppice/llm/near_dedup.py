@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import keyed, lower_words, mix64, ready, settle, slices
+from coppice.llm.common import keyed, lower_words, mix64, ready, settle, slices, utf8
 from coppice.llm.components import components
 
 SIGNATURE = 128
@@ -53,7 +53,7 @@ _MULTIPLY = _R.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) +
 _ADD = _R.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
+def shingles(text: str | bytes | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams; the whole sequence if there are fewer words."""
     words = lower_words(text)
     if not words:
@@ -114,7 +114,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for t in b.column(1).to_pylist():
+            for t in utf8(b.column(1)):
                 s = shingles(t, n)
                 if len(s):
                     sig = signature(s)
@@ -172,7 +172,7 @@ class Links:
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                s = [shingles(t, n) for t in b.column(1).to_pylist()]
+                s = [shingles(t, n) for t in utf8(b.column(1))]
                 names = [np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).astype(np.int64).item() for x in s]
                 keep = [i for i, (x, y) in enumerate(zip(names, b.column(0).to_pylist())) if x == y]
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.int64()), pa.array([s[i].tobytes() for i in keep], pa.binary())], names=["record", "items"])

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import mix64, ready, settle, slices
+from coppice.llm.common import mix64, ready, settle, slices, utf8
 
 MIN_BYTES = 100
 GRAM = 32
@@ -41,8 +41,8 @@ GRAM = 32
 CROWD = 8192
 #: Contexts that a task compares, about.
 BUCKET = 16_384
-#: Windows of a document that are looked at together (the places are packed in 24 bits).
-PIECE = 4 << 20
+#: Bytes that are looked at together; a longer text goes in pieces (the places are packed in 24 bits).
+PIECE = 1 << 19
 
 
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -190,13 +190,11 @@ def repeated_windows(contexts: list[bytes], size: int = MIN_BYTES) -> list[tuple
 _KEY = ["doc_id", "th"]
 
 
-def _keyed_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
-
-
-def _raw(column: pa.Array) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+def _keyed_bytes(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """doc_id, th, text: th tells different texts with one id apart, and is 0 where no id comes twice."""
+    name, text = F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    twice = docs.select(name).groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return docs.select(name, (F.hash(text) if twice else F.lit(0)).alias("th"), text.alias("text"), *more)
 
 
 def _same_key(a: DataFrame, b: DataFrame) -> Column:
@@ -210,44 +208,45 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for _, h, *_ in _anchor_rows(_raw(b.column(0))):
+            for _, h, *_ in _anchor_rows(utf8(b.column(0))):
                 u, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            for t, h, first, last, at in _anchor_rows(_raw(b.column(2))):
+            raw = utf8(b.column(2))
+            for t, h, first, last, at in _anchor_rows(raw):
+                marks = [xxhash.xxh3_64_intdigest(raw[i][a : z + MIN_BYTES], m) for i, a, z, m in zip(t.tolist(), first.tolist(), last.tolist(), (at - first).tolist())]
                 k = pa.array(t)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(k), b.column(1).take(k), *[pa.array(x.astype(np.int32)) for x in (first, last, at)]], names=["h", *_KEY, "first", "last", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(marks, np.uint64).view(np.int64)), b.column(0).take(k), b.column(1).take(k), *[pa.array(x.astype(np.int32)) for x in (first, last)]], names=["h", "mark", *_KEY, "first", "last"])
 
     twice = settle(rows.select("text").mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
-    hits = settle(rows.mapInArrow(places, "h long, doc_id long, th int, first int, last int, at int").join(twice, "h"))
-    lists = hits.groupBy(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("h", "first", "last", "at")).alias("hits"))
+    hits = settle(rows.mapInArrow(places, "h long, mark long, doc_id long, th int, first int, last int").join(twice, "h"))
+    where = F.struct("doc_id", "th", "first")
+    distinct = settle(hits.groupBy("h", "mark").agg(F.min(F.struct("doc_id", "th", "first", "last")).alias("w")))
+    later = hits.join(distinct.select("h", "mark", F.struct("w.doc_id", "w.th", "w.first").alias("w")), ["h", "mark"]).filter(where > F.col("w"))
+    spans = [settle(later.select(*_KEY, F.col("first").alias("start"), (F.col("last") + MIN_BYTES).alias("end")))]
+    crowd = settle(distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+
+    # one place of each context of an anchor that has several: their bytes
+    wanted = distinct.join(crowd, "h").select("h", "w.*", (F.col("n") > CROWD).alias("crowded"))
+    lists = wanted.groupBy(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("h", "first", "last", "crowded")).alias("hits"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            raw, lists = _raw(b.column(2)), b.column(3)
+            raw, lists = utf8(b.column(2)), b.column(3)
             flat, off = lists.flatten(), np.asarray(lists.value_lengths())
             row = np.repeat(np.arange(b.num_rows), off)
-            h, first, last, at = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            h, first, last, crowded = (flat.field(k) for k in range(4))
             for lo in range(0, len(row), 65_536):
-                s = slice(lo, lo + 65_536)
-                ctx = [raw[r][a : z + MIN_BYTES] for r, a, z in zip(row[s].tolist(), first[s].tolist(), last[s].tolist())]
-                mark = [xxhash.xxh3_128_digest(c + bytes([m & 255])) for c, m in zip(ctx, (at - first)[s].tolist())]
-                k = pa.array(row[s])
-                yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(mark, pa.binary()), b.column(0).take(k), b.column(1).take(k), pa.array(first[s]), pa.array(last[s]), pa.array(ctx, pa.binary())], names=["h", "mark", *_KEY, "first", "last", "ctx"])
-
-    contexts = rows.join(lists, _same_key(rows, lists)).select(*_KEY, "text", "hits").mapInArrow(cut_out, "h long, mark binary, doc_id long, th int, first int, last int, ctx binary")
-    contexts = settle(contexts)
-    where = F.struct("doc_id", "th", "first")
-    distinct = settle(contexts.groupBy("h", "mark").agg(F.min(where).alias("w"), F.first("ctx").alias("ctx")))
-    firsts = distinct.select("h", "mark", "w")
-    later = contexts.select("h", "mark", *_KEY, "first", "last").join(firsts, ["h", "mark"]).filter(where > F.col("w"))
-    spans = [later.select(*_KEY, F.col("first").alias("start"), (F.col("last") + MIN_BYTES).alias("end"))]
-
-    crowd = settle(distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
-    small = crowd.filter(f"n <= {CROWD}").select("h")
-    some = settle(distinct.join(small, "h"))
+                r, f, z = row[lo : lo + 65_536], first.slice(lo, 65_536), last.slice(lo, 65_536)
+                ctx = [raw[i][x : y + MIN_BYTES] for i, x, y in zip(r.tolist(), f.to_pylist(), z.to_pylist())]
+                k = pa.array(r)
+                yield pa.RecordBatch.from_arrays([h.slice(lo, 65_536), crowded.slice(lo, 65_536), b.column(0).take(k), b.column(1).take(k), f, pa.array(ctx, pa.binary())], names=["h", "crowded", *_KEY, "first", "ctx"])
+
+    lists = settle(lists)
+    contexts = settle(rows.join(lists, _same_key(rows, lists)).select(*_KEY, "text", "hits").mapInArrow(cut_out, "h long, crowded boolean, doc_id long, th int, first int, ctx binary"))
+    some = contexts.filter("not crowded")
     buckets = max(1, -(-some.count() // BUCKET))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -257,12 +256,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         base = pdf["first"].to_numpy()[i] if len(i) else np.zeros(0, np.int32)
         return pd.DataFrame({"known": pdf["known"].to_numpy()[i], "doc_id": pdf["doc_id"].to_numpy()[i], "th": pdf["th"].to_numpy()[i], "start": base + np.array([g[1] for g in got], np.int32), "end": base + np.array([g[2] for g in got], np.int32)})
 
-    flat = some.select(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"), F.col("w.doc_id").isNotNull().alias("known"), F.coalesce("w.doc_id", F.lit(0)).alias("doc_id"), "w.th", "w.first", "ctx")
+    flat = some.select(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "th", "first", "ctx")
     near = flat.groupBy("bucket").applyInPandas(compare, "known boolean, doc_id long, th int, start int, end int")
     spans.append(near.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "th", "start", "end"))
-    large = crowd.filter(f"n > {CROWD}").select("h")
-    if large.limit(1).count():
-        spans.append(_crowded(distinct.join(large, "h").select("w.doc_id", "w.th", "w.first", "ctx")))
+    if crowd.filter(f"n > {CROWD}").limit(1).count():
+        spans.append(_crowded(contexts.filter("crowded").select(*_KEY, "first", "ctx")))
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)
@@ -304,8 +302,8 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spans = repeats(docs, id_col, text_col).select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), "spans")
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(f"`{text_col}`").isNull().alias("_none"))
+    rows = _keyed_bytes(docs, id_col, text_col, rest.alias("_row"))
     return rows.join(spans, _same_key(rows, spans), "left")
 
 
@@ -316,7 +314,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for name, raw, spans in zip(b.column(0).to_pylist(), _raw(b.column(1)), b.column(2).to_pylist()):
+            for name, raw, spans in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist()):
                 cut = united([(s["start"], s["end"]) for s in spans or []])
                 rows.append((name, len(raw), sum(z - a for a, z in cut), len(cut), hashlib.sha256(kept(raw, cut)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -358,5 +356,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.Series(out)
 
     rows = _with_spans(docs, id_col, text_col)
-    changed = F.when(F.col("spans").isNull(), F.col(f"_row.`{text_col}`")).otherwise(strip("text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))))
+    changed = F.when(F.col("_row._none"), F.lit(None)).when(F.col("spans").isNull(), F.col("text")).otherwise(strip("text", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))))
     return rows.withColumn("_new", changed).select(*[F.col("_new").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
