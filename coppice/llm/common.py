@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import zlib
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.session import cut, shared_dir
+from coppice.session import scratch_path, shared_dir
 
 #: Texts handled at a time inside a task.
 SLICE_BYTES = 8 << 20
@@ -36,13 +37,31 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+#: Paths of the tables that ``settle`` wrote, by the frame that reads them.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder, read it back and let go of the shuffles that made it."""
-    out = cut(df)
-    release(df.sparkSession)
+    spark = df.sparkSession
+    path = scratch_path(spark, "llm")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    release(spark)
     return out
 
 
+def discard(*frames: DataFrame | None) -> None:
+    """Delete tables that ``settle`` wrote, once nothing will read them again."""
+    for df in frames:
+        path = _WRITTEN.pop(df, None) if df is not None else None
+        if path:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession) -> None:
     """Shuffle files go when the driver's JVM notices that nothing refers to them."""
     gc.collect()

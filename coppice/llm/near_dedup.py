@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import keyed, lower_words, mix64, ready, settle, slices, utf8
+from coppice.llm.common import discard, keyed, lower_words, mix64, ready, settle, slices, utf8
 from coppice.llm.components import components
 
 SIGNATURE = 128
@@ -178,7 +178,9 @@ class Links:
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.int64()), pa.array([s[i].tobytes() for i in keep], pa.binary())], names=["record", "items"])
 
         texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("record", "text")
-        return settle(texts.mapInArrow(read, "record long, items binary").dropDuplicates(["record"]))
+        out = settle(texts.mapInArrow(read, "record long, items binary").dropDuplicates(["record"]))
+        discard(ids)
+        return out
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare the full sets of candidate pairs a, b and keep the links."""
@@ -195,12 +197,15 @@ class Links:
         read = self.sets(pairs.select(F.col("a").alias("record")).union(pairs.select("b")))
         left, right = read.select(F.col("record").alias("a"), F.col("items").alias("x")), read.select(F.col("record").alias("b"), F.col("items").alias("y"))
         self.add(settle(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")))
+        discard(read, pairs)
 
     def add(self, found: DataFrame) -> None:
         if not found.limit(1).count():
             return
-        before = self.component.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b") if self.component is not None else None
+        old = self.component
+        before = old.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b") if old is not None else None
         self.component = components(found if before is None else before.unionByName(found))
+        discard(found, old)
 
     def compare_families(self, members: DataFrame) -> None:
         """Records that share nodes which do not part them (record, pivot): all of a family, block against block.
@@ -208,7 +213,7 @@ class Links:
         A task holds two blocks of at most about BLOCK records and gives back only links that join
         two components, so a family of any size is compared whole without a list of its pairs.
         """
-        family = settle(components(members.select(F.col("record").alias("a"), F.col("pivot").alias("b"))))
+        family = components(members.select(F.col("record").alias("a"), F.col("pivot").alias("b")))
         blocks = family.groupBy("component").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("blocks"))
         placed = family.join(blocks, "component").select(F.col("node").alias("record"), F.col("component").alias("family"), "blocks")
         placed = self.of_record(placed.withColumn("block", F.pmod(F.xxhash64("record"), F.col("blocks"))), "record", "c")
@@ -281,9 +286,9 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
         members = settle(act.join(nodes, "node").select("node", "record", "s1", "s2", "n", F.col("p.record").alias("pivot"), F.col("p.r").alias("r"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")))
         star = members.filter(F.col("record") != F.col("pivot")).filter(_far(F.col("s1"), F.col("s2"), F.col("p1"), F.col("p2")) <= most)
         star = settle(star.select("record", "pivot", "r").distinct())
-        # one pivot for each record first: that alone joins most groups of near copies
         one = star.groupBy("record").agg(F.min(F.struct("r", "pivot"))["pivot"].alias("b")).select(F.col("record").alias("a"), "b")
-        links.confirm(one)
+        if depth == START:  # one pivot for each record first: that alone joins most groups of near copies
+            links.confirm(one)
         pairs = star.select(F.col("record").alias("a"), F.col("pivot").alias("b"))
         placed = settle(links.of_record(links.of_record(members.select("node", "record", "s1", "s2", "n", "pivot"), "record", "c"), "pivot", "pc"))
         others = placed.groupBy("node").agg(F.sum((F.col("c") != F.col("pc")).cast("long")).alias("others"))
@@ -294,7 +299,9 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
         met = met.filter((F.col("ca") != F.col("cb")) & (_far(F.col("a1"), F.col("a2"), F.col("s1"), F.col("s2")) <= most))
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(met).distinct()
-        more = links.of_record(links.of_record(more, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b").join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        more = links.of_record(links.of_record(more, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+        if depth == START:
+            more = more.join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         links.confirm(more)
         many = settle(others.filter(f"others > {SMALL}").select("node"))
         if not many.limit(1).count():
@@ -302,7 +309,8 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
         if depth >= DEEPEST:
             links.compare_families(members.select("node", "record", "pivot").join(many, "node"))
             break
-        act = settle(_walk(members.select("node", "record").join(many, "node").join(records, "record"), threshold, None, STEP))
+        before, act = act, settle(_walk(members.select("node", "record").join(many, "node").join(records, "record"), threshold, None, STEP))
+        discard(before, members, star, placed, many)
         depth += STEP
     return links.of_record(described.select("doc_id", "record", "n_shingles"), "record", "component")
 

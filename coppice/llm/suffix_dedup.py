@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coppice.llm.common import mix64, ready, settle, slices, utf8
+from coppice.llm.common import discard, mix64, ready, settle, slices, utf8
 
 MIN_BYTES = 100
 GRAM = 32
@@ -226,6 +226,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     distinct = settle(hits.groupBy("h", "mark").agg(F.min(F.struct("doc_id", "th", "first", "last")).alias("w")))
     later = hits.join(distinct.select("h", "mark", F.struct("w.doc_id", "w.th", "w.first").alias("w")), ["h", "mark"]).filter(where > F.col("w"))
     spans = [settle(later.select(*_KEY, F.col("first").alias("start"), (F.col("last") + MIN_BYTES).alias("end")))]
+    discard(twice, hits)
     crowd = settle(distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
 
     # one place of each context of an anchor that has several: their bytes
@@ -246,6 +247,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     lists = settle(lists)
     contexts = settle(rows.join(lists, _same_key(rows, lists)).select(*_KEY, "text", "hits").mapInArrow(cut_out, "h long, crowded boolean, doc_id long, th int, first int, ctx binary"))
+    discard(lists, distinct)
     some = contexts.filter("not crowded")
     buckets = max(1, -(-some.count() // BUCKET))
 
@@ -264,7 +266,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)
-    return settle(every.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    out = settle(every.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    discard(contexts, crowd, spans[0])
+    return out
 
 
 def _crowded(contexts: DataFrame) -> DataFrame:
