@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coppice.llm.common import fold, keyed, ready, slices
-from coppice.llm.text_features import text_features
+from coppice.llm.text_features import NAMES, SHAPES, text_features
 
 #: Rows of each kind that the model is fitted on, at most.
 SAMPLE = 12_000
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
         ids = chosen.orderBy(*order).limit(sample)  # bounded by ``sample``
         got = _featured(rows.join(F.broadcast(ids), "doc_id", "left_semi")).select("doc_id", "x").toPandas()
         got = got.sort_values(["doc_id", "x"], kind="stable")
-        sets.append(np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64))
+        sets.append(np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), len(NAMES) + SHAPES * SHAPES).astype(np.float64))
     if not len(sets[0]) or not len(sets[1]):
         return None
     return fit_nnpu(*sets)

@@ -252,7 +252,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = max(1, -(-some.count() // BUCKET))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["known", "doc_id", "th", "first"], kind="stable", ignore_index=True)
+        place = ["known", "doc_id", "th", "first"]
+        pdf = pdf.drop_duplicates(place).sort_values(place, kind="stable", ignore_index=True)  # rows that came twice are one
         got = repeated_windows([bytes(c) for c in pdf["ctx"]])
         i = np.array([g[0] for g in got], np.int64)
         base = pdf["first"].to_numpy()[i] if len(i) else np.zeros(0, np.int32)
