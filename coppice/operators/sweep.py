@@ -95,11 +95,11 @@ def _ungated(sizes: DataFrame, configs: list[tuple]) -> DataFrame:
     return rows.filter(F.col("size") < F.col("n"))
 
 
-def score_candidates(items: DataFrame, assignments: DataFrame, full: bool = False) -> DataFrame:
+def score_candidates(items: DataFrame, assignments: DataFrame, full: bool = False, silhouette_kind: str = "euclidean") -> DataFrame:
     """One row per candidate: shape, tag metrics, separation and stage-1 score.
 
-    ``full`` adds the Calinski-Harabasz and Davies-Bouldin indices. Every candidate of a run has its
-    silhouette on the same distance, so rankings never mix kinds.
+    ``full`` adds the Calinski-Harabasz and Davies-Bouldin indices. The silhouette is of the kind
+    named, whatever the number of items; rankings must not mix kinds.
     """
     items = _scoped(items)
     assigned = cut(assignments.select(*CONFIG, "algo", "method", "size", "item_id", "cluster"))
@@ -108,8 +108,7 @@ def score_candidates(items: DataFrame, assignments: DataFrame, full: bool = Fals
     config = F.concat_ws("-", *CONFIG).alias("config_id")
     labels = assigned.select("item_id", config, "cluster")
     vectors = items.select("item_id", "features", "scope")
-    n = items.count()
-    sil = vm.silhouette(vectors, labels, n)
+    sil = vm.silhouette(vectors, labels, silhouette_kind)
     shape = cluster_distribution(assigned, CONFIG)
     info = assigned.select(*CONFIG, "algo", "method", "size").distinct()
     out = info.join(shape, CONFIG).join(tagged, CONFIG).withColumn("config_id", F.concat_ws("-", *CONFIG)).join(sil, "config_id")
@@ -190,7 +189,8 @@ def correction_loop(items: DataFrame, judge: Judge | None = None, ks: list[int]
     """First- and second-level groups: ``(labels, shortlist, attempts)``.
 
     The best three judged candidates are split in turn; the first whose overall quality is good
-    enough wins, else the best of the three. ``labels(item_id, l1, l2)``.
+    enough wins, else the best of the three. ``labels(item_id, l1, l2)``. Where no split is possible
+    all items are one group and no attempt is listed.
     """
     assignments, _ = candidate_sweep(items, scores.sweep_rows(ks or cfg.L1_KS, min_sizes), **kw)
     assignments = cut(assignments)
@@ -209,4 +209,6 @@ def correction_loop(items: DataFrame, judge: Judge | None = None, ks: list[int]
     attempts = items.sparkSession.createDataFrame(
         tries, "scope int, final_rank int, ord int, algo string, size int, quality double")
     winner = scores.accept_attempt(attempts, ["scope"]).first()
+    if winner is None:  # nothing can be split: one group
+        return items.select("item_id", F.lit(0).alias("l1"), F.lit(0).alias("l2")), short, attempts
     return made[winner["final_rank"]], short, attempts

@@ -17,7 +17,6 @@ from coppice.functions import vectors as vx
 from coppice.operators import blocks as bl
 from coppice.session import cut, number_rows
 
-EXACT_SILHOUETTE_ITEMS = 5000
 CLUSTER_SLICE = 4096
 # What an undefined clustering scores.
 UNDEFINED = {"silhouette": -1.0, "calinski_harabasz": 0.0, "davies_bouldin": 999.0}
@@ -149,6 +148,8 @@ def silhouette_values(vectors: DataFrame, assignments: DataFrame, tile_rows: int
 
         part = totals.mapInPandas(finish, f"item_id long, config_id {kind}, a double, b double, alone boolean")
         parts.append(part.withColumn("a", F.nanvl("a", F.lit(None))).withColumn("b", F.nanvl("b", F.lit(None))))
+    if not parts:  # no labelling at all
+        return vectors.sparkSession.createDataFrame([], f"item_id long, config_id {kind}, a double, b double, s double")
     both = parts[0]
     for more in parts[1:]:
         both = both.unionByName(more)
@@ -180,11 +181,15 @@ def silhouette_fast(vectors: DataFrame, assignments: DataFrame, measure: str = "
     return spark.createDataFrame(rows, f"config_id {kind}, silhouette double")
 
 
-def silhouette(vectors: DataFrame, assignments: DataFrame, n: int, limit: int = EXACT_SILHOUETTE_ITEMS) -> DataFrame:
-    """Exact up to ``limit`` items, the linear statistic above; ``silhouette_kind`` says which."""
-    if n <= limit:
-        return silhouette_exact(vectors, assignments).withColumn("silhouette_kind", F.lit("euclidean"))
-    return silhouette_fast(vectors, assignments).withColumn("silhouette_kind", F.lit("squared"))
+def silhouette(vectors: DataFrame, assignments: DataFrame, kind: str = "euclidean") -> DataFrame:
+    """``(config_id, silhouette, silhouette_kind)``: the kind the caller names, at every size.
+
+    "euclidean" is exact and meets every item with every other; "squared" is linear in the items.
+    """
+    if kind not in ("euclidean", "squared"):
+        raise ValueError(f"unknown silhouette kind: {kind}")
+    got = silhouette_exact(vectors, assignments) if kind == "euclidean" else silhouette_fast(vectors, assignments)
+    return got.withColumn("silhouette_kind", F.lit(kind))
 
 
 def _cluster_sums(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -239,7 +244,7 @@ def internal_metrics(vectors: DataFrame, assignments: DataFrame, n: int) -> Data
     usable = assignments.join(ok.filter("ok").select("config_id"), "config_id", "left_semi")
     return (
         ok.select("config_id")
-        .join(silhouette(vectors, usable, n), "config_id", "left")
+        .join(silhouette(vectors, usable), "config_id", "left")
         .join(calinski_harabasz(vectors, assignments), "config_id")
         .join(davies_bouldin(vectors, assignments), "config_id")
         .fillna(UNDEFINED["silhouette"], subset=["silhouette"])

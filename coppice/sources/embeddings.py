@@ -25,12 +25,12 @@ def hashed_tfidf(texts: DataFrame, dims: int = 256) -> DataFrame:
     return unit.withColumn("features", vector_to_array("_u")).drop("_w", "_c", "_t", "_u")
 
 
-def embed_items(texts: DataFrame, fn: EmbedFn | None = None, batch: int = cfg.EMBED_BATCH, max_chars: int | None = cfg.EMBED_CHARS,
+def embed_items(texts: DataFrame, fn: EmbedFn | None = None, batch: int = cfg.EMBED_BATCH, max_chars: int | None = None,
                 dims: int = 256) -> DataFrame:
     """``texts`` (with a ``text`` column) plus ``features array<double>``.
 
-    A model reads at most ``max_chars`` of each text, ``batch`` texts to a call; ``None`` reads whole
-    texts. Without a model, the offline default.
+    Whole texts are read, ``batch`` to a call; ``max_chars`` is for a model that takes no more.
+    Without a model, the offline default.
     """
     short = texts if max_chars is None else texts.withColumn("text", F.substring("text", 1, max_chars))
     if fn is None:

@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from coppice import settings as cfg
 from coppice.operators import birch as bi
 from coppice.operators import centers as ce
 from coppice.operators import density as de
 from coppice.operators import linkage as lk
 from coppice.operators import spectral as sp
+from coppice.operators import sweep
 from tests.conftest import points
 
 
@@ -127,3 +129,10 @@ def test_all_noise_is_left_out(spark):
     df = points(spark, x)
     noise = df.select("id", F.lit(0).alias("scope"), F.lit(5).alias("k"), F.lit(-1).alias("cluster"))
     assert de.fold_noise(df, noise).count() == 0
+
+
+def test_three_items_are_one_group(spark):
+    tags = ", ".join(f"array('a', 'b') AS {c}" for c in cfg.TAG_METRICS)
+    few = spark.sql(f"SELECT id AS item_id, array(double(id), 1.0D) AS features, concat('n', id) AS technology_name, 'd' AS Technology_Description, {tags} FROM range(3)")
+    labels, _, attempts = sweep.correction_loop(few, ks=[5], l2_ks=[2], min_sizes=[5])
+    assert {(r.l1, r.l2) for r in labels.collect()} == {(0, 0)} and labels.count() == 3 and attempts.count() == 0

@@ -15,6 +15,7 @@ from coppice.operators import repair as rp
 from coppice.plans import tree as pt
 from coppice.session import number_rows
 from coppice.sources import embeddings as em
+from coppice.operators import vector_metrics as vm
 from coppice.sources import items as src
 from workload import clustering, hierarchy, scoring
 
@@ -73,10 +74,34 @@ def test_missing_columns_are_listed(spark, tmp_path):
         src.require_columns(spark.createDataFrame([(1,)], "technology_name int"), cfg.ITEM_COLUMNS)
     assert e.value.missing == cfg.ITEM_COLUMNS[1:]
     (tmp_path / "a.csv").write_text('item_id,technology_name,Technology_Description\n1,"a, b","say ""hi""\nthere"\n')
-    row = src.scan_items(spark, str(tmp_path / "a.csv"), schema="item_id long, technology_name string, Technology_Description string").first()
+    row = src.scan_items(spark, str(tmp_path / "a.csv"), schema="item_id long, technology_name string, Technology_Description string", line_breaks=True).first()
     assert (row[1], row[2]) == ("a, b", 'say "hi"\nthere')
 
 
+def test_scan_by_header_name(spark, tmp_path):
+    rows = 'extra,Technology_Description,technology_name\nx,about a,a\ny,about b,b\nz,about a,a\n'
+    (tmp_path / "b.csv").write_text(rows)
+    (tmp_path / "c.csv").write_text("extra,Technology_Description,technology_name\n" + "\n".join(rows.splitlines()[:0:-1]) + "\n")
+    got = src.scan_items(spark, str(tmp_path / "b.csv")).collect()
+    assert sorted((r.technology_name, r.Technology_Description) for r in got) == [("a", "about a"), ("a", "about a"), ("b", "about b")]
+    assert len({r.item_id for r in got}) == 3
+    assert {r.item_id for r in got} == {r.item_id for r in src.scan_items(spark, str(tmp_path / "c.csv")).collect()}
+    (tmp_path / "d.csv").write_text("item_id,name\n1,a\n")
+    with pytest.raises(src.MissingColumns):
+        src.scan_items(spark, str(tmp_path / "d.csv"))
+
+
+def test_silhouette_kind_does_not_follow_the_size(spark):
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(0, 1, (30, 3)), rng.normal(3, 1, (30, 3))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.vstack([x, rng.normal(0, 1, (5200, 3))]))]
+    vec = spark.createDataFrame(rows, "item_id long, features array<double>")
+    lab = spark.createDataFrame([(i, "a", i // 30) for i in range(60)] + [(60 + i, "b", i % 2) for i in range(5200)], "item_id long, config_id string, cluster int")
+    alone = {r.config_id: r for r in vm.silhouette(vec.filter("item_id < 60"), lab.filter("config_id = 'a'")).collect()}["a"]
+    beside = {r.config_id: r for r in vm.silhouette(vec, lab).collect()}["a"]
+    assert alone.silhouette_kind == beside.silhouette_kind == "euclidean" and abs(alone.silhouette - beside.silhouette) < 1e-12
+
+
 def grown(spark, spec):
     rng, tree, vec = np.random.default_rng(3), [], []
     for l1, l2, l3, centre, n in spec:

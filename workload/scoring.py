@@ -75,6 +75,18 @@ register("scan_items", _scan, f"""SELECT item_id, technology_name, Technology_De
  nullif(Web_of_Science_Category, '') AS Web_of_Science_Category, OECD_Research_Area, emerging_tech_concepts,
  nullif(applied_domain, '') AS applied_domain FROM ({plain(ITEMS)})""")
 
+
+
+def _scan_permuted(spark, sf):
+    """Items in another column order, with a further column and without an id, written as CSV and scanned back."""
+    cols = [*reversed(cfg.ITEM_COLUMNS), "brand"]
+    return src.scan_items(spark, src.write_csv(items(spark, sf).select(*cols), "permuted")).drop("item_id")
+
+
+register("scan_items_by_name", _scan_permuted, f"""SELECT technology_name, Technology_Description,
+ nullif(Web_of_Science_Category, '') AS Web_of_Science_Category, OECD_Research_Area, emerging_tech_concepts,
+ nullif(applied_domain, '') AS applied_domain FROM ({plain(ITEMS)})""")
+
 register("require_columns", lambda s, d: src.require_columns(items(s, d), cfg.ITEM_COLUMNS).select("item_id", *cfg.BROWSE_COLUMNS),
          f"SELECT item_id, technology_name, Technology_Description FROM ({plain(ITEMS)})")
 
