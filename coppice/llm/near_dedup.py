@@ -155,7 +155,7 @@ class Links:
     def __init__(self, docs: DataFrame, described: DataFrame, n: int, parts: int, of: int):
         self.docs, self.n, self.parts, self.of = docs, n, parts, of
         self.where = settle(described.filter("record is not null").groupBy("record").agg(F.min("doc_id").alias("doc_id")))
-        self.found: DataFrame | None = None
+        self.texts: DataFrame | None = None
         self.component: DataFrame | None = None
 
     def of_record(self, df: DataFrame, col: str, name: str) -> DataFrame:
@@ -165,9 +165,13 @@ class Links:
         c = self.component.select(F.col("node").alias(col), F.col("component").alias(name))
         return df.join(c, col, "left").withColumn(name, F.coalesce(name, col))
 
+    def fetch(self, members: DataFrame) -> None:
+        """The texts of all records that share a node, once; every later comparison is among them."""
+        ids = members.select("record").distinct().join(self.where, "record")
+        self.texts = settle(self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("record", "text"))
+
     def sets(self, needed: DataFrame) -> DataFrame:
         """record, items (sorted hashes) for a table of records, from the whole texts."""
-        ids = settle(needed.select("record").distinct().join(self.where, "record"))
         n = self.n
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +181,8 @@ class Links:
                 keep = [i for i, (x, y) in enumerate(zip(names, b.column(0).to_pylist())) if x == y]
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.int64()), pa.array([s[i].tobytes() for i in keep], pa.binary())], names=["record", "items"])
 
-        texts = self.docs.join(ids, self.docs["doc_id"].eqNullSafe(ids["doc_id"])).select("record", "text")
-        out = settle(texts.mapInArrow(read, "record long, items binary").dropDuplicates(["record"]))
-        discard(ids)
-        return out
+        texts = self.texts.join(needed.select("record").distinct(), "record").select("record", "text")
+        return settle(texts.mapInArrow(read, "record long, items binary").dropDuplicates(["record"]))
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare the full sets of candidate pairs a, b and keep the links."""
@@ -284,6 +286,8 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
     while True:
         nodes = act.groupBy("node").agg(F.count("*").alias("n"), F.min(rank).alias("p")).filter("n > 1")
         members = settle(act.join(nodes, "node").select("node", "record", "s1", "s2", "n", F.col("p.record").alias("pivot"), F.col("p.r").alias("r"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")))
+        if depth == START:
+            links.fetch(members)
         star = members.filter(F.col("record") != F.col("pivot")).filter(_far(F.col("s1"), F.col("s2"), F.col("p1"), F.col("p2")) <= most)
         star = settle(star.select("record", "pivot", "r").distinct())
         one = star.groupBy("record").agg(F.min(F.struct("r", "pivot"))["pivot"].alias("b")).select(F.col("record").alias("a"), "b")
