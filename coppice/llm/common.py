@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from coppice.session import scratch_path, shared_dir
 
 #: Texts handled at a time inside a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Pieces whose ids a Python worker remembers in each memory; a full memory is emptied.
-REMEMBER = 1_000_000
+REMEMBER = 250_000
 
 
 class Encoder:
