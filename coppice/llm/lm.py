@@ -252,7 +252,7 @@ def _train_round(docs: DataFrame, model: Model, sent_words, unigram: np.ndarray,
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.pack()], pa.binary())], names=["n", "params"])
 
-    got = docs.mapInArrow(run, "n long, params binary")
+    got = settle(docs.mapInArrow(run, "n long, params binary"))  # all partitions train at once; the results are read one by one
     mean, n = None, 0
     for r in got.toLocalIterator():  # one set of parameters at a time
         x, w = Model.unpack(bytes(r["params"])), r["n"]
