@@ -226,8 +226,13 @@ class Links:
         def meet(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame(block_links(pdf["record"].tolist(), pdf["items"].tolist(), pdf["c"].tolist(), pdf["block"].to_numpy(), parts, of), columns=["a", "b"], dtype="int64")
 
-        with_sets = placed.join(self.sets(family.select(F.col("node").alias("record"))), "record")
-        self.add(settle(with_sets.groupBy("family", "lo", "hi").applyInPandas(meet, "a long, b long")))
+        read = self.sets(family.select(F.col("node").alias("record")))
+        self.add(settle(placed.join(read, "record").groupBy("family", "lo", "hi").applyInPandas(meet, "a long, b long")))
+        discard(read, family)
+
+    def clear(self) -> None:
+        """Delete the tables behind the links."""
+        discard(self.where, self.texts, self.component)
 
 
 def similar(x: np.ndarray, y: np.ndarray, parts: int, of: int) -> bool:
@@ -278,14 +283,17 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
     threshold = parts / of
     differ = SIGNATURE * (1 - threshold) / 2
     most = int(np.ceil(differ + SPREAD * np.sqrt(differ * (1 + threshold) / 2)))
-    described = settle(_described(docs, words))
-    records = settle(described.filter("record is not null").dropDuplicates(["record"]).select("record", "sig", "s1", "s2"))
+    signed = settle(_described(docs, words))
+    records = settle(signed.filter("record is not null").dropDuplicates(["record"]).select("record", "sig", "s1", "s2"))
+    described = settle(signed.select("doc_id", "record", "n_shingles"))
+    discard(signed)
     links = Links(docs, described, words, parts, of)
     act, depth = settle(_walk(records, threshold, trees_for(threshold), START)), START
     rank = F.struct(F.xxhash64("record").alias("r"), "record", "s1", "s2")
     while True:
         nodes = act.groupBy("node").agg(F.count("*").alias("n"), F.min(rank).alias("p")).filter("n > 1")
         members = settle(act.join(nodes, "node").select("node", "record", "s1", "s2", "n", F.col("p.record").alias("pivot"), F.col("p.r").alias("r"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")))
+        discard(act)
         if depth == START:
             links.fetch(members)
         star = members.filter(F.col("record") != F.col("pivot")).filter(_far(F.col("s1"), F.col("s2"), F.col("p1"), F.col("p2")) <= most)
@@ -295,6 +303,7 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
             links.confirm(one)
         pairs = star.select(F.col("record").alias("a"), F.col("pivot").alias("b"))
         placed = settle(links.of_record(links.of_record(members.select("node", "record", "s1", "s2", "n", "pivot"), "record", "c"), "pivot", "pc"))
+        discard(members)
         others = placed.groupBy("node").agg(F.sum((F.col("c") != F.col("pc")).cast("long")).alias("others"))
         few = others.filter(f"others > 0 and others <= {SMALL}")
         # the records outside the pivot's component meet all records of other components in the node
@@ -307,21 +316,26 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
         if depth == START:
             more = more.join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         links.confirm(more)
+        discard(star)
         many = settle(others.filter(f"others > {SMALL}").select("node"))
-        if not many.limit(1).count():
-            break
-        if depth >= DEEPEST:
-            links.compare_families(members.select("node", "record", "pivot").join(many, "node"))
+        deeper, last = many.limit(1).count() > 0, depth >= DEEPEST
+        if deeper and last:
+            links.compare_families(placed.select("node", "record", "pivot").join(many, "node"))
+        elif deeper:
+            act = settle(_walk(placed.select("node", "record").join(many, "node").join(records, "record"), threshold, None, STEP))
+            depth += STEP
+        discard(placed, many)
+        if last or not deeper:
             break
-        before, act = act, settle(_walk(members.select("node", "record").join(many, "node").join(records, "record"), threshold, None, STEP))
-        discard(before, members, star, placed, many)
-        depth += STEP
-    return links.of_record(described.select("doc_id", "record", "n_shingles"), "record", "component")
+    out = settle(links.of_record(described, "record", "component"))
+    links.clear()
+    discard(described, records)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, parts: int = 85, of: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is that), for every row."""
-    rows = settle(link_components(keyed(docs, id_col, text_col), words, parts, of))
+    rows = link_components(keyed(docs, id_col, text_col), words, parts, of)
     least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "component", "left")
     named = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
