@@ -262,18 +262,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     flat = some.select(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "th", "first", "ctx")
     near = flat.groupBy("bucket").applyInPandas(compare, "known boolean, doc_id long, th int, start int, end int")
     spans.append(near.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "th", "start", "end"))
+    windows = None
     if crowd.filter(f"n > {CROWD}").limit(1).count():
-        spans.append(_crowded(contexts.filter("crowded").select(*_KEY, "first", "ctx")))
+        windows = _windows(contexts.filter("crowded").select(*_KEY, "first", "ctx"))
+        spans.append(_later_windows(windows))
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)
     out = settle(every.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
-    discard(contexts, crowd, spans[0])
+    discard(contexts, crowd, windows, spans[0])
     return out
 
 
-def _crowded(contexts: DataFrame) -> DataFrame:
-    """Windows of anchors with very many contexts: all but the first place of each window's bytes."""
+def _windows(contexts: DataFrame) -> DataFrame:
+    """mark (a hash of the bytes), doc_id, th, start of every window of anchors with very many contexts."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -287,7 +289,11 @@ def _crowded(contexts: DataFrame) -> DataFrame:
                 k = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(mark, pa.binary()), b.column(0).take(k), b.column(1).take(k), pa.array((b.column(2).to_numpy(zero_copy_only=False)[row] + step).astype(np.int32))], names=["mark", *_KEY, "start"])
 
-    every = settle(contexts.mapInArrow(windows, "mark binary, doc_id long, th int, start int"))
+    return settle(contexts.mapInArrow(windows, "mark binary, doc_id long, th int, start int"))
+
+
+def _later_windows(every: DataFrame) -> DataFrame:
+    """Runs of windows whose bytes also start at an earlier place."""
     place = F.struct("doc_id", "th", "start")
     firsts = every.groupBy("mark").agg(F.min(place).alias("w"))
     later = every.join(firsts, "mark").filter(place > F.col("w"))
