@@ -75,23 +75,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def choose_words(counts: list[Counter], y: np.ndarray, k: int = WORDS) -> dict[str, int]:
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    with_, without = Counter(), Counter()
-    for c, label in zip(counts, y):
-        (with_ if label else without).update(c.keys())
-    z = {}
-    for w in with_.keys() | without.keys():
-        a, b = with_[w], without[w]
+class Occurrences:
+    """Which words the rows of a sample hold: a row number and a word number for each distinct word of a text."""
+
+    def __init__(self, counts: list[Counter]):
+        self.names = sorted(set().union(*counts))
+        number = {w: i for i, w in enumerate(self.names)}
+        self.word = np.fromiter((number[w] for c in counts for w in c), np.int64)
+        self.row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+
+    def choose(self, y: np.ndarray, rows: np.ndarray, k: int = WORDS) -> dict[str, int]:
+        """The ``k`` words whose share of documents differs most between the labels of ``rows``; ties in order of the words."""
+        mark = np.full(len(y), -1, np.int8)
+        mark[rows] = y[rows] != 0
+        n1, n0 = max(1, int((mark == 1).sum())), max(1, int((mark == 0).sum()))
+        a, b = (np.bincount(self.word[mark[self.row] == v], minlength=len(self.names)) for v in (1, 0))
         share = (a + b + 1) / (n1 + n0 + 2)
-        z[w] = abs(a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    best = sorted(z, key=lambda w: (-z[w], w))[:k]
-    return {w: i for i, w in enumerate(best)}
+        z = np.abs(a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+        best = np.argsort(-z, kind="stable")
+        best = best[(a + b)[best] > 0][:k]
+        return {self.names[j]: i for i, j in enumerate(best.tolist())}
 
 
 def fit_chain(texts: list[str], labels: np.ndarray, parts: np.ndarray) -> list[Link]:
     """``labels``: a column per category, NaN where unknown; ``parts``: the fold of each row."""
     counts = [Counter(words(t)) for t in texts]
+    held = Occurrences(counts)
     form = np.array([text_features(t)[: len(NAMES)] for t in texts]).reshape(len(texts), len(NAMES))
     earlier, chain = np.zeros((len(texts), 0)), []
     for j in range(labels.shape[1]):
@@ -109,16 +118,16 @@ def fit_chain(texts: list[str], labels: np.ndarray, parts: np.ndarray) -> list[L
             if not len(fit) or y[fit].min() == y[fit].max():
                 out[rest] = y[whole].mean()
                 continue
-            link = _fit_link(counts, form, earlier, y, fit)
+            link = _fit_link(held, counts, form, earlier, y, fit)
             out[rest] = link.predict(link.inputs([counts[i] for i in rest], form[rest], earlier[rest]))
-        chain.append(_fit_link(counts, form, earlier, y, whole))
+        chain.append(_fit_link(held, counts, form, earlier, y, whole))
         earlier = np.hstack([earlier, out[:, None]])
     return chain
 
 
-def _fit_link(counts: list[Counter], form: np.ndarray, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray) -> Link:
+def _fit_link(held: Occurrences, counts: list[Counter], form: np.ndarray, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray) -> Link:
     own = [counts[i] for i in rows]
-    link = Link(choose_words(own, y[rows]))
+    link = Link(held.choose(y, rows))
     link.weights = _logistic(link.inputs(own, form[rows], earlier[rows]), y[rows])
     return link
 
