@@ -16,6 +16,8 @@ from coppice.functions import text as tx
 from coppice.session import cut, number_rows
 
 L1, L2, L3 = cfg.LEVELS
+PATH = ["l1", "l2", "l3"]
+KEYS = ["_k1", "_k2", "_k3"]
 
 
 def with_paths(items: DataFrame) -> DataFrame:
@@ -32,56 +34,75 @@ def path_counts(result: DataFrame) -> DataFrame:
     return result.groupBy(*cfg.LEVELS).agg(F.count("*").alias("n"))
 
 
+def with_keys(df: DataFrame) -> DataFrame:
+    """Add ``_k1.._k3``, which tell the nodes of a path apart: its names and, where the table has them, its numbers.
+
+    Names are labels: siblings of one name are two nodes if ``l1``, ``l2``, ``l3`` say so.
+    """
+    def key(name: str, number: str) -> Column:
+        if number not in df.columns:
+            return F.col(name)
+        return F.when(F.col(name) == "", "").otherwise(F.concat_ws("\0", name, F.col(number).cast("string")))
+
+    return df.withColumns({k: key(c, p) for k, c, p in zip(KEYS, cfg.LEVELS, PATH)})
+
+
+def node_paths(result: DataFrame) -> DataFrame:
+    return with_keys(result).groupBy(*KEYS, *cfg.LEVELS).agg(F.count("*").alias("n"))
+
+
 def node_ids(paths: DataFrame) -> DataFrame:
-    """``(level_1, level_2, level_3, level, n, node_id)``: one row per node of the tree.
+    """``(level_1, level_2, level_3, level, n, node_id)`` and the keys: one row per node of the tree.
 
     A node's number is its rank by size among its siblings; names break ties. A third-level node
     directly under a first-level one is numbered ``1.0.k`` so that it never shares its parent's id.
     The windows rank nodes, not items, and are split by parent below the first level. The paths are
     written once, so the three levels do not each aggregate the items again.
     """
-    paths = cut(paths)
+    paths = cut(paths if KEYS[0] in paths.columns else with_keys(paths))
+    k1, k2, k3 = KEYS
+
     def level(keys: list[str], parent: list[str]) -> DataFrame:
-        nodes = non_empty(paths, keys[-1]).groupBy(*keys).agg(F.sum("n").alias("n"))
+        names = [F.min(c).alias(c) for c in cfg.LEVELS[:len(keys)]]
+        nodes = non_empty(paths, keys[-1]).groupBy(*keys).agg(F.sum("n").alias("n"), *names)
         order = W.partitionBy(*parent).orderBy(F.desc("n"), F.asc(keys[-1]))
         return nodes.withColumn(f"_r{len(keys)}", F.row_number().over(order))
 
-    one = level([L1], [])
-    two = level([L1, L2], [L1]).join(one.select(L1, "_r1"), L1)
-    ranks = two.select(L1, L2, "_r1", "_r2")
+    one = level([k1], [])
+    two = level([k1, k2], [k1]).join(one.select(k1, "_r1"), k1)
     three = (
-        level([L1, L2, L3], [L1, L2])
-        .join(one.select(L1, "_r1"), L1)
-        .join(ranks.drop("_r1"), [L1, L2], "left")
+        level(KEYS, [k1, k2])
+        .join(one.select(k1, "_r1"), k1)
+        .join(two.select(k1, k2, "_r2"), [k1, k2], "left")
         .withColumn("_r2", F.coalesce("_r2", F.lit(0)))
     )
     blank = F.lit("")
     return (
-        one.select(L1, blank.alias(L2), blank.alias(L3), F.lit(1).alias("level"), "n",
+        one.select(k1, blank.alias(k2), blank.alias(k3), L1, blank.alias(L2), blank.alias(L3), F.lit(1).alias("level"), "n",
                    F.col("_r1").cast("string").alias("node_id"))
-        .unionByName(two.select(L1, L2, blank.alias(L3), F.lit(2).alias("level"), "n",
+        .unionByName(two.select(k1, k2, blank.alias(k3), L1, L2, blank.alias(L3), F.lit(2).alias("level"), "n",
                                 F.concat_ws(".", "_r1", "_r2").alias("node_id")))
-        .unionByName(three.select(L1, L2, L3, F.lit(3).alias("level"), "n",
+        .unionByName(three.select(*KEYS, L1, L2, L3, F.lit(3).alias("level"), "n",
                                   F.concat_ws(".", "_r1", "_r2", "_r3").alias("node_id")))
     )
 
 
 def assign_ids(result: DataFrame) -> DataFrame:
     """Add ``full_numeric_id``, the dotted id of the deepest node on the item's path."""
-    ids = node_ids(path_counts(result)).select(*cfg.LEVELS, F.col("node_id").alias("full_numeric_id"))
-    return result.join(cut(ids), cfg.LEVELS)
+    ids = node_ids(node_paths(result)).select(*KEYS, F.col("node_id").alias("full_numeric_id"))
+    return with_keys(result).join(cut(ids), KEYS).drop(*KEYS)
 
 
 def taxonomy_summary(result: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """One row per node: id, category, parent (``-`` at the top), level, item count, summary.
 
-    ``summaries`` has ``category_level_1..3, summary`` and is matched by path.
+    ``summaries`` has ``category_level_1..3, summary`` (and path numbers if ``result`` has) and is matched by path.
     """
-    nodes = node_ids(path_counts(result))
+    nodes = node_ids(node_paths(result))
     if summaries is None:
         nodes = nodes.withColumn("summary", F.lit(""))
     else:
-        nodes = nodes.join(summaries.select(*cfg.LEVELS, "summary"), cfg.LEVELS, "left")
+        nodes = nodes.join(with_keys(summaries).select(*KEYS, "summary"), KEYS, "left")
     own, parent = _own_and_parent()
     return nodes.select(
         F.col("node_id").alias("id"), own.alias("category"), parent.alias("parent"), "level",

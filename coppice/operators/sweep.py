@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +71,9 @@ def candidate_sweep(items: DataFrame, configs: list[tuple], gate_spectral: bool
     def attempt(key: tuple):
         try:
             return cut(fits[key]().withColumn("algo", F.lit(key[0])).withColumn("method", F.lit(key[1]).cast("string")))
-        except Exception as e:  # a fit that breaks down costs its candidates, not the sweep
+        except (np.linalg.LinAlgError, PythonException) as e:  # a matrix that cannot be factored costs its candidates, not the sweep
+            if isinstance(e, PythonException) and "LinAlgError" not in str(e):
+                raise
             return key[1] or key[0], f"{type(e).__name__}: {e}"[:500]
 
     with ThreadPool(PARALLEL_FITS) as pool:

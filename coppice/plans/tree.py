@@ -77,14 +77,15 @@ def build_tree(items: DataFrame, features: DataFrame | None = None, embed_fn: Em
 
 
 def result_tables(items: DataFrame, tree: DataFrame, names: DataFrame, shortlist: DataFrame, attempts: DataFrame) -> TreeTables:
-    levels = hi.attach_names(tree, names).drop("l1", "l2", "l3")
+    levels = hi.attach_names(tree, names)
     result = cut(hi.assign_ids(items.join(levels, "item_id")))
     paths = hi.attach_names(tree.select("l1", "l2", "l3").distinct().withColumn("item_id", F.lit(0)), names)
-    return TreeTables(result, hi.taxonomy_summary(result, _path_summaries(paths, names)), names, tree, shortlist, attempts)
+    summary = hi.taxonomy_summary(result, _path_summaries(paths, names))
+    return TreeTables(result.drop(*hi.PATH), summary, names, tree, shortlist, attempts)
 
 
 def _path_summaries(paths: DataFrame, names: DataFrame) -> DataFrame:
-    """``(category_level_1..3, summary)`` of every node, by the names on its path."""
+    """``(l1, l2, l3, category_level_1..3, summary)`` of every node, by its path."""
     blank = F.lit("")
     l1, l2, l3 = cfg.LEVELS
     per = {
@@ -95,6 +96,7 @@ def _path_summaries(paths: DataFrame, names: DataFrame) -> DataFrame:
     out = None
     for level, (keys, nodes) in per.items():
         notes = names.filter(F.col("level") == level).select(*keys, "summary")
-        rows = nodes.distinct().join(notes, keys).select(*cfg.LEVELS, "summary")
+        numbers = [F.col(p) if p in keys else F.lit(None).cast("int").alias(p) for p in hi.PATH]
+        rows = nodes.distinct().join(notes, keys).select(*numbers, *cfg.LEVELS, "summary")
         out = rows if out is None else out.unionByName(rows)
-    return out.groupBy(*cfg.LEVELS).agg(F.min("summary").alias("summary"))
+    return out.groupBy(*hi.PATH, *cfg.LEVELS).agg(F.min("summary").alias("summary"))

@@ -43,8 +43,10 @@ def embed_missing(spark: SparkSession, texts: DataFrame, path: str, model: str,
 
     ``texts(item_id, variant, text)``. Vectors are kept in a table partitioned by model and variant
     and found again by item and text, so a changed text is embedded anew. The offline default
-    depends on the whole corpus; a model function should be given where vectors are kept.
+    weighs terms by the texts at hand, so its vectors of two runs do not compare: a model is required.
     """
+    if fn is None:
+        raise ValueError("vectors are kept for a model function only")
     wanted = texts.withColumn("model", F.lit(model)).withColumn("text_hash", F.xxhash64("text"))
     kept = _stored(spark, path)
     new = wanted if kept is None else wanted.join(kept.select(*KEY), KEY, "left_anti")

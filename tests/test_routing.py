@@ -84,8 +84,8 @@ def test_prompt_carries_the_evidence(spark):
     ctx = spark.createDataFrame([("Trap hardware", "A / B / Trap hardware", "shared core", 0, 2, ["Alpha", "Beta"]), ("Z", "p", "", None, None, None)],
                                 "leaf_category string, full_path string, summary string, part_no long, n long, names array<string>")
     got = {r["leaf_category"]: r["prompt"] for r in ro.leaf_prompt_rows(ctx).collect()}
-    assert got["Trap hardware"] == "1. Leaf: Trap hardware\n   Hierarchy: A / B / Trap hardware\n   Description: shared core\n   Technologies in this group: Alpha, Beta"
-    assert got["Z"] == "2. Leaf: Z\n   Hierarchy: p"
+    assert got["Trap hardware"] == "1. Group: Trap hardware\n   Path: A / B / Trap hardware\n   About: shared core\n   Members: Alpha, Beta"
+    assert got["Z"] == "2. Group: Z\n   Path: p"
 
 
 def test_bridge_reaches_both_domains(routed):

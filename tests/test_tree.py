@@ -53,6 +53,16 @@ def test_third_level_without_second_has_its_own_id(spark):
     assert {(r["category_level_3"], r["full_numeric_id"]) for r in got.collect()} == {("x", "1.0.1"), ("", "1")}
 
 
+def test_equal_sibling_names_are_two_nodes(spark):
+    rows = [(i, 0, i % 2, None) for i in range(5)]
+    tree = spark.createDataFrame(rows, "item_id long, l1 int, l2 int, l3 int")
+    names = spark.createDataFrame([(1, 0, None, None, "A", "top"), (2, 0, 0, None, cfg.UNNAMED, "s0"), (2, 0, 1, None, cfg.UNNAMED, "s1")], "level int, l1 int, l2 int, l3 int, name string, summary string")
+    items = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "item_id long, technology_name string")
+    out = pt.result_tables(items, tree, names, None, None)
+    assert {(r["item_id"], r["full_numeric_id"]) for r in out.result.collect()} == {(0, "1.1"), (1, "1.2"), (2, "1.1"), (3, "1.2"), (4, "1.1")}
+    assert {(r["id"], r["tech_count"], r["summary"]) for r in out.summary.collect()} == {("1", 5, "top"), ("1.1", 3, "s0"), ("1.2", 2, "s1")}
+
+
 def test_texts(spark):
     df = spark.createDataFrame([("n", "d", None, "nan", "['a']", "x"), ("m", None, "w", "o", "", "None")], ", ".join(f"{c} string" for c in cfg.ITEM_COLUMNS))
     rows = [r[0] for r in df.select(tx.compose_text()).collect()]
@@ -176,6 +186,8 @@ def test_embedding_cache_only_computes_new_texts(spark, tmp_path):
     changed = texts.withColumn("text", F.when(F.col("item_id") < 3, "new").otherwise(F.col("text")))
     assert em.embed_missing(spark, changed, path, "m", fn).count() == 23
     assert spark.read.parquet(path).count() == 26
+    with pytest.raises(ValueError):
+        em.embed_missing(spark, texts, path, "m")
 
 
 def test_build_tree_end_to_end(spark, sf, tmp_path):

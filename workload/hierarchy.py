@@ -194,3 +194,21 @@ register("parent_digest", lambda s, d: rp.parent_digest(
 WITH t AS (SELECT DISTINCT l1, l2, l3 FROM ({TREE_SQL}) WHERE l3 IS NOT NULL)
 SELECT l1, l2, string_agg(concat('- N-', l1, '-', l2, '-', l3, ': about N-', l1, '-', l2, '-', l3), chr(10) ORDER BY l3) AS digest
 FROM t GROUP BY l1, l2""")
+
+
+def same_names(spark, sf):
+    """The numbered tree with one name for all nodes below the first level."""
+    t = tree(spark, sf)
+    names = node_names(t).withColumn("name", F.when(F.col("level") == 1, F.col("name")).otherwise("Unnamed Group"))
+    return hi.assign_ids(hi.attach_names(t, names))
+
+
+register("assign_ids_same_names", lambda s, d: same_names(s, d).select("item_id", "full_numeric_id"), f"""WITH t AS ({TREE_SQL}),
+s AS (SELECT l1, count(DISTINCT l2) > 1 AS split FROM t GROUP BY l1),
+n1 AS (SELECT l1, row_number() OVER (ORDER BY count(*) DESC, CAST(l1 AS VARCHAR)) AS r1 FROM t GROUP BY l1),
+n2 AS (SELECT t.l1, l2, row_number() OVER (PARTITION BY t.l1 ORDER BY count(*) DESC, CAST(l2 AS VARCHAR)) AS r2
+  FROM t JOIN s ON t.l1 = s.l1 WHERE split GROUP BY t.l1, l2),
+n3 AS (SELECT l1, l2, l3, row_number() OVER (PARTITION BY l1, l2 ORDER BY count(*) DESC, CAST(l3 AS VARCHAR)) AS r3
+  FROM t WHERE l3 IS NOT NULL GROUP BY l1, l2, l3)
+SELECT item_id, CASE WHEN t.l3 IS NOT NULL THEN concat(r1, '.', coalesce(r2, 0), '.', r3) WHEN r2 IS NOT NULL THEN concat(r1, '.', r2) ELSE concat(r1) END AS full_numeric_id
+FROM t JOIN n1 ON t.l1 = n1.l1 LEFT JOIN n2 ON t.l1 = n2.l1 AND t.l2 = n2.l2 LEFT JOIN n3 ON t.l1 = n3.l1 AND t.l2 = n3.l2 AND t.l3 = n3.l3""")

@@ -215,8 +215,8 @@ q AS (SELECT leaf_category, part_no, count(*) AS n, string_agg(technology_name,
 register("leaf_context", lambda s, d: _context(s, d).select("leaf_category", "full_path", "summary", "part_no", "n", F.array_join("names", ", ").alias("names")),
          _CTX + "SELECT c.leaf_category, full_path, summary, part_no, q.n, names FROM c JOIN q ON c.leaf_category = q.leaf_category")
 register("leaf_prompt_rows", lambda s, d: ro.leaf_prompt_rows(_context(s, d)), _CTX + """, b AS (SELECT *, row_number() OVER (ORDER BY leaf_category) - 1 AS i FROM c)
-SELECT i // 7 AS batch_id, i % 7 + 1 AS batch_pos, b.leaf_category, part_no, concat(i % 7 + 1, '. Leaf: ', b.leaf_category, chr(10), '   Hierarchy: ', full_path,
- CASE WHEN summary <> '' THEN concat(chr(10), '   Description: ', substr(summary, 1, 400)) ELSE '' END, chr(10), '   Technologies in this group: ', names) AS prompt
+SELECT i // 7 AS batch_id, i % 7 + 1 AS batch_pos, b.leaf_category, part_no, concat(i % 7 + 1, '. Group: ', b.leaf_category, chr(10), '   Path: ', full_path,
+ CASE WHEN summary <> '' THEN concat(chr(10), '   About: ', substr(summary, 1, 400)) ELSE '' END, chr(10), '   Members: ', names) AS prompt
 FROM b JOIN q ON b.leaf_category = q.leaf_category""")
 
 # Review replies in every shape a model returns, one per document.
