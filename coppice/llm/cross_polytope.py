@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled by the greatest norm and get one more component that makes them unit vectors, so
-that the nearest direction is the greatest inner product; queries are scaled to length one with a
-zero there. In each of TABLES tables a vector is turned by a fast pseudo-rotation (three rounds of
-random signs and a Walsh-Hadamard transform) and falls to its nearest signed axis. A query looks in
-the PROBES axes nearest to it in every table; what it meets there is ranked by the exact inner
-product. Nothing is sampled: every usable row is in every table.
+Rows are split into bands of norms: from the greatest norm down, each reaches to 1 / BAND of its own
+greatest. Inside a band the nearest directions are nearly the greatest inner products, whatever the
+norms of other bands are. In each of TABLES tables a vector is scaled to length one, turned by a fast
+pseudo-rotation (three rounds of random signs and a Walsh-Hadamard transform) and falls to its
+nearest signed axis. A query looks in the PROBES axes nearest to it in every table of every band;
+what it meets there is ranked over all bands by the exact inner product. Nothing is sampled: every
+usable row is in every table of its band.
 
 Buckets are cut into slices of SLICE rows, each searched by itself, so a bucket of any size is
 spread; equal vectors are one entry.
@@ -33,6 +34,7 @@ from coppice.llm.vectors import classes, common_length, expand, matrix, usable
 TABLES = 8
 PROBES = 16  # of 128 signed axes; in proportion where there are more
 SLICE = 4096
+BAND = 2.0  # greatest over least norm of a band
 SPARE = 4  # entries kept beyond k, so that rounding cannot cost a tie
 
 
@@ -62,18 +64,17 @@ def axes(x: np.ndarray, table: int, count: int) -> np.ndarray:
     return np.take_along_axis(best, np.argsort(-np.take_along_axis(y, best, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def unit(x: np.ndarray, longest: float, width: int, query: bool) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1)
+def unit(x: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(x), width))
-    if query:
-        out[:, : x.shape[1]] = x / norm[:, None]
-    else:
-        out[:, : x.shape[1]] = x / longest
-        if width > x.shape[1]:
-            out[:, x.shape[1]] = np.sqrt(np.maximum(0, 1 - (norm / longest) ** 2))
+    out[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1)[:, None]
     return out
 
 
+def bands(x: np.ndarray, longest: float) -> np.ndarray:
+    """The band of each row, 0 for the greatest norms; norms that differ by rounding alone are in one."""
+    return np.floor(np.log(longest * (1 + 1e-3) / np.linalg.norm(x, axis=1)) / np.log(BAND)).astype(np.int32)
+
+
 def _pack(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,37 +95,41 @@ def search(vectors: DataFrame, is_query: Column, k: int, tables: int = TABLES, p
         return none
     length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, y: a + y * y))
     good = rows.filter(usable(F.col("x"), dim)).withColumn("norm", length).filter("norm > 0")
-    least, longest = good.agg(F.min("norm"), F.max("norm")).first()
+    longest = good.agg(F.max("norm")).first()[0]
     if longest is None:
         return none
     width = 1
-    while width < dim + (least < longest * (1 - 1e-3)):  # equal norms need no further component
+    while width < dim:
         width *= 2
     probes = min(2 * width, max(1, round(probes * width / 64)))
     members = classes(_pack(good.select("vec_id", "x")), k + 1)
     queries = settle(_pack(good.filter("q").select("vec_id", "x")).dropDuplicates(["vec_id"]))
 
-    def assign(query: bool):
-        name = "query_id" if query else "class_id"
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = unit(matrix(b.column(1).to_pylist(), dim), longest, width, query)
-                for t in range(tables):
-                    got = axes(x, t, probes if query else 1)
-                    at = np.repeat(np.arange(len(x)), got.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(got.ravel().astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["table", "bucket", name, "v"])
-
-        return run
-
-    index = settle(members.select("class_id", "v").mapInArrow(assign(False), "table int, bucket int, class_id long, v binary"))
-    sizes = settle(index.groupBy("table", "bucket").agg((F.floor((F.count("*") - 1) / SLICE) + 1).alias("slices")))  # a row per bucket
-    sliced = index.join(sizes, ["table", "bucket"]).withColumn("slice", F.pmod(F.xxhash64("class_id"), F.col("slices")))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v").mapInArrow(assign(True), "table int, bucket int, query_id long, v binary")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column(1).to_pylist(), dim)
+            band, x = pa.array(bands(x, longest)), unit(x, width)
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([band, pa.array(np.full(len(x), t, np.int32)), pa.array(axes(x, t, 1)[:, 0].astype(np.int32)), *b.columns], names=["band", "table", "bucket", "class_id", "v"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = unit(matrix(b.column(1).to_pylist(), dim), width)
+            for t in range(tables):
+                got = axes(x, t, probes)
+                at = pa.array(np.repeat(np.arange(len(x)), got.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(got.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["table", "bucket", "query_id", "v"])
+
+    index = settle(members.select("class_id", "v").mapInArrow(place, "band int, table int, bucket int, class_id long, v binary"))
+    sizes = settle(index.groupBy("band", "table", "bucket").agg((F.floor((F.count("*") - 1) / SLICE) + 1).alias("slices")))  # a row per bucket
+    sliced = index.join(sizes, ["band", "table", "bucket"]).withColumn("slice", F.pmod(F.xxhash64("class_id"), F.col("slices")))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "v").mapInArrow(look, "table int, bucket int, query_id long, v binary")
     again = sizes.select(*[F.col(c).alias(c) for c in sizes.columns])  # columns of its own, for the cogroup
-    asked = asked.join(again, ["table", "bucket"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    asked = asked.join(again, ["table", "bucket"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))  # the axis in every band
     keep = k + 1 + SPARE
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -139,7 +144,7 @@ def search(vectors: DataFrame, is_query: Column, k: int, tables: int = TABLES, p
             out.append(pd.DataFrame({"query_id": ids[at], "class_id": names[best.ravel()], "score": np.einsum("ij,ij->i", y[at], x[best.ravel()])}))
         return pd.concat(out)
 
-    key = ["table", "bucket", "slice"]
+    key = ["band", "table", "bucket", "slice"]
     met = asked.groupBy(*key).cogroup(sliced.groupBy(*key)).applyInPandas(meet, "query_id long, class_id long, score double")
     once = met.dropDuplicates(["query_id", "class_id"])
     return expand(settle(top_per_key(once, "query_id", [F.desc("score"), F.col("class_id")], k + 1).drop("rank")), members, k)

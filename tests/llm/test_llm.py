@@ -301,6 +301,34 @@ def test_cross_polytope_recall(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def found_and_best(spark, x, k, every, **settings):
+    """The search's ids of each query, and those of brute force with ties to the smaller id."""
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {q: [] for q in range(0, len(x), every)}
+    for r in cross_polytope.search(df, F.col("vec_id") % every == 0, k, **settings).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    best = {}
+    for q in got:
+        s = x @ x[q]
+        best[q] = [i for _, i in sorted((-s[i], i) for i in range(len(x)) if i != q)[:k]]
+    return got, best
+
+
+@pytest.mark.parametrize("spread", [None, 0.5])
+def test_cross_polytope_recall_with_unequal_norms(spark, spread):
+    """One vector fifty times as long as the others, or lognormal norms."""
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (1500, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if spread is None:
+        x[7] *= 50
+    else:
+        x *= np.exp(r.normal(0, spread, (len(x), 1)))
+    got, best = found_and_best(spark, x, 20, 15)
+    assert all(len(v) == 20 for v in got.values())
+    assert np.mean([len(set(v) & set(best[q])) / 20 for q, v in got.items()]) >= 0.9
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
