@@ -4,12 +4,14 @@ Rows are split into bands of norms: from the greatest norm down, each reaches to
 greatest. Inside a band the nearest directions are nearly the greatest inner products, whatever the
 norms of other bands are. In each of TABLES tables a vector is scaled to length one, turned by a fast
 pseudo-rotation (three rounds of random signs and a Walsh-Hadamard transform) and falls to its
-nearest signed axis. A query looks in the PROBES axes nearest to it in every table of every band;
-what it meets there is ranked over all bands by the exact inner product. Nothing is sampled: every
-usable row is in every table of its band.
+nearest signed axis. A query looks in the PROBES axes nearest to it in every table of every band, and
+in further ones until it has met REACH distinct vectors of the band in each table (more than k at
+least) or all axes are used up: a band of no more vectors is searched whole, so no query gets fewer
+than k while further candidates exist. What it meets is ranked over all bands by the exact inner
+product. Nothing is sampled: every usable row is in every table of its band.
 
 Buckets are cut into slices of SLICE rows, each searched by itself, so a bucket of any size is
-spread; equal vectors are one entry.
+spread; equal vectors are one entry. A slice gives back its best k + 1 by score and id.
 
 Recall of the 20 nearest against brute force, with these settings: see the README.
 
@@ -35,7 +37,8 @@ TABLES = 8
 PROBES = 16  # of 128 signed axes; in proportion where there are more
 SLICE = 4096
 BAND = 2.0  # greatest over least norm of a band
-SPARE = 4  # entries kept beyond k, so that rounding cannot cost a tie
+REACH = 256  # distinct vectors a query meets in each table of a band, if there are so many
+ASKED = 512  # queries handled at a time inside a task
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -75,6 +78,23 @@ def bands(x: np.ndarray, longest: float) -> np.ndarray:
     return np.floor(np.log(longest * (1 + 1e-3) / np.linalg.norm(x, axis=1)) / np.log(BAND)).astype(np.int32)
 
 
+def best_of(y: np.ndarray, x: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``keep`` best rows of ``x`` for each row of ``y``, ties to the first: rows of y, rows of x, scores."""
+    s = y @ x.T
+    if s.shape[1] > keep:
+        least = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
+        slack = 1e-12 * y.shape[1] * np.abs(y).max(axis=1) * np.abs(x).max()  # more than rounding: no tie is cut here
+        row, at = np.nonzero(s >= (least - slack)[:, None])
+    else:
+        row, at = np.repeat(np.arange(len(y)), s.shape[1]), np.tile(np.arange(s.shape[1]), len(y))
+    score = np.concatenate([np.einsum("ij,ij->i", y[row[lo : lo + 65_536]], x[at[lo : lo + 65_536]]) for lo in range(0, len(row), 65_536)])
+    order = np.lexsort((at, -score, row))
+    row, at, score = row[order], at[order], score[order]
+    first = np.searchsorted(row, np.arange(len(y)))
+    use = np.arange(len(row)) - first[row] < keep
+    return row[use], at[use], score[use]
+
+
 def _pack(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,34 +134,46 @@ def search(vectors: DataFrame, is_query: Column, k: int, tables: int = TABLES, p
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays([band, pa.array(np.full(len(x), t, np.int32)), pa.array(axes(x, t, 1)[:, 0].astype(np.int32)), *b.columns], names=["band", "table", "bucket", "class_id", "v"])
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = unit(matrix(b.column(1).to_pylist(), dim), width)
-            for t in range(tables):
-                got = axes(x, t, probes)
-                at = pa.array(np.repeat(np.arange(len(x)), got.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(got.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["table", "bucket", "query_id", "v"])
-
     index = settle(members.select("class_id", "v").mapInArrow(place, "band int, table int, bucket int, class_id long, v binary"))
-    sizes = settle(index.groupBy("band", "table", "bucket").agg((F.floor((F.count("*") - 1) / SLICE) + 1).alias("slices")))  # a row per bucket
-    sliced = index.join(sizes, ["band", "table", "bucket"]).withColumn("slice", F.pmod(F.xxhash64("class_id"), F.col("slices")))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v").mapInArrow(look, "table int, bucket int, query_id long, v binary")
-    again = sizes.select(*[F.col(c).alias(c) for c in sizes.columns])  # columns of its own, for the cogroup
-    asked = asked.join(again, ["table", "bucket"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))  # the axis in every band
-    keep = k + 1 + SPARE
+    sizes = settle(index.groupBy("band", "table", "bucket").agg(F.count("*").alias("n")).withColumn("slices", F.floor((F.col("n") - 1) / SLICE) + 1))  # a row per bucket
+    filled = {}  # band: rows and slices of each table and axis
+    for r in sizes.toLocalIterator():
+        filled.setdefault(r["band"], np.zeros((2, tables, 2 * width), np.int64))[:, r["table"], r["bucket"]] = r["n"], r["slices"]
+    sent, reach = spark.sparkContext.broadcast(filled), max(REACH, k + 1)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, ASKED):
+                b = big.slice(lo, ASKED)
+                x = unit(matrix(b.column(1).to_pylist(), dim), width)
+                for t in range(tables):
+                    order = axes(x, t, 2 * width)
+                    for band, (n, parts) in sent.value.items():
+                        whole = n[0].sum() <= reach
+                        if whole and t:
+                            continue  # the first table has shown all of it
+                        here = n[t][order]
+                        before = np.cumsum(here, axis=1) - here
+                        row, at = np.nonzero(((np.arange(2 * width) < probes) | (before < reach)) & (here > 0))
+                        bucket, pick = order[row, at], pa.array(row)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(row), band, np.int32)), pa.array(np.full(len(row), t, np.int32)), pa.array(bucket.astype(np.int32)),
+                            pa.array(parts[t][bucket]), b.column(0).take(pick), b.column(1).take(pick),
+                        ], names=["band", "table", "bucket", "slices", "query_id", "v"])
+
+    sliced = index.join(sizes.drop("n"), ["band", "table", "bucket"]).withColumn("slice", F.pmod(F.xxhash64("class_id"), F.col("slices")))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "v").mapInArrow(look, "band int, table int, bucket int, slices long, query_id long, v binary")
+    asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "class_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        c = c.sort_values("class_id")
         x, names, out = matrix(c["v"].tolist(), dim), c["class_id"].to_numpy(), []
-        for lo in range(0, len(q), 1024):
-            y, ids = matrix(q["v"].tolist()[lo : lo + 1024], dim), q["query_id"].to_numpy()[lo : lo + 1024]
-            s = y @ x.T
-            best = np.argpartition(-s, keep, axis=1)[:, :keep] if s.shape[1] > keep else np.tile(np.arange(s.shape[1]), (len(y), 1))
-            at = np.repeat(np.arange(len(y)), best.shape[1])
-            out.append(pd.DataFrame({"query_id": ids[at], "class_id": names[best.ravel()], "score": np.einsum("ij,ij->i", y[at], x[best.ravel()])}))
+        for lo in range(0, len(q), 256):
+            y, ids = matrix(q["v"].tolist()[lo : lo + 256], dim), q["query_id"].to_numpy()[lo : lo + 256]
+            row, at, score = best_of(y, x, k + 1)
+            out.append(pd.DataFrame({"query_id": ids[row], "class_id": names[at], "score": score}))
         return pd.concat(out)
 
     key = ["band", "table", "bucket", "slice"]

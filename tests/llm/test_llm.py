@@ -314,7 +314,7 @@ def found_and_best(spark, x, k, every, **settings):
     return got, best
 
 
-@pytest.mark.parametrize("spread", [None, 0.5])
+@pytest.mark.parametrize("spread", [None, 0.5, 1.0])
 def test_cross_polytope_recall_with_unequal_norms(spark, spread):
     """One vector fifty times as long as the others, or lognormal norms."""
     r = np.random.default_rng(6)
@@ -329,6 +329,28 @@ def test_cross_polytope_recall_with_unequal_norms(spark, spread):
     assert np.mean([len(set(v) & set(best[q])) / 20 for q, v in got.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("n", [10, 21, 40, 300])
+def test_cross_polytope_of_few_rows(spark, n):
+    """No query gets fewer than k while further candidates exist, and the nearest are among them."""
+    x = np.random.default_rng(7).normal(0, 1, (n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got, best = found_and_best(spark, x, 20, 1 if n < 100 else 10)
+    assert all(len(v) == min(20, n - 1) for v in got.values())
+    assert np.mean([len(set(v) & set(best[q])) / len(best[q]) for q, v in got.items()]) >= (1 if n < 256 else 0.95)
+
+
+def test_cross_polytope_ties_go_to_the_smaller_id(spark):
+    """Distinct vectors with one score, more than a slice gives back."""
+    r = np.random.default_rng(8)
+    x = np.zeros((200, 16))
+    x[:, 0] = 1
+    x[np.arange(200), 1 + np.arange(200) % 15] = 1 + np.arange(200) // 15
+    x[0] = np.eye(16)[0]
+    x[1:] = x[1 + r.permutation(199)]
+    got, _ = found_and_best(spark, x, 20, 200)
+    assert got == {0: list(range(1, 21))}
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
