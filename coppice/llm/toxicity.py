@@ -1,10 +1,10 @@
 """Toxicity by classifier chains.
 
-The categories are label columns, in order. Each gets a logistic model over the words of whole texts,
-and each model after the first also gets the probabilities of the categories before it. For fitting,
+The categories are label columns, in order. Each gets a logistic model over the words of whole texts
+and their beginnings of PREFIXES letters (so that words of one stem count together), and each model after the first also gets the probabilities of the categories before it. For fitting,
 those probabilities are out-of-fold predictions: the sample is cut into FOLDS parts by hash, and each
 part is scored by a model fitted on the others, so that later models learn from predictions as good
-as the ones they will get. Words are chosen per category: the WORDS whose share of documents differs
+as the ones they will get. Words and beginnings are chosen per category: the WORDS whose share of documents differs
 most, by its z value, between rows with and without the category.
 
 The models are fitted on a bounded sample of labelled rows (``sample``, the first in hash order) with
@@ -18,6 +18,8 @@ row (0.5 without any label); repeated rows get equal scores; an empty table give
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from coppice.llm.common import keyed, ready, slices
 from coppice.llm.text_features import NAMES, text_features
 
-SAMPLE = 6_000
+SAMPLE = 12_000
 WORDS = 400
+PREFIXES = (4, 5, 6, 7)
 FOLDS = 5
 ROUNDS = 300
 RATE = 0.1
@@ -43,9 +46,22 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def features(word: str) -> list[str]:
+    """The word and its beginnings, which end in a star; a word as long as a beginning is one of its kind."""
+    return [word, *[word[:k] + "*" for k in PREFIXES if len(word) >= k]]
+
+
+def feature_counts(text: str | None) -> Counter[str]:
+    out: Counter[str] = Counter()
+    for w, n in Counter(words(text)).items():
+        for f in features(w):
+            out[f] += n
+    return out
+
+
 @dataclass
 class Link:
-    """One category: its words, its weights (words, form of the text, earlier categories) or a fixed probability."""
+    """One category: its words and beginnings, its weights (these, form of the text, earlier categories) or a fixed probability."""
 
     vocabulary: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray | None = None
@@ -76,16 +92,36 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Occurrences:
-    """Which words the rows of a sample hold: a row number and a word number for each distinct word of a text."""
-
-    def __init__(self, counts: list[Counter]):
-        self.names = sorted(set().union(*counts))
-        number = {w: i for i, w in enumerate(self.names)}
-        self.word = np.fromiter((number[w] for c in counts for w in c), np.int64)
-        self.row = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+    """What the rows of a sample hold: row number, feature number and count for each distinct word or beginning of a text."""
+
+    def __init__(self, texts: list[str | None]):
+        number: dict[str, int] = {}
+        word, count, sizes = array("i"), array("i"), []
+        for t in texts:
+            c = feature_counts(t)
+            word.extend([number.setdefault(f, len(number)) for f in c])
+            count.extend(c.values())
+            sizes.append(len(c))
+        self.names = sorted(number)
+        place = np.empty(len(number), np.int32)
+        place[np.fromiter((number[f] for f in self.names), np.int64, len(number))] = np.arange(len(number), dtype=np.int32)
+        self.word = place[np.frombuffer(word, np.int32)] if len(word) else np.zeros(0, np.int32)
+        self.count = np.frombuffer(count, np.int32) if len(count) else np.zeros(0, np.int32)
+        self.row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+
+    def inputs(self, vocabulary: dict[str, int], rows: np.ndarray, form: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """What ``Link.inputs`` gives for these rows of the sample."""
+        column, place = np.full(len(self.names), -1, np.int32), np.full(len(form), -1, np.int32)
+        column[[bisect_left(self.names, f) for f in vocabulary]] = list(vocabulary.values())
+        place[rows] = np.arange(len(rows))
+        use = np.flatnonzero(column[self.word] >= 0)
+        use = use[place[self.row[use]] >= 0]
+        x = np.zeros((len(rows), len(vocabulary)))
+        x[place[self.row[use]], column[self.word[use]]] = np.log1p(self.count[use])
+        return np.hstack([x, form[rows], earlier[rows]])
 
     def choose(self, y: np.ndarray, rows: np.ndarray, k: int = WORDS) -> dict[str, int]:
-        """The ``k`` words whose share of documents differs most between the labels of ``rows``; ties in order of the words."""
+        """The ``k`` words and beginnings whose share of documents differs most between the labels of ``rows``; ties in order of the names."""
         mark = np.full(len(y), -1, np.int8)
         mark[rows] = y[rows] != 0
         n1, n0 = max(1, int((mark == 1).sum())), max(1, int((mark == 0).sum()))
@@ -99,8 +135,7 @@ class Occurrences:
 
 def fit_chain(texts: list[str], labels: np.ndarray, parts: np.ndarray) -> list[Link]:
     """``labels``: a column per category, NaN where unknown; ``parts``: the fold of each row."""
-    counts = [Counter(words(t)) for t in texts]
-    held = Occurrences(counts)
+    held = Occurrences(texts)
     form = np.array([text_features(t)[: len(NAMES)] for t in texts]).reshape(len(texts), len(NAMES))
     earlier, chain = np.zeros((len(texts), 0)), []
     for j in range(labels.shape[1]):
@@ -118,23 +153,32 @@ def fit_chain(texts: list[str], labels: np.ndarray, parts: np.ndarray) -> list[L
             if not len(fit) or y[fit].min() == y[fit].max():
                 out[rest] = y[whole].mean()
                 continue
-            link = _fit_link(held, counts, form, earlier, y, fit)
-            out[rest] = link.predict(link.inputs([counts[i] for i in rest], form[rest], earlier[rest]))
-        chain.append(_fit_link(held, counts, form, earlier, y, whole))
+            link = _fit_link(held, form, earlier, y, fit)
+            out[rest] = link.predict(held.inputs(link.vocabulary, rest, form, earlier))
+        chain.append(_fit_link(held, form, earlier, y, whole))
         earlier = np.hstack([earlier, out[:, None]])
     return chain
 
 
-def _fit_link(held: Occurrences, counts: list[Counter], form: np.ndarray, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray) -> Link:
-    own = [counts[i] for i in rows]
+def _fit_link(held: Occurrences, form: np.ndarray, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray) -> Link:
     link = Link(held.choose(y, rows))
-    link.weights = _logistic(link.inputs(own, form[rows], earlier[rows]), y[rows])
+    link.weights = _logistic(held.inputs(link.vocabulary, rows, form, earlier), y[rows])
     return link
 
 
 def predict_chain(chain: list[Link], texts: list[str | None]) -> np.ndarray:
     known = set().union(*(link.vocabulary for link in chain))
-    counts = [Counter(w for w in words(t) if w in known) for t in texts]
+    seen: dict[str, list[str]] = {}  # the chosen features of each word of these texts
+    counts = []
+    for t in texts:
+        c: Counter[str] = Counter()
+        for w, n in Counter(words(t)).items():
+            own = seen.get(w)
+            if own is None:
+                own = seen[w] = [f for f in features(w) if f in known]
+            for f in own:
+                c[f] += n
+        counts.append(c)
     form = np.array([text_features(t)[: len(NAMES)] for t in texts]).reshape(len(texts), len(NAMES))
     got = np.zeros((len(texts), 0))
     for link in chain:

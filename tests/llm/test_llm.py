@@ -365,6 +365,23 @@ def test_classifiers_on_held_out_rows(spark):
     assert flagged and np.mean([marked[i].toxic for i in flagged]) >= 0.8
 
 
+def test_toxic_words_that_share_only_their_stem():
+    """Marked texts hold words of one stem, each ending seen once; held-out ones have endings of their own."""
+    r = np.random.default_rng(9)
+    letters = np.array(list("abcdefghij"))
+    word = lambda k: "".join(r.choice(letters, k))
+    common = [word(6) for _ in range(300)]
+    texts, marks = [], np.array([i % 4 == 0 for i in range(800)], float)
+    for i in range(800):
+        w = list(r.choice(common, 30))
+        if marks[i]:
+            w[3:30:9] = ["zumpelt" + word(7) for _ in range(3)]
+        texts.append(" ".join(w))
+    chain = toxicity.fit_chain(texts[:600], marks[:600, None], np.arange(600) % 5)
+    p = toxicity.predict_chain(chain, texts[600:])[:, 0]
+    assert ((p >= 0.5) == marks[600:]).mean() >= 0.98
+
+
 def test_prior_estimate():
     r = np.random.default_rng(0)
     up = np.r_[r.normal(2, 1, 7000), r.normal(-2, 1, 3000)]
