@@ -11,7 +11,9 @@ at the threshold (MISS). Nodes with few records (SMALL) compare all of theirs. I
 every record is first compared with one pivot; what is then in the pivot's component needs no more
 comparison inside it, so only the others meet the node's records, if they are few. Otherwise the node
 branches further, at most to DEEPEST; records that are still together there are compared all with
-all, block against block: no limit drops a pair.
+all, block against block: no limit drops a pair. Branching further parts similar records too, so the
+records of such nodes walk down further trees from the root, as many as DEEPEST levels need for the
+same recall (``deep_trees``).
 
 Sketches settle most comparisons (a pair at the threshold passes but once in a million); every link
 is confirmed on the full sets. Only components matter, so a pair that already is in one component is
@@ -25,6 +27,7 @@ no row; a single very common shingle is one value among many and gathers nothing
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +97,22 @@ def trees_for(threshold: float, miss: float = MISS) -> int:
     return int(np.ceil(np.log(miss) / np.log(1 - recall(threshold, threshold, START + 1))))
 
 
+def missed(similarity: float, share: float, levels: int, trees: int) -> float:
+    """The chance that a pair is in no common node of any tree ``levels`` down; all trees share one signature, so averaged over its equal values."""
+    out = 0.0
+    for same in range(SIGNATURE + 1):
+        out += math.comb(SIGNATURE, same) * similarity**same * (1 - similarity) ** (SIGNATURE - same) * (1 - recall(same / SIGNATURE, share, levels)) ** trees
+    return out
+
+
+def deep_trees(threshold: float, miss: float | None = None) -> int:
+    """The trees that records of crowded nodes need, so that pairs at the threshold are missed as seldom at DEEPEST as MISS."""
+    goal, trees = MISS if miss is None else miss, trees_for(threshold)
+    while missed(threshold, threshold, DEEPEST, trees) > goal:
+        trees += 1
+    return trees
+
+
 def extend(node: np.ndarray, row: np.ndarray, sig: np.ndarray, threshold: float, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """Children of nodes for the records that are in them, some levels down."""
     two = np.uint64(int((1 / threshold - 1) * 2**63) * 2)
@@ -108,6 +127,10 @@ def extend(node: np.ndarray, row: np.ndarray, sig: np.ndarray, threshold: float,
     return node, row
 
 
+def roots(trees: range) -> np.ndarray:
+    return mix64(np.arange(trees.start + 1, trees.stop + 1, dtype=np.uint64))
+
+
 def _described(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, record (the set's hash; null without words), n_shingles, sig, s1, s2 for every row."""
 
@@ -127,7 +150,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, record long, n_shingles long, sig binary, s1 long, s2 long")
 
 
-def _walk(records: DataFrame, threshold: float, trees: int | None, levels: int) -> DataFrame:
+def _walk(records: DataFrame, threshold: float, trees: range | None, levels: int) -> DataFrame:
     """record, s1, s2 at its nodes: from the roots of ``trees``, or from its column ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +162,8 @@ def _walk(records: DataFrame, threshold: float, trees: int | None, levels: int)
                 if trees is None:
                     node = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 else:
-                    node = np.repeat(mix64(np.arange(1, trees + 1, dtype=np.uint64)), b.num_rows)
-                    row = np.tile(row, trees)
+                    node = np.repeat(roots(trees), b.num_rows)
+                    row = np.tile(row, len(trees))
                 node, row = extend(node, row, sig, threshold, levels)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column(0).take(at), b.column(2).take(at), b.column(3).take(at)], names=["node", "record", "s1", "s2"])
@@ -288,7 +311,7 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
     described = settle(signed.select("doc_id", "record", "n_shingles"))
     discard(signed)
     links = Links(docs, described, words, parts, of)
-    act, depth = settle(_walk(records, threshold, trees_for(threshold), START)), START
+    act, depth = settle(_walk(records, threshold, range(trees_for(threshold)), START)), START
     rank = F.struct(F.xxhash64("record").alias("r"), "record", "s1", "s2")
     while True:
         nodes = act.groupBy("node").agg(F.count("*").alias("n"), F.min(rank).alias("p")).filter("n > 1")
@@ -322,7 +345,12 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
         if deeper and last:
             links.compare_families(placed.select("node", "record", "pivot").join(many, "node"))
         elif deeper:
-            act = settle(_walk(placed.select("node", "record").join(many, "node").join(records, "record"), threshold, None, STEP))
+            crowded = placed.select("node", "record").join(many, "node")
+            act = _walk(crowded.join(records, "record"), threshold, None, STEP)
+            if depth == START:  # pairs that met in crowded nodes only get the trees that the deeper levels need
+                again = crowded.select("record").distinct().join(records, "record")
+                act = act.unionByName(_walk(again, threshold, range(trees_for(threshold), deep_trees(threshold)), START + STEP))
+            act = settle(act)
             depth += STEP
         discard(placed, many)
         if last or not deeper:

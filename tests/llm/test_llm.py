@@ -93,6 +93,46 @@ def test_families_in_blocks_equal_brute_force(spark, monkeypatch):
     assert all((x.n_shingles, x.component_id) == want[x.doc_id] for x in got)
 
 
+def test_pairs_of_crowded_nodes_meet_at_the_deepest_level():
+    """Default constants: 20,000 pairs at the threshold, walked to DEEPEST in the trees that crowded records get."""
+    r, n = np.random.default_rng(3), 20_000
+    one = r.integers(0, 1 << 32, (n, near_dedup.SIGNATURE), dtype=np.uint32)
+    two = np.where(r.random(one.shape) < 0.85, one, r.integers(0, 1 << 32, one.shape, dtype=np.uint32))
+    apart = np.ones(n, bool)
+    for root in near_dedup.roots(range(near_dedup.deep_trees(0.85))):
+        left = np.flatnonzero(apart)
+        k = len(left)
+        node, row = near_dedup.extend(np.full(2 * k, root), np.arange(2 * k), np.vstack([one[left], two[left]]), 0.85, near_dedup.DEEPEST)
+        a, b = row < k, row >= k
+        key = lambda use: np.unique(near_dedup.mix64(node[use]) ^ near_dedup.mix64((row[use] % k + 1).astype(np.uint64)), return_index=True)
+        (x, i), (y, _) = key(a), key(b)
+        apart[left[np.unique(row[a][i[np.isin(x, y)]])]] = False
+        if not apart.any():
+            break
+    assert apart.sum() == 0
+    assert near_dedup.missed(0.85, 0.85, near_dedup.DEEPEST, near_dedup.deep_trees(0.85)) <= near_dedup.MISS
+
+
+def test_families_in_crowded_nodes(spark, monkeypatch):
+    """One template in all texts, each linked to one other: nodes keep more than SMALL outsiders, default constants."""
+    r = np.random.default_rng(4)
+    base, rows = [f"w{k}" for k in range(400)], []
+    for i in range(40):
+        w = list(base)
+        for k in r.choice(60, 15, replace=False):
+            w[k * 6 + 3] = f"z{i}x{k}"
+        other = list(w)
+        for k in r.choice(60, 8, replace=False):
+            other[k * 6 + 3] = f"y{i}x{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    walk, walked = near_dedup._walk, []
+    monkeypatch.setattr(near_dedup, "_walk", lambda df, threshold, trees, levels: walked.append(trees) or walk(df, threshold, trees, levels))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    want = brute_components(rows, 3, 85, 100)
+    assert range(near_dedup.trees_for(0.85), near_dedup.deep_trees(0.85)) in walked
+    assert all((x.n_shingles, x.component_id) == want[x.doc_id] for x in got)
+
+
 def test_components_both_ways(spark):
     r = np.random.default_rng(2)
     links = spark.createDataFrame([(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2))] + [(1000 + k, 1001 + k) for k in range(30)], "a long, b long")
