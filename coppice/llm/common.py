@@ -41,11 +41,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder, read it back and let go of the shuffles that made it."""
     spark = df.sparkSession
     path = scratch_path(spark, "llm")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[out] = path
     release(spark)

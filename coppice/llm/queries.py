@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import binary_output, cross_polytope, lm, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, va_file
+from coppice.llm import binary_output, chat, cross_polytope, lm, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, va_file
 from coppice.llm.common import fold, table
 
 
@@ -87,6 +88,32 @@ def op10_binary_output(spark: SparkSession, sf: str) -> DataFrame:
     return binary_output.digests(binary_output.read_shards(shards))
 
 
+def op11_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    own = json.dumps({"messages": [{"role": r, "content": "</s>[INST] ok [/INST]"} for r in ("user", "assistant")]})
+    extra = chat.canonical_turns(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(own).alias("record")), json_col="record")
+    turns = chat.canonical_turns(table(spark, sf, "conversations")).unionByName(extra)
+    return chat.digests(chat.write_chats(chat.format_chats(turns)))
+
+
+def _escaped(text: str) -> str:
+    out = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for s in chat.CONTROL:
+        out = f"replace({out}, '{s}', '{s[0]}' || chr(92) || '-{s[1:]}')"
+    return out
+
+
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     e AS (SELECT *, length({_escaped("role")}) + length({_escaped("text")}) + {len(chat.START) + len(chat.END) + 2} AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
@@ -98,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_binary_output": op10_binary_output,
+    "op11_chat_format": op11_chat_format,
 }
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op6_va_file": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op6_va_file": OP6_SQL, "op11_chat_format": OP11_SQL}
