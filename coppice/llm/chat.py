@@ -136,8 +136,11 @@ def row_fingerprint(rec: Column, layouts: list[Layout] = LAYOUTS) -> tuple[Colum
 
 
 def _turn(role: Column, text: Column) -> Column:
-    named = reduce(lambda c, kv: F.when(role == kv[0], F.lit(kv[1])).otherwise(c), ROLES.items(), role)
-    return F.struct(F.coalesce(named, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _named(role: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), role), role)
 
 
 def _turns_of(rec: Column, m: Layout) -> Column:
@@ -151,7 +154,7 @@ def _turns_of(rec: Column, m: Layout) -> Column:
     last = [said(t) for t in m.turns if t[0] != "system"]
     mid = []
     if m.array:
-        mid = [F.transform(F.filter(rec[m.array], lambda x: x.isNotNull()), lambda x: _turn(x[m.role], x[m.text]))]
+        mid = [F.transform(F.filter(rec[m.array], lambda x: x.isNotNull()), lambda x: _turn(_named(x[m.role]), x[m.text]))]
     if m.pairs:
         both = F.flatten(F.transform(F.filter(rec[m.pairs], lambda p: p.isNotNull()), lambda p: F.transform(p, lambda x, i: _turn(F.when(i % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")), x))))
         mid = [F.coalesce(both, F.array().cast("array<struct<role:string,text:string>>"))]

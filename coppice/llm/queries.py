@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm import binary_output, chat, cross_polytope, lm, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, va_file
+from coppice.llm import binary_output, chat, cross_polytope, lm, mixing, near_dedup, packing, quality, suffix_dedup, toxicity, trie_codes, va_file, whitening
 from coppice.llm.common import fold, table
 
 
@@ -114,6 +114,37 @@ FROM e GROUP BY conv_id
 """
 
 
+def op12_code_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie_codes.digest(table(spark, sf, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """Product quantisation round by round; distances from inner products of whole numbers."""
+    n, rounds = trie_codes.PARTS, trie_codes.ROUNDS
+    steps = [f"""
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({trie_codes.SCALE} * CAST(x AS DOUBLE))) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, p, x[p * (len(x) // {n}) + 1 : (p + 1) * (len(x) // {n})] AS s FROM v, range({n}) r(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, s FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {trie_codes.ENTRIES}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS (SELECT vec_id, p.p, p.s, min(CAST(list_inner_product(p.s, p.s) - 2 * list_inner_product(p.s, b.s) + list_inner_product(b.s, b.s) AS BIGINT) * 256 + e) AS m
+       FROM p JOIN b{i} b ON p.p = b.p GROUP BY vec_id, p.p, p.s)""")
+        if i < rounds:
+            steps.append(f"""
+u{i} AS (SELECT p, m % 256 AS e, j, floor(sum(s[j]) / count(*)) AS c FROM a{i}, range(1, 1 + (SELECT max(len(x)) // {n} FROM v)) r(j) GROUP BY p, m % 256, j),
+b{i + 1} AS (SELECT b.p, b.e, coalesce(any_value(l.s), any_value(b.s)) AS s FROM b{i} b LEFT JOIN (SELECT p, e, list(c ORDER BY j) AS s FROM u{i} GROUP BY p, e) l ON l.p = b.p AND l.e = b.e GROUP BY b.p, b.e)""")
+    return "WITH" + ",".join(steps) + f""",
+c AS (SELECT vec_id, string_agg(printf('%02x', CAST(m % 256 AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+k AS (SELECT sha256(string_agg(CAST(CAST(s[j] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS k FROM b{rounds}, range(1, 1 + (SELECT max(len(x)) // {n} FROM v)) r(j))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, k AS codebooks_sha256 FROM c JOIN v USING (vec_id), k
+"""
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality": op2_quality,
@@ -126,6 +157,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_binary_output": op10_binary_output,
     "op11_chat_format": op11_chat_format,
+    "op12_code_trie": op12_code_trie,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op6_va_file": OP6_SQL, "op11_chat_format": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op6_va_file": OP6_SQL, "op11_chat_format": OP11_SQL, "op12_code_trie": _op12_sql()}
