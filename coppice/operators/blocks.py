@@ -106,7 +106,7 @@ def best_group(rows: DataFrame, groups: DataFrame, cost: Callable, block: int =
     return out.groupBy("id").agg(best).select("id", "b.gid", "b.cost")
 
 
-def over_tiles(left: DataFrame, right: DataFrame, fn: Callable, schema: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+def over_tiles(left: DataFrame, right: DataFrame, fn: Callable, schema: str, tile_rows: int | None = None) -> DataFrame:
     """Run ``fn(left_block, right_block)`` for every pair of blocks of the same scope.
 
     Both sides have a unique ``id`` and may have an integer ``scope``; rows of different scopes never
@@ -114,6 +114,7 @@ def over_tiles(left: DataFrame, right: DataFrame, fn: Callable, schema: str, til
     many blocks as its size asks for, so blocks stay even and bounded whatever the data looks like.
     """
     shared_dir(left.sparkSession)
+    tile_rows = tile_rows or TILE_ROWS
     left, right = (df if "scope" in df.columns else df.withColumn("scope", F.lit(0)) for df in (left, right))
 
     def count(df: DataFrame, name: str) -> DataFrame:

@@ -3,11 +3,9 @@
 1. core distances from a nearest-neighbour pass over distance tiles;
 2. the minimum spanning tree of the mutual reachability distances, by Boruvka rounds whose
    cheapest outgoing edges again come from the tiles;
-3. connected components of the tree at a ladder of edge lengths: every distinct length when there
-   are few, evenly spaced ones otherwise (bounded scopes in one task each, others by hooking and
-   pointer doubling over all levels at once);
+3. the exact merge tree of every spanning tree, contracted band by band (:mod:`merge_tree`);
 4. the condensed tree, cluster stabilities and the excess-of-mass choice, as joins over the
-   components that reach the minimum size.
+   merges that reach the minimum size.
 """
 
 from __future__ import annotations
@@ -20,13 +18,13 @@ from pyspark.sql import functions as F
 
 from coppice.operators import blocks as bl
 from coppice.operators.linkage import find_roots
+from coppice.operators.merge_tree import merge_tree
 from coppice.operators.vector_metrics import nearest_centroid
 from coppice.functions import vectors as vx
 from coppice.session import cut, number_rows
 
-MAX_LEVELS = 64
-SMALL_SCOPE = 4096  # tree edges of a scope that one task may settle
 DIGITS = 10
+SMALL_TREE = 1 << 16  # condensed clusters that one task may settle
 NOISE = -1
 
 
@@ -95,125 +93,108 @@ def spanning_tree(rows: DataFrame, sizes: list[int]) -> DataFrame:
     return cut(edges.join(scopes, "lo").select("scope", "j", "lo", "hi", "w"))
 
 
-def ladder(tree: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
-    """``(scope, j, level, eps)``: the edge lengths at which components are looked at, ascending."""
-    keys = ["scope", "j"]
-    lengths = tree.select(*keys, "w").distinct()
-    ranked = number_rows(lengths, ["w"], "_no", within=keys)
-    total = ranked.groupBy(*keys).agg(F.max("_no").alias("_n"))
-    rung = lambda no: F.floor(no * max_levels / F.col("_n"))
-    kept = ranked.join(total, keys).filter(rung(F.col("_no")) > rung(F.col("_no") - 1))
-    order = W.partitionBy(*keys).orderBy("w")
-    return kept.select(*keys, (F.row_number().over(order) - 1).alias("level"), F.col("w").alias("eps"))
-
-
-def components(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, node, up)``: every node's smallest connected node, by hooking and pointer doubling."""
-    left = cut(edges.select(*keys, "a", "b"))
-    label = None
-    while left.take(1):
-        both = left.unionByName(left.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("up"))
-        roots = find_roots(hooks, keys)
-        if label is None:
-            label = roots
-        else:
-            to = roots.select(*keys, F.col("node").alias("up"), F.col("up").alias("_up"))
-            label = cut(label.join(to, [*keys, "up"], "left").select(*keys, "node", F.coalesce("_up", "up").alias("up")))
-        for side in ("a", "b"):
-            to = roots.select(*keys, F.col("node").alias(side), F.col("up").alias("_up"))
-            left = left.join(to, [*keys, side]).withColumn(side, F.col("_up")).drop("_up")
-        left = cut(left.filter("a <> b").distinct())
-    return label
-
-
-def _members(tree: DataFrame, levels: DataFrame, keys: list[str]) -> DataFrame | None:
-    """``(keys, level, node, up)``: the component of every connected node at every level.
-
-    A scope of at most ``SMALL_SCOPE`` edges is settled in one task, level by level; larger ones go
-    through :func:`components`, all levels at once.
-    """
-    at = [*keys, "level"]
-    sized = tree.groupBy(*keys).agg((F.count("*") <= SMALL_SCOPE).alias("small"))
-    active = cut(tree.join(sized, keys).join(levels, keys).filter(F.col("w") <= F.col("eps")).groupBy(*keys, "small", "lo", "hi").agg(
-        F.min("level").alias("level")).select(*at, "small", F.col("lo").alias("a"), F.col("hi").alias("b")))
-    top = levels.groupBy(*keys).agg(F.max("level").alias("top"))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("level")
-        nodes, ends = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
-        ends, lab = ends.reshape(-1, 2), np.arange(len(nodes))
-        out = []
-        steps = pdf["level"].to_numpy()
-        for level in range(int(steps[0]), int(pdf["top"].iloc[0]) + 1):
-            for a, b in ends[steps == level]:
-                low, high = sorted((lab[a], lab[b]))
-                lab[lab == high] = low
-            out.append(pd.DataFrame({"level": level, "node": nodes, "up": nodes[lab]}))
-        return pd.concat(out).assign(scope=int(pdf["scope"].iloc[0]), j=int(pdf["j"].iloc[0]))
-
-    found = active.filter("small").join(top, keys).groupBy(*keys).applyInPandas(settle, "scope int, j int, level int, node long, up long")
-    large = active.filter("not small")
-    if active.isEmpty():
-        return None
-    if not large.isEmpty():
-        reached = large.withColumnRenamed("level", "first").join(levels.select(*at), keys).filter("level >= first")
-        found = found.unionByName(components(reached, at))
-    return cut(found)
-
-
-def hdbscan(items: DataFrame, sizes: list[int], max_levels: int = MAX_LEVELS) -> DataFrame:
+def hdbscan(items: DataFrame, sizes: list[int]) -> DataFrame:
     """``(id, scope, k, cluster)`` with ``k`` the minimum size and ``-1`` for noise.
 
     As many neighbours make an item dense as the minimum size asks for. A scope of which nothing
-    but the whole is dense enough is noise altogether.
+    but the whole is dense enough is noise altogether. Edges of equal length count as one step of
+    the tree, so results do not depend on the order of ties.
     """
     scope = F.col("scope") if "scope" in items.columns else F.lit(0)
     rows = cut(items.select("id", "vec", scope.alias("scope")))
     keys = ["scope", "j"]
     tree = spanning_tree(rows, sizes)
-    levels = cut(ladder(tree, max_levels))
-    steps = levels.withColumn("next_eps", F.lead("eps").over(W.partitionBy(*keys).orderBy("level")))
-    at = [*keys, "level"]
-    members = _members(tree, levels, keys)
-    if members is None:
-        return rows.select("id", "scope", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("k"), F.lit(NOISE).alias("cluster"))
+    every = rows.select("id", "scope", F.posexplode(F.array(*[F.lit(s) for s in sizes])).alias("j", "k"))
+    if tree.isEmpty():
+        return every.select("id", "scope", "k", F.lit(NOISE).alias("cluster"))
+    merges = merge_tree(tree.select(*keys, F.col("lo").alias("a"), F.col("hi").alias("b"), "w"), keys)
+    name = lambda c, w: F.when(F.col(w).isNotNull(), F.concat_ws(":", c, w))
+    none = F.lit(None).cast("double")
+    tops = tree.groupBy(*keys).agg(F.min(F.least("lo", "hi")).alias("child"), F.max("w").alias("child_w"), (F.count("*") + 1).alias("size"))
+    tops = tops.select(*keys, "child", "child_w", "size", F.lit(None).cast("long").alias("parent"), none.alias("parent_w"))
+    nodes = cut(merges.filter("child_w is not null").unionByName(tops).select(
+        *keys, name("child", "child_w").alias("comp"), name("parent", "parent_w").alias("parent"), F.col("size").alias("n"), F.col("child_w").alias("eps"), F.col("parent_w").alias("next_eps")))
     size_of = F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("j") + 1)
-    big = members.groupBy(*at, "up").agg(F.count("*").alias("n")).filter(F.col("n") >= size_of)
-    # A component's parent is the component of the same item one rung up.
-    above = members.select(*keys, (F.col("level") - 1).alias("level"), F.col("node").alias("up"), F.col("up").alias("parent_root"))
-    name = F.concat_ws(":", "level", "up")
-    parent = F.concat_ws(":", F.col("level") + 1, "parent_root")
-    linked = cut(big.join(above, [*at, "up"], "left").select(*at, "up", "n", name.alias("comp"),
-                                                            F.when(F.col("parent_root").isNotNull(), parent).alias("parent")))
+    linked = nodes.filter(F.col("n") >= size_of)
     kids = linked.filter("parent is not null").groupBy(*keys, "parent").agg(F.count("*").alias("kids"))
     only = F.coalesce(F.col("kids") == 1, F.lit(False))
     chain = linked.join(kids, [*keys, "parent"], "left").select(
         *keys, F.col("comp").alias("node"), F.when(only, F.col("parent")).otherwise(F.col("comp")).alias("up"))
-    heads = find_roots(chain, keys).select(*keys, F.col("node").alias("comp"), F.col("up").alias("head"))
+    heads = cut(find_roots(chain, keys).select(*keys, F.col("node").alias("comp"), F.col("up").alias("head")))
     inv = lambda c: 1.0 / F.greatest(c, F.lit(1e-12))
-    placed = cut(linked.join(heads, [*keys, "comp"]).join(steps, at).select(
-        *at, "comp", "head", "parent", F.col("up").alias("root"),
-        (F.col("n") * (inv(F.col("eps")) - inv(F.coalesce("next_eps", "eps")))).alias("mass")))
+    placed = cut(linked.join(heads, [*keys, "comp"]).select(
+        *keys, "comp", "head", "parent", (F.col("n") * (inv(F.col("eps")) - inv(F.coalesce("next_eps", "eps")))).alias("mass")))
     mass = placed.groupBy(*keys, "head").agg(F.sum("mass").alias("mass"))
-    starts = placed.filter("comp = head").select(*keys, "head", "level", "root", "parent")
+    starts = placed.filter("comp = head").select(*keys, "head", "parent")
     owner = placed.select(*keys, F.col("comp").alias("parent"), F.col("head").alias("above"))
-    clusters = cut(mass.join(starts, [*keys, "head"]).join(owner, [*keys, "parent"], "left").select(*keys, "head", "above", "mass", "level", "root"))
-    chosen = _excess_of_mass(clusters, keys)
-    inside = chosen.join(members.withColumnRenamed("up", "root"), [*at, "root"]).groupBy(*keys, F.col("node").alias("id")).agg(
-        F.max_by("head", "level").alias("head"))
-    numbers = inside.groupBy(*keys, "head").agg(F.min("id").alias("low")).withColumn(
+    clusters = cut(mass.join(starts, [*keys, "head"]).join(owner, [*keys, "parent"], "left").select(*keys, "head", "above", "mass"))
+    chosen = _choose(clusters, keys)
+    # an item belongs to the first merge on its way up that is large enough
+    climb = nodes.select(*keys, F.col("comp").alias("node"), F.when(F.col("n") >= size_of, F.col("comp")).otherwise(F.coalesce("parent", "comp")).alias("up"))
+    dense = find_roots(climb, keys).join(heads.withColumnRenamed("comp", "up"), [*keys, "up"]).join(chosen, [*keys, "head"]).select(*keys, "node", "cluster_head")
+    first = merges.filter("child_w is null").select(*keys, F.col("child").alias("id"), name("parent", "parent_w").alias("node"))
+    inside = cut(first.join(dense, [*keys, "node"]).select(*keys, "id", "cluster_head"))
+    numbers = inside.groupBy(*keys, "cluster_head").agg(F.min("id").alias("low")).withColumn(
         "cluster", F.row_number().over(W.partitionBy(*keys).orderBy("low")) - 1)
-    found = inside.join(cut(numbers.drop("low")), [*keys, "head"]).select("id", "scope", "j", "cluster")
-    every = rows.select("id", "scope", F.posexplode(F.array(*[F.lit(s) for s in sizes])).alias("j", "k"))
+    found = inside.join(cut(numbers.drop("low")), [*keys, "cluster_head"]).select("id", "scope", "j", "cluster")
     return every.join(found, ["id", "scope", "j"], "left").select("id", "scope", "k", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 
 
+def _choose(clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, head, cluster_head)``: the chosen cluster that each cluster's items end up in.
+
+    Condensed trees of at most ``SMALL_TREE`` clusters are settled by a task each, larger ones round by
+    round, with equal results.
+    """
+    sized = cut(clusters.join(clusters.groupBy(*keys).agg((F.count("*") <= SMALL_TREE).alias("_small")), keys))
+    large = sized.filter("not _small").drop("_small")
+    done = sized.filter("_small").drop("_small").groupBy(*keys).applyInPandas(_settle_tree, "scope int, j int, head string, cluster_head string")
+    if large.take(1):
+        done = done.unionByName(_topmost(large, _excess_of_mass(large, keys), keys))
+    return cut(done)
+
+
+def _settle_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    above, mass = dict(zip(pdf["head"], pdf["above"])), dict(zip(pdf["head"], pdf["mass"]))
+    kids: dict[str | None, list[str]] = {}
+    for head, up in above.items():
+        kids.setdefault(up if isinstance(up, str) else None, []).append(head)
+    order = list(kids.get(None, []))
+    for head in order:  # parents first; the list grows while it is read
+        order += kids.get(head, [])
+    value, chosen, out = {}, {}, {}
+    for head in reversed(order):
+        below = sum(value[c] for c in kids.get(head, []))
+        value[head], chosen[head] = max(mass[head], below), mass[head] >= below
+    for head in order:
+        up = above[head] if isinstance(above[head], str) else None
+        out[head] = out.get(up) or (head if chosen[head] and up is not None else None)
+    rows = [(h, c) for h, c in out.items() if c is not None]
+    return pd.DataFrame(rows, columns=["head", "cluster_head"]).assign(scope=int(pdf["scope"].iloc[0]), j=int(pdf["j"].iloc[0]))
+
+
+def _topmost(clusters: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, head, cluster_head)``: the topmost chosen cluster on every cluster's way up; none, no row.
+
+    Pointer doubling: a row knows the topmost chosen cluster of the stretch it has seen, and takes
+    over what the end of that stretch knows.
+    """
+    p = clusters.join(chosen.withColumn("_hit", F.lit(True)), [*keys, "head"], "left").select(
+        *keys, "head", F.coalesce("above", "head").alias("up"), F.when(F.col("_hit"), F.col("head")).alias("cluster_head"))
+    while True:
+        ahead = p.select(*keys, F.col("head").alias("up"), F.col("up").alias("_up"), F.col("cluster_head").alias("_top"))
+        p = cut(p.join(ahead, [*keys, "up"]).select(
+            *keys, "head", F.col("_up").alias("up"), F.coalesce("_top", "cluster_head").alias("cluster_head"), (F.col("up") != F.col("_up")).alias("_moved")))
+        if not p.filter("_moved").take(1):
+            return p.filter("cluster_head is not null").select(*keys, "head", "cluster_head")
+        p = p.drop("_moved")
+
+
 def _excess_of_mass(clusters: DataFrame, keys: list[str]) -> DataFrame:
     """Clusters at least as stable as the best choice below them; never the whole scope.
 
     Values rise from the leaves of the condensed tree, one rung of it per round. A chosen cluster
-    below another chosen one is dropped later, when items take their topmost cluster.
+    below another chosen one stays in the list; items take their topmost cluster.
     """
     waiting = clusters
     done = None
@@ -229,7 +210,7 @@ def _excess_of_mass(clusters: DataFrame, keys: list[str]) -> DataFrame:
         ready = cut(ready.select("*", F.greatest(F.col("mass"), below).alias("value"), (F.col("mass") >= below).alias("chosen")).drop("below"))
         waiting = cut(waiting.join(ready.select(*keys, "head"), [*keys, "head"], "left_anti"))
         done = ready if done is None else cut(done.unionByName(ready))
-    return done.filter("chosen and above is not null").select(*keys, "head", "level", "root")
+    return done.filter("chosen and above is not null").select(*keys, "head")
 
 
 def fold_noise(items: DataFrame, labels: DataFrame) -> DataFrame:
@@ -248,5 +229,5 @@ def fold_noise(items: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.filter(F.col("cluster") != NOISE).select("id", "scope", "k", "cluster").unionByName(moved)
 
 
-def hdbscan_sweep(items: DataFrame, sizes: list[int], max_levels: int = MAX_LEVELS) -> DataFrame:
-    return fold_noise(items, hdbscan(items, sizes, max_levels))
+def hdbscan_sweep(items: DataFrame, sizes: list[int]) -> DataFrame:
+    return fold_noise(items, hdbscan(items, sizes))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from coppice import settings as cfg
 from coppice.operators import birch as bi
+from coppice.operators import blocks as bl
 from coppice.operators import centers as ce
 from coppice.operators import density as de
 from coppice.operators import linkage as lk
+from coppice.operators import merge_tree as mt
 from coppice.operators import spectral as sp
 from coppice.operators import sweep
 from tests.conftest import points
@@ -94,11 +96,11 @@ def test_spectral_embedding_spans_the_leading_eigenvectors(spark):
     assert np.linalg.svd(q.T @ want)[1] == pytest.approx(np.ones(4), abs=1e-6)
 
 
-@pytest.mark.parametrize("small", [4096, 10])
+@pytest.mark.parametrize("small", [1 << 16, 10])
 def test_density_clusters_and_noise(spark, monkeypatch, small):
-    monkeypatch.setattr(de, "SMALL_SCOPE", small)
+    monkeypatch.setattr(mt, "UNIT_EDGES", small)
     x = np.vstack([BLOBS, np.random.default_rng(6).normal(size=(8, 6)) * 12])
-    got = de.hdbscan(points(spark, x), [5, 10], 256)
+    got = de.hdbscan(points(spark, x), [5, 10])
     for k in (5, 10):
         assert {g & frozenset(range(160)) for g in partition(got, k=k)} == TRUE
     folded = de.fold_noise(points(spark, x), got)
@@ -136,3 +138,99 @@ def test_three_items_are_one_group(spark):
     few = spark.sql(f"SELECT id AS item_id, array(double(id), 1.0D) AS features, concat('n', id) AS technology_name, 'd' AS Technology_Description, {tags} FROM range(3)")
     labels, _, attempts = sweep.correction_loop(few, ks=[5], l2_ks=[2], min_sizes=[5])
     assert {(r.l1, r.l2) for r in labels.collect()} == {(0, 0)} and labels.count() == 3 and attempts.count() == 0
+
+
+def plain_merge_tree(edges):
+    """Children and parents as sets of items, one merge a distinct length."""
+    group, born, out = {}, {}, set()
+    for a, b, _ in edges:
+        group[a], group[b] = frozenset([a]), frozenset([b])
+    for w in sorted({w for *_, w in edges}):
+        old = {x for a, b, v in edges if v == w for x in (group[a], group[b])}
+        for a, b, v in edges:
+            if v == w and group[a] != group[b]:
+                both = group[a] | group[b]
+                group.update(dict.fromkeys(both, both))
+        out |= {(min(x), born.get(x), len(x), min(group[next(iter(x))]), w) for x in old}
+        born.update({group[next(iter(x))]: w for x in old})
+    return out
+
+
+@pytest.mark.parametrize("limit", [3, 1 << 16])
+def test_merge_tree_equals_plain_merging(spark, limit):
+    r = np.random.default_rng(limit)
+    rows, want = [], {}
+    for scope, (n, lengths) in enumerate([(60, 1000), (40, 5), (25, 1), (2, 1)]):  # many ties, one length only, a single edge
+        ids = r.permutation(n) + 100 * scope
+        edges = [(int(ids[i]), int(ids[r.integers(0, i)]), float(r.integers(0, lengths))) for i in range(1, n)]
+        rows += [(scope, *e) for e in edges]
+        want[scope] = plain_merge_tree(edges)
+    got = mt.merge_tree(spark.createDataFrame(rows, "scope int, a long, b long, w double"), ["scope"], limit).collect()
+    for scope in want:
+        assert {(g.child, g.child_w, g["size"], g.parent, g.parent_w) for g in got if g.scope == scope} == want[scope]
+    assert len(got) == sum(map(len, want.values()))
+
+
+def plain_hdbscan(x, size):
+    """Components at every edge length, condensed from the top; the choice by excess of mass."""
+    d = np.round(np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0)), de.DIGITS)
+    np.fill_diagonal(d, 0)
+    core = np.sort(d, axis=1)[:, size - 1]
+    m = np.maximum(np.maximum(d, core[:, None]), core[None])
+    np.fill_diagonal(m, np.inf)
+
+    def parts(nodes, below):
+        left, out = set(nodes), []
+        while left:
+            todo, seen = [left.pop()], set()
+            while todo:
+                v = todo.pop()
+                seen.add(v)
+                near = [u for u in left if m[v, u] < below]
+                left -= set(near)
+                todo += near
+            out.append(frozenset(seen))
+        return out
+
+    def formed(nodes):
+        """The least length at which the nodes hang together."""
+        ids, tree = sorted(nodes), []
+        best = {v: m[ids[0], v] for v in ids[1:]}
+        while best:
+            v = min(best, key=best.get)
+            tree.append(best.pop(v))
+            best = {u: min(w, m[v, u]) for u, w in best.items()}
+        return max(tree)
+
+    inv = lambda w: 1.0 / max(w, 1e-12)
+
+    def condense(nodes, birth):
+        """(clusters chosen at or below, their value) of a cluster that starts as these nodes."""
+        here, mass, w_up = nodes, 0.0, birth
+        while True:
+            w = formed(here)
+            mass += len(here) * (inv(w) - inv(w_up if w_up is not None else w))
+            big = [p for p in parts(here, w) if len(p) >= size]
+            if len(big) != 1:
+                break
+            here, w_up = big[0], w
+        below = [condense(p, w) for p in big]
+        value = sum(v for _, v in below)
+        if birth is not None and mass >= value:
+            return [nodes], mass
+        return [c for cs, _ in below for c in cs], value if birth is not None else value
+
+    return set(condense(frozenset(range(len(x))), None)[0])
+
+
+@pytest.mark.parametrize("case,unit", [("uniform", 16), ("blobs", 1 << 16), ("grid", 16)])
+def test_density_equals_plain_tree(spark, monkeypatch, case, unit):
+    monkeypatch.setattr(mt, "UNIT_EDGES", unit)
+    monkeypatch.setattr(de, "SMALL_TREE", unit // 16)
+    monkeypatch.setattr(bl, "TILE_ROWS", 50)
+    r = np.random.default_rng(5)
+    x = {"uniform": r.uniform(size=(130, 2)), "blobs": np.vstack([BLOBS[::2], r.normal(size=(20, 6)) * 6]),
+         "grid": np.round(r.normal(size=(120, 2)) * 3)}[case]  # repeated points and many equal distances
+    got = de.hdbscan(points(spark, x), [3, 8])
+    for k in (3, 8):
+        assert partition(got, k=k) == plain_hdbscan(x, k)
