@@ -1,15 +1,16 @@
 """Two ways to compare many rows with many rows without listing pairs.
 
-``best_group`` compares rows with group summaries (centroids): the summaries travel to the tasks a
-bounded block at a time and only the best group per row comes back. ``over_tiles`` compares rows
+``best_group`` finds the cheapest group (centroid) of every row. A counted, short list of groups travels to
+the rows; a longer one stays a Spark table, cut into cells around pivots whose radii rule out, by the triangle
+inequality, the cells that cannot hold a row's best group. ``over_tiles`` compares rows
 with rows: both sides are cut into blocks by a hash of their key, every pair of blocks meets in
 one task as two bounded matrices, and the task returns reductions only.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,9 @@ from coppice.session import cut, shared_dir
 
 GROUP_BLOCK = 4096
 TILE_ROWS = 1024
+CELL_GROUPS = 2048
+MAX_PIVOTS = 1024  # cells a scope; larger cells are cut into tiles
+SLACK = 1e-9  # for rounding in distances and costs
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -44,66 +48,154 @@ def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 1.0 - _unit(x) @ _unit(y).T
 
 
-# Costs take (row vectors, row weights, group vectors, group weights).
-def euclidean_cost(x, xw, y, yw):
-    return euclidean(x, y)
+@dataclass(frozen=True)
+class Cost:
+    """What it costs to put a row in a group, and how little it can cost within a ball of groups.
+
+    ``value`` takes (row vectors, row weights, group vectors, group weights); ``floor`` takes (rows, row weights, ball
+    centres, radii, least and greatest weight in the ball). Balls are measured by euclidean distance after ``shape``.
+    """
+
+    value: Callable
+    floor: Callable
+    shape: Callable = lambda x: x
+
+
+def outside(x: np.ndarray, p: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Least distance of a row to anything in a ball, by the triangle inequality."""
+    return np.maximum(euclidean(x, p) - r, 0.0)
+
+
+EUCLIDEAN = Cost(lambda x, xw, y, yw: euclidean(x, y), lambda x, xw, p, r, lo, hi: outside(x, p, r))
+# 1 - uv is at least half the squared distance of u and v when neither is longer than one
+COSINE = Cost(lambda x, xw, y, yw: cosine(x, y), lambda x, xw, p, r, lo, hi: outside(x, p, r) ** 2 / 2, _unit)
 
 
-def cosine_cost(x, xw, y, yw):
-    return cosine(x, y)
+def _nearest(lp: pd.DataFrame, rp: pd.DataFrame, cost: Cost, has: dict[str, bool]) -> pd.DataFrame:
+    """The cheapest group of every row of one block."""
+    rp = rp.sort_values("gid")
+    gid = rp["gid"].to_numpy()
+    c = cost.value(matrix(lp["vec"]), lp["w"].to_numpy(float)[:, None] if has["w"] else None,
+                   matrix(rp["vec"]), rp["w"].to_numpy(float)[None, :] if has["w"] else None)
+    if has["own"]:
+        c = np.where(lp["own"].to_numpy()[:, None] == gid[None, :], np.inf, c)
+    if has["scope"]:
+        c = np.where(lp["scope"].to_numpy()[:, None] == rp["scope"].to_numpy()[None, :], c, np.inf)
+    at = c.argmin(axis=1)
+    low = c[np.arange(len(lp)), at]
+    return pd.DataFrame({"id": lp["id"], "gid": gid[at], "cost": low})[np.isfinite(low)]
 
 
-def best_group(rows: DataFrame, groups: DataFrame, cost: Callable, block: int = GROUP_BLOCK, written: bool = False) -> DataFrame:
+_FOUND = "id long, gid long, cost double"
+
+
+def _cheapest(found: DataFrame) -> DataFrame:
+    return found.groupBy("id").agg(F.min(F.struct("cost", "gid")).alias("b")).select("id", "b.gid", "b.cost")
+
+
+def best_group(rows: DataFrame, groups: DataFrame, cost: Cost, written: bool = False) -> DataFrame:
     """``(id, gid, cost)``: the cheapest group for every row; ties go to the lowest group number.
 
     ``rows(id, vec[, w, own, scope])``, ``groups(gid, vec[, w, scope])``. A row never matches the
     group ``own`` and, with ``scope``, only groups of the same scope; a row without any candidate
-    is absent. At most about ``block`` groups are held at a time, however many there are, and the
-    rows are never shuffled. ``written`` says that ``groups`` is already a table.
+    is absent. Up to ``GROUP_BLOCK`` groups, which are counted first, travel to the rows. More stay
+    in Spark: rows meet them in tiles, and where a scope holds more than ``CELL_GROUPS``, only in the
+    cells that can hold a cheaper one. ``written`` says that ``groups`` is already a table.
     """
     shared_dir(rows.sparkSession)
     has = {c: c in rows.columns for c in ("w", "own", "scope")}
     cols = ["id", "vec", *[c for c in has if has[c]]]
     take = ["gid", "vec", *[c for c in ("w", "scope") if has[c]]]
     groups = groups.select(*take) if written else cut(groups.select(*take))
-    passes = max(1, math.ceil(groups.count() / block))
-    if passes > 1:
-        rows = cut(rows.select(*cols))
-    found = []
-    for b in range(passes):
-        mine = groups if passes == 1 else groups.filter(F.pmod(F.xxhash64("gid"), F.lit(passes)) == b)
-        held = mine.toPandas().sort_values("gid")
-        if not len(held):
-            continue
-        gid, vec = held["gid"].to_numpy(), matrix(held["vec"])
-        gw = held["w"].to_numpy(float) if has["w"] else None
-        gp = held["scope"].to_numpy() if has["scope"] else None
-
-        def nearest(batches: Iterator[pd.DataFrame], gid=gid, vec=vec, gw=gw, gp=gp) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                c = cost(matrix(pdf["vec"]), pdf["w"].to_numpy(float)[:, None] if has["w"] else None,
-                         vec, gw[None, :] if has["w"] else None)
-                if has["own"]:
-                    c = np.where(pdf["own"].to_numpy()[:, None] == gid[None, :], np.inf, c)
-                if has["scope"]:
-                    c = np.where(pdf["scope"].to_numpy()[:, None] == gp[None, :], c, np.inf)
-                at = c.argmin(axis=1)
-                low = c[np.arange(len(pdf)), at]
-                out = pd.DataFrame({"id": pdf["id"], "gid": gid[at], "cost": low})
-                yield out[np.isfinite(low)]
-
-        found.append(rows.select(*cols).mapInPandas(nearest, "id long, gid long, cost double"))
-    if not found:
+    if len(groups.limit(GROUP_BLOCK + 1).select("gid").collect()) > GROUP_BLOCK:
+        return _best_of_many(cut(rows.select(*cols)), groups, cost, has)
+    held = groups.toPandas()
+    if not len(held):
         return rows.select("id", F.lit(None).cast("long").alias("gid"), F.lit(None).cast("double").alias("cost")).limit(0)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    if len(found) == 1:
-        return out
-    best = F.min(F.struct("cost", "gid")).alias("b")
-    return out.groupBy("id").agg(best).select("id", "b.gid", "b.cost")
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield _nearest(pdf, held, cost, has)
+
+    return rows.select(*cols).mapInPandas(nearest, _FOUND)
+
+
+def _best_of_many(rows: DataFrame, groups: DataFrame, cost: Cost, has: dict[str, bool]) -> DataFrame:
+    """Both sides stay in Spark; tasks return one group per row and block."""
+    if not has["scope"]:
+        rows, groups = rows.withColumn("scope", F.lit(0)), groups.withColumn("scope", F.lit(0))
+    inside = {**has, "scope": False}  # a tile holds one scope
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        return over_tiles(left, right, lambda lp, rp: _nearest(lp, rp, cost, inside), _FOUND)
+
+    sizes = groups.groupBy("scope").agg(F.count("*").alias("_n"))
+    if not sizes.filter(F.col("_n") > CELL_GROUPS).take(1):
+        return _cheapest(meet(rows, groups.withColumn("id", F.col("gid"))))
+    placed, cells = _cells(groups, cut(sizes), cost)
+    apart = placed.select("gid", "vec", *(["w"] if has["w"] else []), F.col("gid").alias("id"), F.col("cell").alias("scope"))
+
+    def floors(lp: pd.DataFrame, rp: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, p = cost.shape(matrix(lp["vec"])), matrix(rp["vec"])
+        xw = lp["w"].to_numpy(float)[:, None] if has["w"] else None
+        low = cost.floor(x, xw, p, *[rp[c].to_numpy(float)[None, :] for c in ("radius", "least", "most")])
+        return low, euclidean(x, p)
+
+    def home(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        low, d = floors(lp, rp)
+        at = np.where(low <= low.min(axis=1, keepdims=True), d, np.inf).argmin(axis=1)
+        i = np.arange(len(lp))
+        return pd.DataFrame({"id": lp["id"], "low": low[i, at], "d": d[i, at], "cell": rp["id"].to_numpy()[at]})
+
+    first = over_tiles(rows, cells, home, "id long, low double, d double, cell long").groupBy("id").agg(F.min(F.struct("low", "d", "cell")).alias("b"))
+    homes = cut(first.select("id", F.col("b.cell").alias("home")))
+    visit = lambda seen: rows.drop("scope").join(seen, "id")
+    near = cut(_cheapest(meet(visit(homes.withColumnRenamed("home", "scope")), apart)))
+    known = rows.join(homes, "id").join(near.select("id", "cost"), "id", "left").withColumn("best", F.coalesce("cost", F.lit(float("inf"))))
+
+    def open_cells(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        low, _ = floors(lp, rp)
+        best = lp["best"].to_numpy()[:, None]
+        slack = SLACK * (1 + np.abs(np.where(np.isfinite(best), best, 0.0)))
+        i, j = np.nonzero((low <= best + slack) & (lp["home"].to_numpy()[:, None] != rp["id"].to_numpy()[None, :]))
+        return pd.DataFrame({"id": lp["id"].to_numpy()[i], "scope": rp["id"].to_numpy()[j]})
+
+    seen = cut(over_tiles(known, cells, open_cells, "id long, scope long"))
+    return _cheapest(near.unionByName(meet(visit(seen), apart)))
+
+
+def _cells(groups: DataFrame, sizes: DataFrame, cost: Cost) -> tuple[DataFrame, DataFrame]:
+    """Groups with the pivot they are nearest to, and the table of pivots with the radii of their cells.
+
+    Pivots are groups picked by a hash of their number, about one in ``CELL_GROUPS`` and at most about
+    ``MAX_PIVOTS`` a scope; the first group of a scope is one anyhow. A cell keeps its least and greatest weight.
+    """
+    wanted = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("_n") / CELL_GROUPS))
+    drawn = groups.join(sizes, "scope").filter((wanted > 1) & (F.pmod(F.xxhash64("gid"), F.ceil(F.col("_n") / wanted)) == 0)).select("scope", "gid", "vec")
+    firsts = groups.groupBy("scope").agg(F.min_by(F.struct("gid", "vec"), "gid").alias("g")).select("scope", "g.*")
+    pivots = cut(drawn.unionByName(firsts).dropDuplicates(["gid"]).withColumnRenamed("gid", "id"))
+
+    def closest(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        rp = rp.sort_values("id")
+        d = euclidean(cost.shape(matrix(lp["vec"])), cost.shape(matrix(rp["vec"])))
+        at = d.argmin(axis=1)
+        return pd.DataFrame({"id": lp["id"], "d": d[np.arange(len(lp)), at], "cell": rp["id"].to_numpy()[at]})
+
+    found = over_tiles(groups.withColumn("id", F.col("gid")), pivots, closest, "id long, d double, cell long")
+    near = found.groupBy("id").agg(F.min(F.struct("d", "cell")).alias("b")).select(F.col("id").alias("gid"), F.col("b.cell").alias("cell"), F.col("b.d").alias("far"))
+    placed = cut(groups.join(near, "gid"))
+    w = F.col("w") if "w" in groups.columns else F.lit(1.0)
+    balls = placed.groupBy("cell").agg((F.max("far") * (1 + SLACK) + SLACK).alias("radius"), F.min(w).alias("least"), F.max(w).alias("most"))
+
+    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(vec=list(cost.shape(matrix(pdf["vec"]))))
+
+    kind = dict(groups.dtypes)["scope"]
+    table = pivots.join(balls, pivots["id"] == balls["cell"]).select("id", "scope", F.col("vec").cast("array<double>").alias("vec"), "radius", *[F.col(c).cast("double").alias(c) for c in ("least", "most")])
+    return placed, cut(table.mapInPandas(shaped, f"id long, scope {kind}, vec array<double>, radius double, least double, most double"))
 
 
 def over_tiles(left: DataFrame, right: DataFrame, fn: Callable, schema: str, tile_rows: int | None = None) -> DataFrame:

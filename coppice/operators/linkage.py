@@ -34,6 +34,15 @@ def _average_cost(x, xw, y, yw):
     return np.round(1.0 - x @ y.T, DIGITS)
 
 
+def _average_floor(x, xw, p, r, lo, hi):
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.maximum(1.0 - x @ p.T - size * r, bl.outside(x, p, r) ** 2 / 2)
+
+
+WARD = bl.Cost(_ward_cost, lambda x, xw, p, r, lo, hi: np.sqrt(2.0 * xw * lo / (xw + lo)) * bl.outside(x, p, r))
+AVERAGE = bl.Cost(_average_cost, _average_floor)  # group vectors are means of unit vectors
+
+
 def _complete_nearest(members: DataFrame) -> DataFrame:
     """``(id, gid, cost)``: every group's nearest group by the farthest pair of members.
 
@@ -82,7 +91,7 @@ def dendrogram(items: DataFrame, method: str = "ward") -> DataFrame:
     groups = cut(start.withColumnRenamed("id", "gid"))
     members = cut(start.select("id", "scope", "vec", F.col("id").alias("gid"))) if method == "complete" else None
     offset = (groups.agg(F.max("gid")).first()[0] or 0) + 1
-    cost = _ward_cost if method == "ward" else _average_cost
+    cost = WARD if method == "ward" else AVERAGE
     steps = []
     while groups.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") > TAIL_GROUPS).take(1):
         rows = groups.withColumn("id", F.col("gid")).withColumn("own", F.col("gid"))

@@ -78,7 +78,7 @@ def reassign_orphans(tree: DataFrame, vectors: DataFrame, max_leaf: int = cfg.OR
     typical = far.groupBy("gid").agg(F.median("distance").alias("typical"))
     out = far.join(typical, "gid").filter((F.col("distance") > factor * F.col("typical")) & (F.col("distance") > 0))
     rows = out.select(F.col("item_id").alias("id"), F.col("features").alias("vec"), F.col("gid").alias("own"))
-    near = bl.best_group(rows, leaves.select("gid", F.col("centroid").alias("vec")), bl.cosine_cost)
+    near = bl.best_group(rows, leaves.select("gid", F.col("centroid").alias("vec")), bl.COSINE)
     moves = near.withColumnRenamed("gid", "to").join(out.select(F.col("item_id").alias("id"), "gid", "distance"), "id").filter(
         F.col("cost") / F.col("distance") < improvement)
     moves = cut(moves.select(F.col("id").alias("item_id"), F.col("gid").alias("from_leaf"), F.col("to").alias("to_leaf"),
@@ -98,7 +98,7 @@ def _closest_sibling(groups: DataFrame, candidates: DataFrame) -> DataFrame:
     vec = F.transform("total", lambda v: v / F.col("n")).alias("vec")
     rows = candidates.select(F.col("gid").alias("id"), vec, F.col("gid").alias("own"), F.col("parent").alias("scope"))
     pool = groups.select("gid", vec, F.col("parent").alias("scope"))
-    return bl.best_group(rows, pool, bl.cosine_cost).select(F.col("id").alias("gid"), F.col("gid").alias("other"))
+    return bl.best_group(rows, pool, bl.COSINE).select(F.col("id").alias("gid"), F.col("gid").alias("other"))
 
 
 def _merge_rounds(groups: DataFrame, small: int) -> DataFrame:

@@ -45,7 +45,7 @@ def median_distance(labelled: DataFrame, keys: list[str], metric: str = "cosine"
 
 def nearest_centroid(items: DataFrame, groups: DataFrame, metric: str = "euclidean") -> DataFrame:
     """``(id, gid, cost)`` of the closest group; see :func:`blocks.best_group` for the columns."""
-    return bl.best_group(items, groups, bl.euclidean_cost if metric == "euclidean" else bl.cosine_cost)
+    return bl.best_group(items, groups, bl.EUCLIDEAN if metric == "euclidean" else bl.COSINE)
 
 
 def closest_groups(groups: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def closest_groups(groups: DataFrame) -> DataFrame:
     pair overall, or per scope, is the maximum of this table: no list of pairs is needed.
     """
     rows = groups.withColumn("id", F.col("gid")).withColumn("own", F.col("gid"))
-    near = bl.best_group(rows, groups, bl.cosine_cost)
+    near = bl.best_group(rows, groups, bl.COSINE)
     return near.select(F.col("id").alias("gid"), F.col("gid").alias("other"), (1.0 - F.col("cost")).alias("similarity"))
 
 
@@ -216,6 +216,14 @@ def _davies_cost(x, xw, y, yw):
     return -np.divide(xw + yw, d, out=np.zeros_like(d), where=d > 0)
 
 
+def _davies_floor(x, xw, p, r, lo, hi):
+    d = bl.outside(x, p, r)
+    return -np.divide(xw + hi, d, out=np.full_like(d, np.inf), where=d > 0)
+
+
+DAVIES = bl.Cost(_davies_cost, _davies_floor)
+
+
 def davies_bouldin(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
     """``(config_id, davies_bouldin)``: mean over clusters of the worst (s_i + s_j) / d_ij."""
     numbers = cut(cluster_numbers(assignments))
@@ -230,7 +238,7 @@ def davies_bouldin(vectors: DataFrame, assignments: DataFrame) -> DataFrame:
         .join(config.select("config_id", "scope"), "config_id")
         .select(F.col("g").alias("gid"), F.col("centroid").alias("vec"), "w", "scope"))
     rows = groups.withColumn("id", F.col("gid")).withColumn("own", F.col("gid"))
-    worst = bl.best_group(rows, groups, _davies_cost).select(F.col("id").alias("g"), (-F.col("cost")).alias("worst"))
+    worst = bl.best_group(rows, groups, DAVIES).select(F.col("id").alias("g"), (-F.col("cost")).alias("worst"))
     mean = numbers.join(worst, "g").groupBy("config_id").agg(F.avg("worst").alias("value"))
     ok = (F.col("k") >= 2) & (F.col("k") < F.col("n"))
     return config.join(mean, "config_id", "left").select(

@@ -116,7 +116,7 @@ def test_undefined_clusterings(spark):
     assert got["two"]["davies_bouldin"] < 999
 
 
-def test_nearest_group_in_blocks(spark):
+def test_nearest_group_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(40, 3)), rng.normal(size=(30, 3))
     rows = spark.createDataFrame([(i, [float(v) for v in r], i % 30) for i, r in enumerate(x)], "id long, vec array<double>, own long")
@@ -124,7 +124,8 @@ def test_nearest_group_in_blocks(spark):
     d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
     d[np.arange(40), np.arange(40) % 30] = np.inf
     for block in (4096, 8):
-        got = {r["id"]: r["gid"] for r in vm.bl.best_group(rows, groups, vm.bl.euclidean_cost, block).collect()}
+        monkeypatch.setattr(vm.bl, "GROUP_BLOCK", block)
+        got = {r["id"]: r["gid"] for r in vm.bl.best_group(rows, groups, vm.bl.EUCLIDEAN).collect()}
         assert got == {i: int(d[i].argmin()) for i in range(40)}
 
 
