@@ -6,7 +6,7 @@ pairs and the number of rounds grows with the logarithm of the items. One dendro
 number of clusters, and all scopes are clustered together.
 
 Ward and average (cosine) distances follow from group sums, so those rounds compare group
-summaries; complete linkage needs the farthest pair of members and compares items in tiles.
+summaries; complete linkage needs the farthest pair of members and keeps the distances of near groups.
 ``items(id, vec[, w, scope])``: ``w`` weighs an item that stands for several.
 """
 
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from coppice.functions import vectors as vx
 from coppice.operators import blocks as bl
-from coppice.session import cut
+from coppice.session import cut, number_rows
 
 TAIL_GROUPS = 512  # groups per scope that one task may finish
+CANDIDATES = 16  # nearest groups that a group keeps in complete linkage
+CHUNK = 256  # items of a large group that are compared together
 DIGITS = 10  # costs closer than this are ties, so that both sides of a pair agree
 
 
@@ -43,110 +45,198 @@ WARD = bl.Cost(_ward_cost, lambda x, xw, p, r, lo, hi: np.sqrt(2.0 * xw * lo / (
 AVERAGE = bl.Cost(_average_cost, _average_floor)  # group vectors are means of unit vectors
 
 
-def _complete_nearest(members: DataFrame) -> DataFrame:
-    """``(id, gid, cost)``: every group's nearest group by the farthest pair of members.
-
-    A small group stays in one block, so a tile settles its distance to other small groups by
-    itself. Groups too large for that are spread by item and only their partial maxima travel.
-    """
-    sizes = cut(members.groupBy("gid").agg((F.count("*") <= bl.TILE_ROWS // 4).alias("whole")))
-    key = F.when(F.col("whole"), F.col("gid")).otherwise(F.col("id"))
-    rows = cut(members.join(sizes, "gid").withColumn("block_key", key))
-
-    def farthest(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        lp, rp = lp.sort_values("gid"), rp.sort_values("gid")
-        lg, l0 = np.unique(lp["gid"].to_numpy(), return_index=True)
-        rg, r0 = np.unique(rp["gid"].to_numpy(), return_index=True)
-        d = np.round(bl.cosine(bl.matrix(lp["vec"]), bl.matrix(rp["vec"])), DIGITS)
-        d = np.maximum.reduceat(np.maximum.reduceat(d, l0, axis=0), r0, axis=1)
-        d = np.where(lg[:, None] == rg[None, :], np.inf, d)
-        lw, rw = lp["whole"].to_numpy()[l0], rp["whole"].to_numpy()[r0]
-        settled = np.where(lw[:, None] & rw[None, :], d, np.inf)
-        at = settled.argmin(axis=1)
-        low = settled[np.arange(len(lg)), at]
-        done = pd.DataFrame({"id": lg, "gid": rg[at], "cost": low, "settled": True})[np.isfinite(low)]
-        i, j = np.nonzero(~(lw[:, None] & rw[None, :]) & np.isfinite(d))
-        part = pd.DataFrame({"id": lg[i], "gid": rg[j], "cost": d[i, j], "settled": False})
-        return pd.concat([done, part]) if len(part) else done
-
-    side = rows.select("id", "vec", "gid", "whole", "block_key", "scope")
-    found = cut(bl.over_tiles(side, side, farthest, "id long, gid long, cost double, settled boolean"))
-    maxima = found.filter("not settled").groupBy("id", "gid").agg(F.max("cost").alias("cost"))
-    best = F.min(F.struct("cost", "gid")).alias("b")
-    both = found.filter("settled").select("id", "gid", "cost").unionByName(maxima)
-    return both.groupBy("id").agg(best).select("id", "b.gid", "b.cost")
-
-
 def dendrogram(items: DataFrame, method: str = "ward") -> DataFrame:
     """``(scope, node, up, height)``: the merge every node goes into; the last merge has no row.
 
-    Items are nodes under their own id; a merge node is named after its smaller part, one offset
-    higher. Rounds run until every scope is down to ``TAIL_GROUPS`` groups; what is left, a bounded
-    table per scope, is finished in one task per scope.
+    Items are nodes under their own id; a merge node is named after the part with the smaller first item, one
+    offset higher. Rounds run until every scope is down to ``TAIL_GROUPS`` groups; what is left, a bounded
+    table per scope, is finished in one task per scope. A group is known by its first item, and of equal
+    costs the pair with the smaller first items goes first, in the rounds as in the tail.
     """
     unit = F.transform("vec", lambda v: v / vx.norm(F.col("vec"))) if method == "average" else F.col("vec")
-    start = items.select(
+    start = cut(items.select(
         "id", (F.col("scope") if "scope" in items.columns else F.lit(0)).alias("scope"), unit.alias("vec"),
-        (F.col("w").cast("double") if "w" in items.columns else F.lit(1.0)).alias("w"))
-    groups = cut(start.withColumnRenamed("id", "gid"))
-    members = cut(start.select("id", "scope", "vec", F.col("id").alias("gid"))) if method == "complete" else None
-    offset = (groups.agg(F.max("gid")).first()[0] or 0) + 1
+        (F.col("w").cast("double") if "w" in items.columns else F.lit(1.0)).alias("w")))
+    offset = (start.agg(F.max("id")).first()[0] or 0) + 1
+    start, copied = _collapse(start, method, offset)
+    steps = [*copied, *(_complete_rounds(start, offset) if method == "complete" else _summary_rounds(start, method, offset))]
+    out = steps[0]
+    for more in steps[1:]:
+        out = out.unionByName(more)
+    return cut(out)
+
+
+def _collapse(start: DataFrame, method: str, offset: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Items without distance between them, merged first and all at once: copies join the first of them one by one.
+
+    Left to the rounds, a set of copies would merge one pair a round.
+    """
+    size = F.greatest(vx.norm(F.col("vec")), F.lit(1e-300))
+    key = F.col("vec") if method == "ward" else F.transform("vec", lambda v: F.round(v / size, 12) + F.lit(0.0))
+    keyed = start.withColumn("_key", key)
+    same = cut(keyed.groupBy("scope", "_key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum("w").alias("_w")))
+    if not same.filter("n > 1").take(1):
+        return start.withColumn("node", F.col("id")), []
+    copies = keyed.join(same.filter("n > 1").select("scope", "_key", "first"), ["scope", "_key"]).select("id", "scope", "first")
+    nth = number_rows(copies, ["id"], "_no", within=["scope", "first"]).filter("_no > 1").withColumn("up", F.col("first") + (F.col("_no") - 1) * offset)
+    step = cut(nth.select("scope", F.explode(F.array(F.col("up") - offset, F.col("id"))).alias("node"), "up", F.lit(0.0).alias("height")))
+    firsts = same.select(F.col("first").alias("id"), (F.col("first") + (F.col("n") - 1) * offset).alias("node"), "_w")
+    return cut(start.join(firsts, "id").select("id", "scope", "vec", F.col("_w").alias("w"), "node")), [step]
+
+
+def _too_many(groups: DataFrame) -> bool:
+    return bool(groups.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") > TAIL_GROUPS).take(1))
+
+
+def _summary_rounds(start: DataFrame, method: str, offset: int) -> list[DataFrame]:
+    """Rounds whose costs follow from group sums."""
+    groups = cut(start.select(F.col("id").alias("gid"), "node", "scope", "vec", "w"))
     cost = WARD if method == "ward" else AVERAGE
     steps = []
-    while groups.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") > TAIL_GROUPS).take(1):
+    while _too_many(groups):
         rows = groups.withColumn("id", F.col("gid")).withColumn("own", F.col("gid"))
-        near = cut(_complete_nearest(members) if members is not None else bl.best_group(rows, groups, cost, written=True))
+        near = cut(bl.best_group(rows, groups.drop("node"), cost))
         step = cut(_merge_rows(_mutual_pairs(near), groups, offset))
         if step.isEmpty():
-            closest = near.orderBy("cost", "id").limit(1).select(
+            closest = near.orderBy("cost", F.least("id", "gid"), F.greatest("id", "gid")).limit(1).select(
                 F.least("id", "gid").alias("a"), F.greatest("id", "gid").alias("b"), "cost")
             step = cut(_merge_rows(closest, groups, offset))
-        steps.append(step)
-        to = step.select(F.col("node").alias("gid"), "up")
+        steps.append(step.select("scope", "node", "up", "height"))
         weighted = F.transform("vec", lambda v: v * F.col("w"))
-        moved = groups.join(to, "gid", "left").select(F.coalesce("up", "gid").alias("gid"), "scope", weighted.alias("vec"), "w")
-        summed = moved.groupBy("gid", "scope").agg(vx.sum_vector(F.col("vec")).alias("total"), F.sum("w").alias("w"))
-        groups = cut(summed.select("gid", "scope", F.transform("total", lambda v: v / F.col("w")).alias("vec"), "w"))
-        if members is not None:
-            members = cut(members.join(to, "gid", "left").select("id", "scope", "vec", F.coalesce("up", "gid").alias("gid")))
-    steps.append(_tail(groups, members, method, offset))
-    out = steps[0]
-    for more in steps[1:]:
-        out = out.unionByName(more)
-    return cut(out)
-
-
-def _tail(groups: DataFrame, members: DataFrame | None, method: str, offset: int) -> DataFrame:
+        moved = groups.join(step.select("node", "up", "to"), "node", "left").select(
+            F.coalesce("to", "gid").alias("gid"), F.coalesce("up", "node").alias("node"), "scope", weighted.alias("vec"), "w")
+        summed = moved.groupBy("gid", "node", "scope").agg(vx.sum_vector(F.col("vec")).alias("total"), F.sum("w").alias("w"))
+        groups = cut(summed.select("gid", "node", "scope", F.transform("total", lambda v: v / F.col("w")).alias("vec"), "w"))
+    return [*steps, _tail(groups.withColumn("far", F.lit(None).cast(_FAR)), method, offset)]
+
+
+_FAR = "array<struct<gid:bigint,d:double>>"
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """Members with the block they are compared in: a group of up to ``CHUNK`` items stays whole, a larger one is
+    dealt out in chunks of that size, so a block holds few groups either way."""
+    sizes = cut(members.groupBy("gid").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("chunks")))
+    key = F.xxhash64("gid", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    return members.join(sizes, "gid").select("id", "scope", "vec", "gid", (F.col("chunks") == 1).alias("whole"), key.alias("block_key"))
+
+
+def _farthest(lp: pd.DataFrame, rp: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Groups of either block, the farthest pair of items between them and whether that is all of both."""
+    lp, rp = lp.sort_values("gid"), rp.sort_values("gid")
+    lg, l0 = np.unique(lp["gid"].to_numpy(), return_index=True)
+    rg, r0 = np.unique(rp["gid"].to_numpy(), return_index=True)
+    d = np.round(bl.cosine(bl.matrix(lp["vec"]), bl.matrix(rp["vec"])), DIGITS)
+    d = np.maximum.reduceat(np.maximum.reduceat(d, l0, axis=0), r0, axis=1)
+    return lg, rg, d, lp["whole"].to_numpy()[l0][:, None] & rp["whole"].to_numpy()[r0][None, :]
+
+
+def _candidates(stale: DataFrame, blocked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, d)`` with the ``CANDIDATES`` nearest groups of every stale group, and ``(gid, beyond)``: no group
+    left out is nearer than that. Tasks return that many groups of a block, and partial maxima of dealt-out groups."""
+    def tile(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        lg, rg, d, whole = _farthest(lp, rp)
+        other = lg[:, None] != rg[None, :]
+        settled = np.where(whole & other, d, np.inf)
+        m = min(CANDIDATES, len(rg))
+        at = np.argpartition(settled, m - 1, axis=1)[:, :m]
+        low = np.take_along_axis(settled, at, axis=1)
+        i, j = np.nonzero(np.isfinite(low))
+        p, q = np.nonzero(~whole & other)
+        return pd.DataFrame({"x": np.concatenate([lg[i], lg[p]]), "y": np.concatenate([rg[at[i, j]], rg[q]]),
+                             "d": np.concatenate([low[i, j], d[p, q]])})
+
+    left = blocked.join(stale.select("gid"), "gid", "left_semi")
+    found = bl.over_tiles(left, blocked, tile, "x long, y long, d double").groupBy("x", "y").agg(F.max("d").alias("d"))
+    ranked = cut(found.withColumn("rank", F.row_number().over(W.partitionBy("x").orderBy("d", "y"))).filter(F.col("rank") <= CANDIDATES))
+    pairs = ranked.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d")
+    last = ranked.filter(F.col("rank") == CANDIDATES).select(F.col("x").alias("gid"), F.col("d").alias("beyond"))
+    return pairs, last
+
+
+def _complete_rounds(start: DataFrame, offset: int) -> list[DataFrame]:
+    """Rounds on a sparse table of known distances between groups.
+
+    A merge's distance to a third group is the greater of its parts' distances, so known distances stay
+    exact without meeting items again. ``beyond`` bounds every distance that a group's list lacks; a
+    group whose nearest known group is not below it is stale, and only stale groups meet the items again,
+    once a quarter of all are stale or no merge is certain.
+    """
+    members = cut(start.select("id", "scope", "vec", F.col("id").alias("gid")))
+    groups = cut(start.select(F.col("id").alias("gid"), "node", "scope", "w", F.lit(-1.0).alias("beyond")))
+    pairs, steps = None, []
+    while _too_many(groups):
+        sizes = groups.groupBy("scope").agg(F.count("*").alias("_n"))
+        inf = F.lit(float("inf"))
+
+        def nearest(pairs: DataFrame | None, groups: DataFrame, sizes: DataFrame = sizes) -> DataFrame:
+            side = lambda a, b: F.struct(F.col(a).alias("id"), F.col("d").alias("cost"), F.col(b).alias("gid"))
+            rows = groups.join(sizes, "scope").select(F.col("gid").alias("id"), "beyond", "_n")
+            if pairs is None:
+                return rows.select("id", "_n", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("long").alias("gid"), F.lit(False).alias("sure"))
+            near = pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("s")).select("s.*").groupBy("id").agg(F.min(F.struct("cost", "gid")).alias("m"))
+            return rows.join(near, "id", "left").select("id", "_n", "m.cost", "m.gid", F.coalesce(F.col("m.cost") < F.col("beyond"), F.lit(False)).alias("sure"))
+
+        near = cut(nearest(pairs, groups))
+        stale = near.filter(~F.col("sure") & (F.col("_n") > 1)).select(F.col("id").alias("gid"))
+        chosen = cut(_mutual_pairs(near.filter("sure")))
+        if 4 * stale.count() > near.count() or chosen.isEmpty():
+            stale = cut(stale)
+            found, last = _candidates(stale, cut(_blocked(members)))
+            pairs = cut((found if pairs is None else pairs.unionByName(found)).dropDuplicates(["a", "b"]))
+            fresh = stale.join(last, "gid", "left").select("gid", F.coalesce("beyond", inf).alias("_new"))
+            groups = cut(groups.join(fresh, "gid", "left").withColumn("beyond", F.coalesce("_new", "beyond")).drop("_new"))
+            near = cut(nearest(pairs, groups))
+            chosen = cut(_mutual_pairs(near.filter("sure")))
+            if chosen.isEmpty():  # every list is tied from end to end: the first pair of all is certain
+                chosen = pairs.orderBy("d", "a", "b").limit(1).withColumnRenamed("d", "cost")
+        step = cut(_merge_rows(chosen, groups, offset))
+        steps.append(step.select("scope", "node", "up", "height"))
+        moved = cut(groups.join(step.select("node", "up", "to"), "node", "left").withColumn("new", F.coalesce("to", "gid")))
+        parts = moved.groupBy("new").agg(F.count("*").alias("parts"))
+        names = cut(moved.select("gid", "new").join(parts, "new"))
+        for c in ("a", "b"):
+            pairs = pairs.join(names.select(F.col("gid").alias(c), F.col("new").alias(f"_{c}"), F.col("parts").alias(f"_n{c}")), c)
+        joined = pairs.filter("_a <> _b").groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), (F.col("_na") * F.col("_nb")).alias("_all"))
+        pairs = cut(joined.agg(F.max("d").alias("d"), F.count("*").alias("_known")).filter("_known = _all").select("a", "b", "d"))
+        members = cut(members.join(names.select("gid", "new"), "gid").select("id", "scope", "vec", F.col("new").alias("gid")))
+        groups = cut(moved.groupBy(F.col("new").alias("gid"), F.coalesce("up", "node").alias("node"), "scope").agg(
+            F.sum("w").alias("w"), F.min("beyond").alias("beyond")))
+
+    def far(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        lg, rg, d, _ = _farthest(lp, rp)
+        i, j = np.nonzero(lg[:, None] < rg[None, :])
+        return pd.DataFrame({"gid": lg[i], "other": rg[j], "d": d[i, j]})
+
+    # scopes that are still single items bring their vectors; others the distances of their last few groups
+    alone = cut(groups.join(members.groupBy("scope").agg((F.count("*") == F.countDistinct("gid")).alias("alone")), "scope"))
+    rest = members.join(alone.filter("not alone").select("scope").distinct(), "scope", "left_semi")
+    blocked = cut(_blocked(rest))
+    rows = bl.over_tiles(blocked, blocked, far, "gid long, other long, d double").groupBy("gid", "other").agg(F.max("d").alias("d"))
+    rows = rows.groupBy("gid").agg(F.collect_list(F.struct(F.col("other").alias("gid"), "d")).alias("far"))
+    vecs = members.join(alone.filter("alone").select("gid"), "gid", "left_semi").select("gid", "vec")
+    return [*steps, _tail(alone.join(rows, "gid", "left").join(vecs, "gid", "left").withColumn("far", F.col("far").cast(_FAR)), "complete", offset)]
+
+
+def _tail(groups: DataFrame, method: str, offset: int) -> DataFrame:
     """Merge the last groups of every scope; at most ``TAIL_GROUPS`` rows reach a task."""
-    far = groups.withColumn("far", F.lit(None).cast("array<struct<gid:bigint,d:double>>"))
-    if members is not None:
-        def maxima(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-            lp, rp = lp.sort_values("gid"), rp.sort_values("gid")
-            lg, l0 = np.unique(lp["gid"].to_numpy(), return_index=True)
-            rg, r0 = np.unique(rp["gid"].to_numpy(), return_index=True)
-            d = bl.cosine(bl.matrix(lp["vec"]), bl.matrix(rp["vec"]))
-            d = np.maximum.reduceat(np.maximum.reduceat(d, l0, axis=0), r0, axis=1)
-            i, j = np.indices(d.shape)
-            return pd.DataFrame({"gid": lg[i.ravel()], "other": rg[j.ravel()], "d": d.ravel()})
-
-        pairs = bl.over_tiles(members, members, maxima, "gid long, other long, d double")
-        rows = pairs.groupBy("gid", "other").agg(F.max("d").alias("d")).groupBy("gid").agg(
-            F.collect_list(F.struct(F.col("other").alias("gid"), "d")).alias("far"))
-        far = groups.join(rows, "gid")
-
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("gid")
-        names, size = pdf["gid"].tolist(), pdf["w"].to_numpy(float).copy()
-        x = bl.matrix(pdf["vec"])
-        if method == "complete":
-            d = np.array([[c["d"] for c in sorted(r, key=lambda c: c["gid"])] for r in pdf["far"]])
+        gids, names, size = pdf["gid"].tolist(), pdf["node"].tolist(), pdf["w"].to_numpy(float).copy()
+        if method == "complete" and not pdf["alone"].all():
+            place = {g: i for i, g in enumerate(gids)}
+            d = np.full((len(gids), len(gids)), np.inf)
+            for i, row in enumerate(pdf["far"]):
+                for c in row if row is not None else ():
+                    d[i, place[c["gid"]]] = d[place[c["gid"]], i] = c["d"]
         else:
-            d = (_ward_cost if method == "ward" else _average_cost)(x, size[:, None], x, size[None, :])
+            x = bl.matrix(pdf["vec"])
+            d = np.round(bl.cosine(x, x), DIGITS) if method == "complete" else (WARD if method == "ward" else AVERAGE).value(x, size[:, None], x, size[None, :])
         np.fill_diagonal(d, np.inf)
         out, alive = [], np.ones(len(names), bool)
         for _ in range(len(names) - 1):
             i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-            up = min(names[i], names[j]) + offset
+            up = names[i] + offset
             out += [(n, up, float(d[i, j])) for n in (names[i], names[j])]
             a, b, rest = size[i], size[j], size
             if method == "ward":
@@ -155,6 +245,7 @@ def _tail(groups: DataFrame, members: DataFrame | None, method: str, offset: int
                 new = (a * d[i] + b * d[j]) / (a + b)
             else:
                 new = np.maximum(d[i], d[j])
+            new = np.round(new, DIGITS)
             alive[j] = False
             new[~alive] = np.inf
             new[i] = np.inf
@@ -162,13 +253,14 @@ def _tail(groups: DataFrame, members: DataFrame | None, method: str, offset: int
             size[i], names[i] = a + b, up
         return pd.DataFrame(out, columns=["node", "up", "height"]).assign(scope=int(pdf["scope"].iloc[0]))
 
-    return far.groupBy("scope").applyInPandas(finish, "node long, up long, height double, scope int").select("scope", "node", "up", "height")
+    return groups.groupBy("scope").applyInPandas(finish, "node long, up long, height double, scope int").select("scope", "node", "up", "height")
 
 
 def _merge_rows(pairs: DataFrame, groups: DataFrame, offset: int) -> DataFrame:
-    both = pairs.select("a", "cost", F.explode(F.array("a", "b")).alias("gid"))
-    return both.join(groups.select("gid", "scope"), "gid").select(
-        "scope", F.col("gid").alias("node"), (F.col("a") + offset).alias("up"), F.col("cost").alias("height"))
+    """``(scope, node, up, height, to)``: both parts of every merge, and the first item that names it."""
+    first = groups.select(F.col("gid").alias("a"), (F.col("node") + offset).alias("up"))
+    both = pairs.join(first, "a").select("a", "up", "cost", F.explode(F.array("a", "b")).alias("gid"))
+    return both.join(groups.select("gid", "node", "scope"), "gid").select("scope", "node", "up", F.col("cost").alias("height"), F.col("a").alias("to"))
 
 
 def _mutual_pairs(near: DataFrame) -> DataFrame:

@@ -50,6 +50,51 @@ def test_linkage_equals_greedy_merging(spark, monkeypatch, method):
         assert partition(got, k=k) == greedy(x, method, k)
 
 
+def merges(df):
+    return {(r.scope, r.node, r.up, round(r.height, 9)) for r in df.collect()}
+
+
+def test_complete_linkage_is_the_same_however_long_the_tail(spark, monkeypatch):
+    """Tied data: whole-number points on few rays, equal points, two scopes; short lists that run out."""
+    r = np.random.default_rng(2)
+    x = r.integers(-2, 3, (90, 3)).astype(float)
+    x[np.abs(x).sum(1) == 0] = 1.0
+    df = points(spark, x).withColumn("scope", (F.col("id") % 5 == 0).cast("int"))
+    want = merges(lk.dendrogram(df, "complete"))
+    monkeypatch.setattr(lk, "TAIL_GROUPS", 2)
+    monkeypatch.setattr(lk, "CANDIDATES", 5)
+    monkeypatch.setattr(lk, "CHUNK", 4)
+    monkeypatch.setattr(bl, "TILE_ROWS", 30)
+    assert merges(lk.dendrogram(df, "complete")) == want and len(want) == 2 * (90 - 2)
+
+
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_summary_linkage_is_the_same_however_long_the_tail(spark, monkeypatch, method):
+    x = np.random.default_rng(5).normal(size=(50, 3))
+    x[20:25] = x[5:10]
+    df = points(spark, x)
+    want = merges(lk.dendrogram(df, method))
+    monkeypatch.setattr(lk, "TAIL_GROUPS", 4)
+    got = merges(lk.dendrogram(df, method))
+    assert {m[:3] for m in got} == {m[:3] for m in want}
+
+
+@pytest.mark.parametrize("method", ["ward", "average", "complete"])
+def test_linkage_of_copies(spark, monkeypatch, method):
+    """A third of the items are one point: they merge at once, and no round is spent on them."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(45, 4))
+    x[3::3] = x[0]
+    rounds = []
+    pairs = lk._mutual_pairs
+    monkeypatch.setattr(lk, "TAIL_GROUPS", 10)
+    monkeypatch.setattr(lk, "_mutual_pairs", lambda near: rounds.append(1) or pairs(near))
+    got = lk.agglomerative(points(spark, x), method, [2, 6])
+    for k in (2, 6):
+        assert partition(got, k=k) == greedy(x, method, k)
+    assert len(rounds) < 10
+
+
 def test_linkage_scopes_do_not_mix(spark):
     x = np.random.default_rng(3).normal(size=(40, 4))
     two = points(spark, x).withColumn("scope", (F.col("id") % 2).cast("int"))
