@@ -1,64 +1,120 @@
-"""BIRCH: compress items into small clustering features, then merge those bottom-up."""
+"""BIRCH: compress items into small clustering features, then merge those bottom-up.
+
+A feature is (count, sum, sum of squares), so features can be united without their items. Items are absorbed
+block by block, then the features of two blocks are united under the same radius rule, level by level, until a scope has one
+list. Blocks follow from a scope's own size and ids: a scope's features do not depend on what is beside it.
+"""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions import vectors as vx
 from coppice.operators import blocks as bl
-from coppice.operators.linkage import cut_tree, dendrogram
+from coppice.operators.linkage import cut_tree, dendrogram, find_roots
 from coppice.session import cut
 
 RADIUS = 0.5
 BLOCK_ROWS = 2048
+#: Features that a list may hold; beyond that the radius grows until it fits, as BIRCH rebuilds a full tree.
+MAX_FEATURES = 1 << 15
+GROWTH = 1.2
+
+_FEATURE = "n double, total array<double>, squares double"
+
+
+class Features:
+    """A list of features that absorbs others; of equally near features the earliest wins."""
+
+    def __init__(self, dim: int, radius: float) -> None:
+        self.radius, self.names, self.m = radius, [], 0
+        self.n, self.squares, self.total, self.centre = np.zeros(16), np.zeros(16), np.zeros((16, dim)), np.zeros((16, dim))
 
+    def absorb(self, name: int, n: float, total: np.ndarray, squares: float) -> int:
+        """The name of the feature that took it in."""
+        m = self.m
+        if m:
+            c = int(((self.centre[:m] - total / n) ** 2).sum(axis=1).argmin())
+            size, both, sq = self.n[c] + n, self.total[c] + total, self.squares[c] + squares
+            mean = both / size
+            if max(sq / size - mean @ mean, 0.0) <= self.radius * self.radius:
+                self.n[c], self.total[c], self.squares[c], self.centre[c] = size, both, sq, mean
+                return self.names[c]
+        if m == len(self.n):
+            self.n, self.squares = (np.concatenate([v, np.zeros(m)]) for v in (self.n, self.squares))
+            self.total, self.centre = (np.concatenate([v, np.zeros_like(v)]) for v in (self.total, self.centre))
+        self.n[m], self.total[m], self.squares[m], self.centre[m] = n, total, squares, total / n
+        self.names.append(name)
+        self.m += 1
+        return name
 
-def features(items: DataFrame, radius: float = RADIUS) -> DataFrame:
-    """``(id, scope, feature)``: the clustering feature every item is absorbed in.
 
-    Items are cut into blocks by a hash of their id; in a block an item joins the nearest feature
-    if that keeps its radius within bounds, else it starts one. A feature is named after its first
-    item, so names are unique across blocks.
-    """
+def unite(parts: Iterable[tuple[int, float, np.ndarray, float]], dim: int, radius: float, most: int) -> tuple[Features, dict[int, int]]:
+    """Absorb parts in order; if more than ``most`` features are left, once more with a larger radius."""
+    parts = list(parts)
+    while True:
+        out = Features(dim, radius)
+        into = {p[0]: out.absorb(*p) for p in parts}
+        if out.m <= most:
+            return out, into
+        radius *= GROWTH
+
+
+def features(items: DataFrame, radius: float = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """``(id, scope, feature)``, the feature every item is absorbed in, named after its first item, and the
+    features ``(scope, id, n, total, squares)``."""
     scope = F.col("scope") if "scope" in items.columns else F.lit(0)
-    rows = items.select("id", "vec", scope.alias("scope"))
-    blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    rows = items.select("id", F.col("vec").cast("array<double>").alias("vec"), scope.cast("int").alias("scope"))
+    # a power of two, so that blocks pair up level by level
+    sizes = rows.groupBy("scope").agg(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.count("*") / BLOCK_ROWS, F.lit(1.0))))).cast("long").alias("blocks"))
+    sizes = cut(sizes)
+    most = MAX_FEATURES
+    out = f"scope int, block long, blocks long, name long, up long, {_FEATURE}"
+
+    def frame(pdf: pd.DataFrame, got: Features, into: dict[int, int]) -> pd.DataFrame:
+        kept = {name: i for i, name in enumerate(got.names)}
+        at = [kept.get(name, -1) for name in into]
+        table = pd.DataFrame({"name": list(into), "up": list(into.values())})
+        table["n"] = [got.n[i] if i >= 0 else None for i in at]
+        table["total"] = [got.total[i] if i >= 0 else None for i in at]
+        table["squares"] = [got.squares[i] if i >= 0 else None for i in at]
+        return table.assign(scope=int(pdf["scope"].iloc[0]), block=int(pdf["block"].iloc[0]), blocks=int(pdf["blocks"].iloc[0]))
 
     def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        x, ids = bl.matrix(pdf["vec"]), pdf["id"].to_numpy()
-        n, total, squares, name, lab = [], np.zeros((0, x.shape[1])), [], [], []
-        for i, v in enumerate(x):
-            c = -1
-            if name:
-                size = np.asarray(n)[:, None]
-                c = int(((total / size - v) ** 2).sum(1).argmin())
-                m, t, q = n[c] + 1, total[c] + v, squares[c] + v @ v
-                if max(q / m - (t / m) @ (t / m), 0.0) > radius * radius:
-                    c = -1
-            if c < 0:
-                n.append(1), squares.append(v @ v), name.append(ids[i])
-                total = np.vstack([total, v])
-            else:
-                n[c], total[c], squares[c] = m, t, q
-            lab.append(name[c])
-        return pd.DataFrame({"id": ids, "scope": pdf["scope"].to_numpy(), "feature": lab})
-
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")
-    return rows.groupBy("scope", block).applyInPandas(absorb, "id long, scope int, feature long")
+        x = bl.matrix(pdf["vec"])
+        got, into = unite(((i, 1.0, v, float(v @ v)) for i, v in zip(pdf["id"].tolist(), x)), x.shape[1], radius, most)
+        return frame(pdf, got, into)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["half", "name"])
+        x = bl.matrix(pdf["total"])
+        got, into = unite(zip(pdf["name"].tolist(), pdf["n"].tolist(), x, pdf["squares"].tolist()), x.shape[1], radius, most)
+        return frame(pdf, got, into)
+
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
+    level = cut(rows.join(sizes, "scope").select("id", "vec", "scope", "blocks", block).groupBy("scope", "block").applyInPandas(absorb, out))
+    pointers = level.select("scope", F.col("name").alias("node"), "up")
+    while level.filter("blocks > 1").take(1):
+        live = level.filter("n is not null").drop("up")
+        done = live.filter("blocks = 1").withColumn("up", F.col("name")).select(*level.columns)
+        paired = live.filter("blocks > 1").withColumn("half", F.col("block") % 2).withColumn("block", F.floor(F.col("block") / 2)).withColumn("blocks", F.floor(F.col("blocks") / 2))
+        united = cut(paired.groupBy("scope", "block").applyInPandas(merge, out))
+        moved = united.filter("name <> up").select("scope", F.col("name").alias("node"), F.col("up").alias("_to"))
+        # a name is absorbed once; until then it points to itself
+        pointers = cut(pointers.join(moved, ["scope", "node"], "left").select("scope", "node", F.coalesce("_to", "up").alias("up")))
+        level = cut(done.unionByName(united))
+    found = find_roots(pointers, ["scope"]).select(F.col("node").alias("id"), "scope", F.col("up").alias("feature"))
+    return found, cut(level.filter("n is not null").select("scope", F.col("name").alias("id"), "n", "total", "squares"))
 
 
 def birch(items: DataFrame, ks: list[int], radius: float = RADIUS) -> DataFrame:
     """``(id, scope, k, cluster)``: Ward merging of the features, weighted by their items."""
-    found = cut(features(items, radius))
-    summed = cut(
-        found.join(items.select("id", "vec"), "id").groupBy("feature", "scope")
-        .agg(vx.mean_vector(F.col("vec")).alias("vec"), F.count("*").cast("double").alias("w"))
-        .withColumnRenamed("feature", "id"))
+    found, summed = features(items, radius)
+    summed = summed.select("scope", "id", F.transform("total", lambda v: v / F.col("n")).alias("vec"), F.col("n").alias("w"))
     merged = cut_tree(summed, dendrogram(summed, "ward"), ks)
     return found.join(merged.withColumnRenamed("id", "feature"), ["feature", "scope"]).select("id", "scope", "k", "cluster")

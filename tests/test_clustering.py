@@ -279,3 +279,51 @@ def test_density_equals_plain_tree(spark, monkeypatch, case, unit):
     got = de.hdbscan(points(spark, x), [3, 8])
     for k in (3, 8):
         assert partition(got, k=k) == plain_hdbscan(x, k)
+
+
+def plain_features(x, ids, radius):
+    """One feature after the other, members kept."""
+    groups = []
+    for i in ids:
+        if groups:
+            c = min(range(len(groups)), key=lambda g: ((x[groups[g]].mean(0) - x[i]) ** 2).sum())
+            both = x[groups[c] + [i]]
+            if ((both - both.mean(0)) ** 2).sum(1).mean() <= radius * radius:
+                groups[c].append(i)
+                continue
+        groups.append([i])
+    return {frozenset(g) for g in groups}
+
+
+def test_birch_features_of_one_block(spark):
+    x = np.random.default_rng(3).normal(size=(120, 3))
+    found, feats = bi.features(points(spark, x), 0.6)
+    assert partition(found.withColumnRenamed("feature", "cluster")) == plain_features(x, range(120), 0.6)
+    assert {r.id for r in feats.collect()} == {min(g) for g in plain_features(x, range(120), 0.6)}
+
+
+def test_birch_scope_is_the_same_alone(spark, monkeypatch):
+    monkeypatch.setattr(bi, "BLOCK_ROWS", 16)
+    x = np.random.default_rng(4).normal(size=(300, 3))
+    both = points(spark, x).withColumn("scope", (F.col("id") % 3 == 0).cast("int"))
+    found, feats = bi.features(both, 0.7)
+    for s in (0, 1):
+        alone = both.filter(F.col("scope") == s)
+        one, _ = bi.features(alone.repartition(3), 0.7)
+        assert {(r.id, r.feature) for r in one.collect()} == {(r.id, r.feature) for r in found.filter(F.col("scope") == s).collect()}
+    member = {}
+    for r in found.collect():
+        member.setdefault((r.scope, r.feature), []).append(r.id)
+    rows = {(r.scope, r.id): r for r in feats.collect()}
+    assert set(rows) == set(member)
+    for key, ids in member.items():  # united across blocks, within the radius, sums exact
+        v = x[ids]
+        assert rows[key].n == len(ids) and np.allclose(rows[key].total, v.sum(0)) and ((v - v.mean(0)) ** 2).sum(1).mean() <= 0.49 + 1e-9
+    assert len(rows) < 120
+
+
+def test_birch_grows_the_radius_of_a_full_list(spark, monkeypatch):
+    monkeypatch.setattr(bi, "MAX_FEATURES", 10)
+    x = np.random.default_rng(5).normal(size=(80, 2))
+    found, feats = bi.features(points(spark, x), 0.01)
+    assert feats.count() <= 10 and found.count() == 80
