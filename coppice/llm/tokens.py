@@ -2,18 +2,58 @@
 
 Both tokenizer kinds treat pieces between ASCII blanks independently, so the ids of a text are the
 ids of its pieces one after the other. Pieces for which that might not hold (a piece that ends in
-white space, an empty piece between two blanks) send the whole text through the tokenizer.
+white space, an empty piece between two blanks) send the whole text through the tokenizer, and so does
+a text that holds the string of an added token, which gets that token's id as the library gives it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable
 
 import numpy as np
 
-#: Pieces whose ids a Python worker remembers in each memory; a full memory is emptied.
-REMEMBER = 250_000
+#: Bytes, about, that each generation of a worker's memory may take; when the young one is full it
+#: becomes the old one, and what is used again moves back.
+REMEMBER = 40 << 20
+#: About what a remembered piece costs besides its characters and ids.
+ENTRY = 170
+#: Letters below this are one code point in composed and lower case form alike.
+PLAIN = "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable stand-ins of byte-level tokenizers, for every code point below PLAIN."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(ord(PLAIN))}
+
+
+class Memory:
+    """Ids by piece, in two generations."""
+
+    def __init__(self) -> None:
+        self.young: dict[str | bytes, bytes | None] = {}
+        self.old: dict[str | bytes, bytes | None] = {}
+        self.size = 0
+
+    def put(self, piece: str | bytes, ids: bytes | None) -> None:
+        self.young[piece] = ids
+        self.size += ENTRY + len(piece) + len(ids or b"")
+
+    def missing(self, pieces: Iterable) -> list:
+        """Pieces to learn; known ones are in the young generation afterwards."""
+        if self.size > REMEMBER:
+            self.old, self.young, self.size = self.young, {}, 0
+        out = []
+        for p in pieces:
+            if p not in self.young:
+                if p in self.old:
+                    self.put(p, self.old[p])
+                else:
+                    out.append(p)
+        return out
 
 
 class Encoder:
@@ -24,47 +64,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(json_text)
-        self.tok.encode_special_tokens = True
         self.kind = kind
-        self.first: dict[str, bytes | None] = {}
-        self.next: dict[str, bytes | None] = {}
+        self.markers = [t["content"] for t in json.loads(json_text)["added_tokens"]]
+        self.letters = byte_letters()
+        self.ends = dict(zip((",", "."), self._raw([",", "."])))
+        self.first, self.next = Memory(), Memory()
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memory: dict, pieces: Iterable, lead: str) -> None:
+    def _learn(self, memory: Memory, pieces: Iterable, lead: str) -> None:
         """Remember the ids of ``pieces``.
 
-        ASCII letters, with a comma or full stop after them or not, are one or two of the
+        Plain letters, with a comma or full stop after them or not, are one or two of the
         tokenizer's own words, which its model takes directly; any other piece goes through the
         whole tokenizer.
         """
-        new = [p for p in pieces if p not in memory]
-        if len(memory) + len(new) > REMEMBER:
-            memory.clear()
-            new = list(pieces)
-        ends = dict(zip((",", "."), self._raw([",", "."])))
-        mark, rest, model = "\u0120" if lead else "", [], self.tok.model
-        for p in new:
+        mark, rest, tokenize = "\u0120" if lead else "", [], self.tok.model.tokenize
+        for p in memory.missing(pieces):
             s = p if isinstance(p, str) else p.decode("utf-8", "surrogatepass")
-            core, end = (s[:-1], s[-1]) if s[-1:] in ends else (s, "")
-            if core.isascii() and core.isalpha():
-                ids = [t.id for t in model.tokenize(mark + core if self.kind == "byte" else core.lower())]
-                memory[p] = np.array(ids, dtype="<u4").tobytes() + (ends[end] if end else b"")
+            core, end = (s[:-1], s[-1]) if s[-1:] in self.ends else (s, "")
+            low = core if self.kind == "byte" else core.lower()
+            if low.isalpha() and core.isalpha() and (low.isascii() or (max(low) < PLAIN and max(core) < PLAIN)):
+                ids = [t.id for t in tokenize(mark + (low if low.isascii() else low.translate(self.letters)))]
+                memory.put(p, np.array(ids, dtype="<u4").tobytes() + (self.ends[end] if end else b""))
             elif self.kind == "byte" and (not s or s[-1].isspace()):
-                memory[p] = None
+                memory.put(p, None)
             else:
                 rest.append((p, lead + s))
-        if rest:
-            memory.update(zip((p for p, _ in rest), self._raw([s for _, s in rest])))
+        for (p, _), ids in zip(rest, self._raw([s for _, s in rest]) if rest else ()):
+            memory.put(p, ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
         texts = [t or "" for t in texts]
+        marked = {i: self._raw([t])[0] for i, t in enumerate(texts) if any(m in t for m in self.markers)}
+        if marked:
+            plain = iter(self.encode([t for i, t in enumerate(texts) if i not in marked]))
+            return [marked[i] if i in marked else next(plain) for i in range(len(texts))]
         if self.kind == "word":  # bytes.split() cuts at ASCII white space only; other spaces are the tokenizer's to judge
             parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
             self._learn(self.first, set().union(*parts), "")
-            get = self.first.__getitem__
+            get = self.first.young.__getitem__
             return [b"".join(map(get, p)) for p in parts]
         parts = [t.split(" ") for t in texts]
         self._learn(self.first, {p[0] for p in parts}, "")
@@ -72,7 +113,7 @@ class Encoder:
         out = []
         for t, p in zip(texts, parts):
             try:
-                out.append(self.first[p[0]] + b"".join(map(self.next.__getitem__, p[1:])))
+                out.append(self.first.young[p[0]] + b"".join(map(self.next.young.__getitem__, p[1:])))
             except TypeError:
                 out.append(self._raw([t])[0])
         return out
