@@ -40,7 +40,7 @@ GRAM = 32
 #: Distinct contexts of an anchor that are compared in one task, at most.
 CROWD = 8192
 #: Contexts that a task compares, about.
-BUCKET = 16_384
+BUCKET = 3072
 #: Bytes that are looked at together; a longer text goes in pieces (the places are packed in 24 bits).
 PIECE = 1 << 19
 
@@ -111,21 +111,25 @@ def _anchor_rows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield np.array(ids)[t] if len(t) else t, h, first + lo, last + lo, at + lo
 
 
-def ranks(text: np.ndarray, size: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all places by their first 8, 16, ... and ``size`` bytes (places near the end as if zeros followed)."""
+def ranks(text: np.ndarray, size: int, graded: bool = True) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all places by their first 8, 16, ... and ``size`` bytes (places near the end as if zeros followed).
+
+    Without ``graded`` only the ranks by ``size`` bytes are kept.
+    """
     pad = np.r_[text, np.zeros(size + 8, np.uint8)].astype(np.uint64)
     key = np.zeros(len(text) + size, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | pad[k : k + len(key)]
     out, have = [], 8
-    r = np.unique(key, return_inverse=True)[1]
+    r = np.unique(key, return_inverse=True)[1].astype(np.uint32)
+    del pad, key
     out.append((8, r))
     while have < size:
         step = min(have, size - have)
         other = np.r_[r[step:], np.zeros(step, r.dtype)]
-        r = np.unique((r.astype(np.uint64) << np.uint64(32)) | other.astype(np.uint64), return_inverse=True)[1]
+        r = np.unique((r.astype(np.uint64) << np.uint64(32)) | other.astype(np.uint64), return_inverse=True)[1].astype(np.uint32)
         have += step
-        out.append((have, r))
+        out = [*out, (have, r)] if graded else [(have, r)]
     return out
 
 
@@ -140,13 +144,15 @@ def nearest_smaller(x: np.ndarray) -> np.ndarray:
     return prev
 
 
-def longest_previous(text: np.ndarray, place: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
+def longest_previous(text: np.ndarray, place: np.ndarray, order: np.ndarray, size: int, graded: bool = True) -> np.ndarray:
     """LPF, up to ``size``: of each place, the longest string there that also starts at a place of smaller order.
 
+    Without ``graded`` lengths below ``size`` are given as 0, which saves the ranks by shorter strings.
+
     The places are sorted as suffixes; going from a place up or down that order, matches only get
     shorter, so the nearest places of smaller order on both sides hold the longest earlier match.
     """
-    levels = ranks(text, size)
+    levels = ranks(text, size, graded)
     full = levels[-1][1][place]
     by = np.lexsort((order, full))
     o = order[by]
@@ -157,7 +163,7 @@ def longest_previous(text: np.ndarray, place: np.ndarray, order: np.ndarray, siz
         a, b = place[by[has]].copy(), place[by[other[has]]].copy()
         same = levels[-1][1][a] == levels[-1][1][b]
         length = np.where(same, size, 0)
-        rest = np.flatnonzero(~same)
+        rest = np.flatnonzero(~same) if graded else np.zeros(0, np.int64)
         a, b, got = a[rest], b[rest], np.zeros(len(rest), np.int64)
         padded = np.r_[text, np.zeros(size + 8, np.uint8)]
         for step, r in reversed([x for x in levels if x[0] in (8, 16, 32, 64)]):
@@ -178,7 +184,7 @@ def repeated_windows(contexts: list[bytes], size: int = MIN_BYTES) -> list[tuple
     count = np.maximum(0, lengths - size + 1)
     place = np.repeat(starts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     which = np.repeat(np.arange(len(contexts)), count)
-    hit = np.flatnonzero(longest_previous(text, place, which, size) >= size)
+    hit = np.flatnonzero(longest_previous(text, place, which, size, graded=False) >= size)
     if not len(hit):
         return []
     cut = np.flatnonzero(np.r_[True, (np.diff(place[hit]) > 1) | (np.diff(which[hit]) > 0)])
