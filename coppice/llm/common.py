@@ -37,6 +37,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def one_text_an_id(rows: DataFrame) -> DataFrame:
+    """doc_id and text: of rows that share an id the one whose text has the least hash, equal texts being one.
+
+    The partial aggregation leaves one row an id and task, so however many rows share an id, few are sent.
+    """
+    text = F.struct(F.xxhash64("text").alias("h"), "text")
+    return rows.groupBy("doc_id").agg(F.min(text).alias("t")).select("doc_id", "t.text")
+
+
 #: Paths of the tables that ``settle`` wrote, by the frame that reads them.
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import fold, keyed, ready, slices
+from coppice.llm.common import fold, keyed, one_text_an_id, ready, slices
 from coppice.llm.text_features import NAMES, SHAPES, text_features
 
 #: Rows of each kind that the model is fitted on, at most.
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     """Learn from rows outside fold 0: positives as labelled, and a sample of all texts.
 
     Only ids are sorted and sent (at most ``sample`` of each kind); the texts are read where they
-    lie, and only their feature rows reach the driver.
+    lie, of each id the text with the least hash, and only their feature rows reach the driver.
     """
     rows, spark = keyed(docs, id_col, text_col), docs.sparkSession
     ready(spark)
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     sets = []
     for chosen in (marked.select("doc_id").distinct(), rows.filter(train).select("doc_id").distinct()):
         ids = chosen.orderBy(*order).limit(sample)  # bounded by ``sample``
-        got = _featured(rows.join(F.broadcast(ids), "doc_id", "left_semi")).select("doc_id", "x").toPandas()
+        got = _featured(one_text_an_id(rows.join(F.broadcast(ids), "doc_id", "left_semi"))).select("doc_id", "x").toPandas()
         got = got.sort_values(["doc_id", "x"], kind="stable")
         sets.append(np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), len(NAMES) + SHAPES * SHAPES).astype(np.float64))
     if not len(sets[0]) or not len(sets[1]):

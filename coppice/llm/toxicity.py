@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import keyed, ready, slices
+from coppice.llm.common import keyed, one_text_an_id, ready, slices
 from coppice.llm.text_features import NAMES, text_features
 
 SAMPLE = 12_000
@@ -192,9 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int =
     ready(docs.sparkSession)
     marks = [F.col(f"`{c}`").cast("double").alias(f"_y{i}") for i, c in enumerate(categories)]
     chosen = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), *marks).filter("doc_id is not null")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", *[f"_y{i}" for i in range(len(categories))]).limit(sample)
-    rows = keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct(*[f"_y{i}" for i in range(len(categories))])).alias("y")).select("doc_id", "y.*")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by ``sample``
+    texts = keyed(docs, id_col, text_col).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    rows = one_text_an_id(texts).join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     y = rows[[f"_y{i}" for i in range(len(categories))]].to_numpy(np.float64)
     parts = (rows["doc_id"].to_numpy(np.int64) * 2654435761 % 2**32 * FOLDS // 2**32) if len(rows) else np.zeros(0, np.int64)
     return fit_chain(rows["text"].tolist(), y, parts)
