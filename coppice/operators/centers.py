@@ -2,7 +2,7 @@
 
 A sweep over k, restarts and groups would read the items once per fit and iteration. Here one pass
 advances all fits together: the centres of every fit go out with the tasks, each task returns one
-partial sum per centre, and the driver only ever holds centres. ``items(id, vec[, scope])``;
+partial sum per centre, and the driver only ever holds centres. Starts come from passes over all rows too. ``items(id, vec[, scope])``;
 scopes are clustered independently of each other.
 """
 
@@ -26,7 +26,7 @@ from coppice.session import cut
 SEED = 42
 KMEANS_STARTS, KMEANS_ITERATIONS, KMEANS_TOL = 10, 100, 1e-4
 GMM_STARTS, GMM_ITERATIONS, GMM_TOL, GMM_RIDGE, GMM_DIMS = 3, 50, 1e-3, 1e-6, 8
-START_ROWS = 512
+START_ROUNDS = 4
 
 
 def _scoped(items: DataFrame) -> DataFrame:
@@ -72,33 +72,94 @@ def _label(items: DataFrame, models: list[dict], assign: Callable) -> DataFrame:
     return items.mapInPandas(label, "id long, scope int, k int, cluster int")
 
 
-def _spread_out(x: np.ndarray, k: int, rng: np.random.RandomState) -> np.ndarray:
-    """Starting centres drawn with probability proportional to squared distance."""
-    at = [rng.randint(len(x))]
-    near = bl.squared(x, x[at[:1]])[:, 0]
+def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A repeatable number in (0, 1) for every id."""
+    x = ids.astype(np.int64).view(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15 + SEED) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2**-54
+
+
+def _drawn(items: DataFrame, sets: list[dict], turn: int) -> pd.DataFrame:
+    """``(set, key, vec)``: for every set as many rows as it draws, with chances in proportion to their squared distance
+    from the set's centres. Keys race (exponential with that rate), so one pass needs no total and a task returns no more
+    rows than a set draws."""
+    by_scope: dict[int, list[int]] = {}
+    for i, m in enumerate(sets):
+        by_scope.setdefault(m["scope"], []).append(i)
+
+    def race(batches):
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            for scope, part in pdf.groupby("scope"):
+                x, ids = bl.matrix(part["vec"]), part["id"].to_numpy()
+                for i in by_scope.get(scope, []):
+                    d = _nearest(x, sets[i])[1]
+                    far = np.flatnonzero(d > 1e-12 * (x * x).sum(1))
+                    key = -np.log(_uniform(ids[far], 1000 * i + turn)) / d[far]
+                    keys, rows = np.concatenate([best[i][0], key]) if i in best else key, np.concatenate([best[i][1], x[far]]) if i in best else x[far]
+                    first = np.argsort(keys, kind="stable")[: sets[i]["draws"]]
+                    best[i] = (keys[first], rows[first])
+        for i, (keys, rows) in best.items():
+            if len(keys):
+                yield pd.DataFrame({"set": i, "key": keys, "vec": list(rows), "draws": sets[i]["draws"]})
+
+    found = items.mapInPandas(race, "set int, key double, vec array<double>, draws int")
+    order = W.partitionBy("set").orderBy("key")
+    return found.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= F.col("draws")).select("set", "key", "vec").toPandas().sort_values(["set", "key"])
+
+
+def _spread_out(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.RandomState) -> np.ndarray:
+    """Starting centres drawn from weighted candidates with probability proportional to weight times squared distance."""
+    at = [rng.choice(len(x), p=weight / weight.sum())]
+    near = bl.squared(x, x[at])[:, 0]
     while len(at) < k:
-        p = near / near.sum() if near.sum() > 0 else np.full(len(x), 1.0 / len(x))
+        mass = weight * near
+        p = mass / mass.sum() if mass.sum() > 0 else weight / weight.sum()
         at.append(rng.choice(len(x), p=p))
         near = np.minimum(near, bl.squared(x, x[at[-1:]])[:, 0])
     return x[at]
 
 
 def _starts(items: DataFrame, ks: list[int], starts: int, dims: Callable[[int], int | None]) -> tuple[list[dict], dict]:
-    """Starting models on a bounded, repeatable draw of rows per scope; fits always use all rows."""
-    order = W.partitionBy("scope").orderBy(F.xxhash64("id", F.lit(SEED)), "id")
-    drawn = items.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= START_ROWS).toPandas()
-    sizes = {r["scope"]: r["count"] for r in items.groupBy("scope").count().collect()}
-    models = []
-    for scope, part in drawn.groupby("scope"):
-        x = bl.matrix(part.sort_values("_rn")["vec"])
+    """Starting models by oversampling passes over all rows, for every k, start and scope at once.
+
+    A set of candidates belongs to a scope, a start and a width, and serves every k of that width: it begins
+    with one row, and ``START_ROUNDS`` passes draw twice the largest k more, far rows first. A last
+    pass counts the rows nearest to each candidate; the k centres are drawn from the weighted candidates.
+    """
+    first = [F.min_by("vec", F.struct(F.xxhash64("id", F.lit(SEED + s)), F.col("id"))).alias(f"v{s}") for s in range(starts)]
+    squares = F.transform("vec", lambda v: v * v)
+    stats = items.groupBy("scope").agg(F.count("*").alias("n"), vx.sum_vector(F.col("vec")).alias("total"), vx.sum_vector(squares).alias("squares"), *first).collect()
+    sizes = {r["scope"]: r["n"] for r in stats}
+    sets, still = [], {}
+    for r in sorted(stats, key=lambda r: r["scope"]):
+        fits: dict[int | None, list[int]] = {}
         for k in ks:
-            if k < sizes[scope]:
-                part_x = x[:, :dims(k)]
-                still = KMEANS_TOL * max(float(part_x.var(axis=0).mean()), 1e-12)
-                for s in range(starts):
-                    centres = _spread_out(part_x, k, np.random.RandomState(SEED + s))
-                    models.append({"scope": int(scope), "k": k, "start": s, "centres": centres, "cost": np.inf, "still": still})
-    return models, sizes
+            if k < r["n"]:
+                fits.setdefault(dims(k), []).append(k)
+        mean = np.array(r["total"]) / r["n"]
+        var = np.maximum(np.array(r["squares"]) / r["n"] - mean * mean, 0.0)
+        for width, own in fits.items():
+            still[r["scope"], width] = KMEANS_TOL * max(float(var[:width].mean()), 1e-12)
+            for s in range(starts):
+                sets.append({"scope": r["scope"], "start": s, "width": width, "ks": own, "draws": 2 * max(own), "centres": np.array([r[f"v{s}"]], float)[:, :width]})
+    for turn in range(START_ROUNDS if sets else 0):
+        got = _drawn(items, sets, turn)
+        for i, part in got.groupby("set"):
+            sets[i]["centres"] = np.concatenate([sets[i]["centres"], bl.matrix(part["vec"])[:, : sets[i]["width"]]])
+    if not sets:
+        return [], sizes
+    held = [np.zeros(len(m["centres"])) for m in sets]
+    got = _pass(items, sets, lambda x, m: np.bincount(_nearest(x, m)[0], minlength=len(m["centres"]))[:, None].astype(float))
+    for i, c, sums in zip(got["model"], got["centre"], got["sums"]):
+        held[i][c] += sums[0]
+    models = []
+    for m, weight in zip(sets, held):
+        for k in m["ks"]:
+            centres = _spread_out(m["centres"], weight, k, np.random.RandomState(SEED + m["start"]))
+            models.append({"scope": int(m["scope"]), "k": k, "start": m["start"], "centres": centres, "cost": np.inf, "still": still[m["scope"], m["width"]]})
+    return sorted(models, key=lambda m: (m["scope"], m["k"], m["start"])), sizes
 
 
 def _nearest(x: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray]:

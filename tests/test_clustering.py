@@ -327,3 +327,26 @@ def test_birch_grows_the_radius_of_a_full_list(spark, monkeypatch):
     x = np.random.default_rng(5).normal(size=(80, 2))
     found, feats = bi.features(points(spark, x), 0.01)
     assert feats.count() <= 10 and found.count() == 80
+
+
+def test_starts_see_all_rows(spark):
+    """One row in six hundred lies far away: a bounded draw would mostly miss it, oversampling does not."""
+    r = np.random.default_rng(1)
+    x = np.vstack([r.normal(size=(1800, 2)), [[500.0, 0], [500, 1], [0, 700]]])
+    x[1000:1700] = x[0]  # many copies
+    df = points(spark, x).withColumn("scope", F.when(F.col("id") < 1795, F.col("id") % 2).otherwise(0).cast("int")).repartition(6)
+    models, sizes = ce._starts(df, [3, 5], 4, lambda k: None)
+    assert sizes == {0: 906, 1: 897} and len(models) == 2 * 2 * 4
+    for m in models:
+        assert m["centres"].shape == (m["k"], 2)
+        if m["scope"] == 0:
+            d = ((x[-3:, None] - m["centres"]) ** 2).sum(-1).min(1)
+            assert (d < 10).all()
+    again, _ = ce._starts(df.repartition(3), [3, 5], 4, lambda k: None)
+    assert all(np.allclose(a["centres"], b["centres"]) for a, b in zip(models, again))
+
+
+def test_starts_on_fewer_points_than_centres(spark):
+    x = np.array([[0.0, 0], [0, 0], [0, 0], [1, 1], [1, 1]])
+    assert partition(ce.kmeans_sweep(points(spark, x), [2], 2)) == {frozenset([0, 1, 2]), frozenset([3, 4])}
+    assert ce.kmeans_sweep(points(spark, x), [4], 2).count() == 5
