@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,16 +167,71 @@ def silhouette_exact(vectors: DataFrame, assignments: DataFrame, tile_rows: int
 def silhouette_fast(vectors: DataFrame, assignments: DataFrame, measure: str = "squaredEuclidean") -> DataFrame:
     """``(config_id, silhouette)`` on squared euclidean or cosine distance, linear in the items.
 
-    A different number from the euclidean one; rankings must not mix the two.
+    A different number from the euclidean one; rankings must not mix the two. The mean distance of an item to a
+    cluster follows from the cluster's count, sum and sum of squares, so all labellings take one aggregation and one
+    pass: items meet the clusters in tiles, a labelling's clusters together, and a tile returns one sum per labelling.
+    The few labellings with more than ``CLUSTER_SLICE`` clusters look for the nearest cluster instead. A labelling
+    with a single cluster is undefined.
     """
-    spark = vectors.sparkSession
-    feats = cut(vectors.join(assignments, "item_id").select(
-        "config_id", F.col("cluster").cast("double").alias("cluster"), array_to_vector("features").alias("features")))
-    judge = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", distanceMeasure=measure)
-    ids = [r[0] for r in feats.select("config_id").distinct().collect()]
-    rows = [(c, float(judge.evaluate(feats.filter(F.col("config_id") == c)))) for c in ids]
-    kind = dict(assignments.dtypes)["config_id"]
-    return spark.createDataFrame(rows, f"config_id {kind}, silhouette double")
+    if measure not in ("squaredEuclidean", "cosine"):
+        raise ValueError(f"unknown distance measure: {measure}")
+    size = vx.norm(F.col("features"))
+    unit = F.when(size > 0, F.transform("features", lambda v: v / size)).otherwise(F.col("features"))
+    x = unit if measure == "cosine" else F.col("features")
+    numbers = cut(cluster_numbers(assignments))
+    labelled = cut(assignments.join(numbers.select("config_id", "cluster", "g"), ["config_id", "cluster"]).select("item_id", "g"))
+    items = cut(vectors.select("item_id", x.cast("array<double>").alias("features")))
+    configs = numbers.groupBy("config_id").agg(F.min("g").alias("scope"), F.count("*").alias("k"))
+    sums = labelled.join(items, "item_id").groupBy("g").agg(vx.mean_vector(F.col("features")).alias("vec"), F.avg(vx.dot(F.col("features"), F.col("features"))).alias("w"))
+    if measure == "cosine":  # half the squared distance of unit vectors; a zero vector is one away from anything
+        sums = sums.withColumn("w", F.lit(1.0))
+    clusters = cut(sums.join(numbers.join(configs, "config_id").select("g", "scope", "k", F.col("size").cast("double").alias("size")), "g"))
+    cost = MEAN_SQUARED if measure == "squaredEuclidean" else MEAN_COSINE
+    few = cut(clusters.filter(F.col("k") <= CLUSTER_SLICE))
+    wide = labelled.join(few.select("g"), "g").groupBy("item_id").agg(F.array_sort(F.collect_list("g")).alias("labels"))
+    left = items.join(wide, "item_id").select(F.col("item_id").alias("id"), "features", "labels")
+    right = few.select(F.col("g").alias("id"), "vec", "w", "size", F.col("scope").alias("config"), F.col("scope").alias("block_key"))
+
+    def tile(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        rp = rp.sort_values(["config", "id"])
+        g, config, size = rp["id"].to_numpy(), rp["config"].to_numpy(), rp["size"].to_numpy()
+        start = np.flatnonzero(np.r_[True, config[1:] != config[:-1]])
+        of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(config)]))
+        d = cost.value(bl.matrix(lp["features"]), None, bl.matrix(rp["vec"]), rp["w"].to_numpy()[None, :])
+        row = np.repeat(np.arange(len(lp)), [len(v) for v in lp["labels"]])
+        lab = np.concatenate(lp["labels"].to_numpy())
+        col = np.minimum(np.searchsorted(g, lab), len(g) - 1)
+        row, col = row[g[col] == lab], col[g[col] == lab]
+        own, other = d[row, col] * size[col] / np.maximum(size[col] - 1, 1), d
+        other[row, col] = np.inf
+        b = np.minimum.reduceat(other, start, axis=1)[row, of[col]]
+        top = np.maximum(own, b)
+        s = np.where((size[col] > 1) & (top > 0), (b - own) / np.where(top > 0, top, 1.0), 0.0)
+        return pd.DataFrame({"scope": config[start], "s": np.bincount(of[col], np.where(np.isfinite(b), s, np.nan), len(start)), "n": np.bincount(of[col], minlength=len(start))})
+
+    total = bl.over_tiles(left, right, tile, "scope long, s double, n long")
+    many = clusters.filter(F.col("k") > CLUSTER_SLICE)
+    if many.take(1):
+        rows = cut(number_rows(labelled.join(many.select("g", F.col("vec").alias("mean"), F.col("w").alias("q"), "size", "scope"), "g").join(items, "item_id"), ["scope", "item_id"], "id"))
+        near = bl.best_group(rows.select("id", F.col("features").alias("vec"), F.lit(1.0).alias("w"), F.col("g").alias("own"), "scope"),
+                             many.select(F.col("g").alias("gid"), "vec", "w", "scope"), cost)
+        inner = vx.dot(F.col("features"), F.col("mean"))
+        mean = F.greatest(F.lit(0.0), vx.dot(F.col("features"), F.col("features")) - 2 * inner + F.col("q")) if measure == "squaredEuclidean" else 1.0 - inner
+        a, b = mean * F.col("size") / F.greatest(F.col("size") - 1, F.lit(1.0)), F.col("cost")
+        top = F.greatest(a, b)
+        s = F.when((F.col("size") > 1) & (top > 0), (b - a) / top).otherwise(0.0)
+        total = total.unionByName(rows.join(near.select("id", "cost"), "id").select("scope", s.alias("s"), F.lit(1).cast("long").alias("n")))
+    mean = total.groupBy("scope").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
+    return configs.join(mean, "scope").select("config_id", F.coalesce(F.nanvl("silhouette", F.lit(None)), F.lit(UNDEFINED["silhouette"])).alias("silhouette"))
+
+
+def _mean_squared_floor(x, xw, p, r, lo, hi):
+    return bl.outside(x, p, r) ** 2 + np.maximum(lo - (np.linalg.norm(p, axis=1)[None, :] + r) ** 2, 0.0)
+
+
+# Mean distance to the members of a cluster from its mean and its mean square.
+MEAN_SQUARED = bl.Cost(lambda x, xw, y, yw: np.maximum((x * x).sum(1)[:, None] - 2 * (x @ y.T) + yw, 0.0), _mean_squared_floor)
+MEAN_COSINE = bl.Cost(lambda x, xw, y, yw: 1.0 - x @ y.T, lambda x, xw, p, r, lo, hi: 1.0 - x @ p.T - np.linalg.norm(x, axis=1, keepdims=True) * r)
 
 
 def silhouette(vectors: DataFrame, assignments: DataFrame, kind: str = "euclidean") -> DataFrame:

@@ -143,3 +143,37 @@ def test_grid_has_560_configurations(spark):
     sizes = spark.createDataFrame([(0, 200), (1, 201)], "scope int, n int")
     counts = table(sc.valid_configs(sizes, sc.sweep_rows(list(range(4, 13))), ["scope"]).groupBy("scope").count(), "scope", "count")
     assert counts == {0: 50, 1: 41}
+
+
+def plain_fast(x, labels, measure):
+    if measure == "cosine":
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        u = x / np.where(size == 0, 1, size)
+        d = 1 - u @ u.T
+        d[np.arange(len(x)), np.arange(len(x))] = 1 - (u * u).sum(1)
+    else:
+        d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    out = []
+    for i, c in enumerate(labels):
+        own = (labels == c).sum()
+        a = d[i, labels == c].sum() / max(own - 1, 1)
+        b = min(d[i, labels == o].mean() for o in set(labels.tolist()) - {c})
+        out.append(0.0 if own == 1 or max(a, b) == 0 else (b - a) / max(a, b))
+    return np.mean(out)
+
+
+@pytest.mark.parametrize("measure", ["squaredEuclidean", "cosine"])
+@pytest.mark.parametrize("slice_", [4096, 5])
+def test_fast_silhouette_of_many_labellings(spark, monkeypatch, measure, slice_):
+    monkeypatch.setattr(vm, "CLUSTER_SLICE", slice_)
+    monkeypatch.setattr(vm.bl, "TILE_ROWS", 16)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(70, 4))
+    x[5:8] = x[0]
+    ks = {f"k{k}": r.integers(0, k, 70) for k in (2, 3, 4, 9, 60)} | {"part": np.r_[r.integers(0, 3, 40), np.full(30, -9)], "one": np.zeros(70, int)}
+    vec = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, features array<double>")
+    asg = spark.createDataFrame([(i, c, int(lab[i])) for c, lab in ks.items() for i in range(70) if lab[i] != -9], "item_id long, config_id string, cluster int")
+    got = {r["config_id"]: r["silhouette"] for r in vm.silhouette_fast(vec, asg, measure).collect()}
+    for c, lab in ks.items():
+        want = -1.0 if c == "one" else plain_fast(x[lab != -9], lab[lab != -9], measure)
+        assert got[c] == pytest.approx(want, abs=1e-9), c
