@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable
+from struct import pack
 
 import numpy as np
 
@@ -87,7 +88,7 @@ class Encoder:
             low = core if self.kind == "byte" else core.lower()
             if low.isalpha() and core.isalpha() and (low.isascii() or (max(low) < PLAIN and max(core) < PLAIN)):
                 ids = [t.id for t in tokenize(mark + (low if low.isascii() else low.translate(self.letters)))]
-                memory.put(p, np.array(ids, dtype="<u4").tobytes() + (self.ends[end] if end else b""))
+                memory.put(p, pack(f"<{len(ids)}I", *ids) + (self.ends[end] if end else b""))
             elif self.kind == "byte" and (not s or s[-1].isspace()):
                 memory.put(p, None)
             else:
