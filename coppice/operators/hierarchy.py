@@ -299,13 +299,11 @@ def attach_names(tree: DataFrame, names: DataFrame) -> DataFrame:
 def cluster_sizes(assignments: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per cluster: size, share of the total in percent, rank by size."""
     by = by or ["config_id"]
-    sizes = assignments.groupBy(*by, "cluster").agg(F.count("*").alias("size"))
-    whole = W.partitionBy(*by)
-    return sizes.select(
-        *by, "cluster", "size",
-        F.round(F.col("size") * 100.0 / F.sum("size").over(whole), 1).alias("pct"),
-        F.row_number().over(whole.orderBy(F.desc("size"), F.asc("cluster"))).alias("size_rank"),
-    )
+    sizes = cut(assignments.groupBy(*by, "cluster").agg(F.count("*").alias("size")))
+    totals = sizes.groupBy(*by).agg(F.sum("size").alias("_all"))
+    ranked = number_rows(sizes, [F.desc("size"), F.asc("cluster")], "size_rank", within=by)
+    return ranked.join(totals, by).select(
+        *by, "cluster", "size", F.round(F.col("size") * 100.0 / F.col("_all"), 1).alias("pct"), F.col("size_rank").cast("int").alias("size_rank"))
 
 
 def cluster_distribution(assignments: DataFrame, by: list[str] | None = None) -> DataFrame:

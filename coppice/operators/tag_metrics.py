@@ -12,6 +12,9 @@ subsets, so sets above ``MAX_SUBSET_TAGS`` are compared in bounded tiles instead
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +67,12 @@ def _small_set_sum(sets: DataFrame, keys: list[str]) -> DataFrame:
     return ordered.join(selves, keys).select(*keys, ((F.col("ordered") - F.col("items")) / 2).alias("total"))
 
 
-def _large_set_sum(sets: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of Jaccard over unordered pairs in which at least one set is large.
+def _large_pairs(sets: DataFrame, keys: list[str], measure: Callable, fields: str) -> DataFrame:
+    """What ``measure`` makes of the pairs in which at least one set is large.
 
     Large sets on the left meet all sets of their group on the right, in tiles of at most about
-    ``TILE_SETS`` rows a side; a tile returns one number.
+    ``TILE_SETS`` rows a side. ``measure`` gets the shared tags, the sizes of both sides and twice the item pairs of each
+    pair of sets, which counts a pair of large sets from either side and a set with itself.
     """
     large = F.size("tags") > MAX_SUBSET_TAGS
     blocks = sets.groupBy(*keys).agg(F.ceil(F.count("*") / TILE_SETS).cast("int").alias("_b"))
@@ -79,34 +83,53 @@ def _large_set_sum(sets: DataFrame, keys: list[str]) -> DataFrame:
     left = rows.filter(large).select(*keys, "tags", "m", mine.alias("_i"), every.alias("_j"))
     right = rows.select(*keys, "tags", "m", mine.alias("_j"), every.alias("_i"))
     tile = [*keys, "_i", "_j"]
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
 
     def overlap(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if not len(lp) or not len(rp):
-            return pd.DataFrame({c: [] for c in [*keys, "total"]})
+            return pd.DataFrame({c: [] for c in [*keys, *names]})
         vocab = {t: i for i, t in enumerate(sorted({t for s in lp["tags"] for t in s}))}
 
         def hot_rows(pdf):
-            import numpy as np
-
             out = np.zeros((len(pdf), len(vocab)))
             for r, s in enumerate(pdf["tags"]):
                 out[r, [vocab[t] for t in s if t in vocab]] = 1.0
-            return out, pdf["tags"].map(len).to_numpy(), pdf["m"].to_numpy(float)
+            return out, pdf["tags"].map(len).to_numpy(), pdf["m"].to_numpy()
 
         (x, a, m), (y, b, n) = hot_rows(lp), hot_rows(rp)
-        shared = x @ y.T
-        sim = shared / (a[:, None] + b[None, :] - shared)
-        both_large = (b > MAX_SUBSET_TAGS)[None, :]
-        weight = m[:, None] * n[None, :]
-        total = float((sim * weight * (1.0 - 0.5 * both_large)).sum())
-        return pd.DataFrame([{**{k: lp[k].iloc[0] for k in keys}, "total": total}])
-
-    fields = {f.name: f.dataType.simpleString() for f in sets.schema.fields}
-    schema = ", ".join([*(f"{k} {fields[k]}" for k in keys), "total double"])
+        twice = m[:, None] * n[None, :] * np.where(b > MAX_SUBSET_TAGS, 1, 2)[None, :]
+        got = measure(np.rint(x @ y.T).astype(int), a[:, None], b[None, :], twice)
+        return got.assign(**{k: lp[k].iloc[0] for k in keys})
+
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema.fields}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), fields])
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-    tiles = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(overlap, schema)
-    selves = rows.filter(large).select(*keys, (-F.col("m") / 2).alias("total"))
-    return tiles.unionByName(selves).groupBy(*keys).agg(F.sum("total").alias("total"))
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(overlap, schema)
+
+
+def _large_set_sum(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of Jaccard over unordered pairs of items in which at least one set is large."""
+    def total(shared, a, b, twice):
+        return pd.DataFrame({"total": [float((shared / (a + b - shared) * twice).sum() / 2)]})
+
+    selves = sets.filter(F.size("tags") > MAX_SUBSET_TAGS).select(*keys, (-F.col("m") / 2).alias("total"))
+    return _large_pairs(sets, keys, total, "total double").unionByName(selves).groupBy(*keys).agg(F.sum("total").alias("total"))
+
+
+def _large_histogram(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, shared, twice, sim)``: twice the pairs with a large set, by shared tags, and their similarities."""
+    def by_shared(shared, a, b, twice):
+        flat, weight = shared.ravel(), twice.ravel()
+        sim = (shared / (a + b - shared)).ravel() * weight
+        c = np.unique(flat)
+        at = np.searchsorted(c, flat)
+        pairs = np.zeros(len(c), np.int64)
+        np.add.at(pairs, at, weight)
+        return pd.DataFrame({"shared": c, "twice": pairs, "sim": np.bincount(at, sim)})
+
+    size = F.size("tags")
+    selves = sets.filter(size > MAX_SUBSET_TAGS).select(*keys, size.alias("shared"), (-F.col("m")).alias("twice"), (-F.col("m")).cast("double").alias("sim"))
+    return _large_pairs(sets, keys, by_shared, "shared int, twice long, sim double").unionByName(selves)
 
 
 def pairwise_jaccard(df: DataFrame, keys: list[str], tags: str) -> DataFrame:
@@ -128,9 +151,11 @@ def overlap_histogram(df: DataFrame, keys: list[str], tags: str) -> DataFrame:
     """``(keys, shared, n_pairs, jaccard_sum)``: item pairs by the number of tags they share.
 
     What a pair listing would be used for, without listing pairs: the number of pairs sharing
-    exactly c tags follows from the subset counts by inclusion and exclusion. Sets must be small.
+    exactly c tags follows from the subset counts by inclusion and exclusion; pairs with a set of more than
+    ``MAX_SUBSET_TAGS`` tags are counted in tiles.
     """
-    sets = distinct_sets(df, keys, tags)
+    every = cut(distinct_sets(df, keys, tags))
+    sets = every.filter(F.size("tags") <= MAX_SUBSET_TAGS)
     per = subset_counts(sets, keys).select(*keys, F.size("subset").alias("s"), "by_size")
     cells = per.select(*keys, "s", F.explode("by_size").alias("x"), "by_size").select(
         *keys, "s", "x", F.explode("by_size").alias("y"))
@@ -144,10 +169,11 @@ def overlap_histogram(df: DataFrame, keys: list[str], tags: str) -> DataFrame:
         *keys, "a", F.col("a").alias("b"), F.col("a").alias("shared"), (-F.col("m")).cast("decimal(38,0)").alias("pairs"))
     both = exact.select(*keys, "a", "b", "shared", F.col("pairs").cast("decimal(38,0)").alias("pairs")).unionByName(own)
     sim = F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))
-    return both.groupBy(*keys, "shared").agg(
-        (F.sum("pairs") / 2).cast("long").alias("n_pairs"),
-        (F.sum(F.col("pairs").cast("double") * sim) / 2).alias("jaccard_sum"),
-    ).filter(F.col("n_pairs") > 0)
+    small = both.groupBy(*keys, "shared").agg(F.sum("pairs").cast("long").alias("twice"), F.sum(F.col("pairs").cast("double") * sim).alias("sim"))
+    if not every.filter(F.size("tags") > MAX_SUBSET_TAGS).isEmpty():
+        small = small.unionByName(_large_histogram(every, keys))
+    return small.filter("shared > 0").groupBy(*keys, "shared").agg(
+        (F.sum("twice") / 2).cast("long").alias("n_pairs"), (F.sum("sim") / 2).alias("jaccard_sum")).filter(F.col("n_pairs") > 0)
 
 
 def concept_coherence(df: DataFrame, keys: list[str], tags: str) -> DataFrame:

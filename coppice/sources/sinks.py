@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from coppice import settings as cfg
 from coppice.session import cut
 
+ROWS_PER_FILE = 500_000
+
 
 def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:
     """Write every table to its own folder under ``path``."""
@@ -18,20 +21,18 @@ def write_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet")
     return out
 
 
-def write_review_files(review: DataFrame, summary: DataFrame, path: str, headers: bool = False, files_per_domain: int = 1) -> dict[str, str]:
+def write_review_files(review: DataFrame, summary: DataFrame, path: str, headers: bool = False, rows_per_file: int = ROWS_PER_FILE) -> dict[str, str]:
     """The reviewer tables, one folder per domain, rows in reading order.
 
-    A domain that holds most of the rows is written by ``files_per_domain`` tasks, cut by position,
-    so its files are still in order and no task writes it alone. ``headers`` renames the columns to
-    the reviewers' wording.
+    Rows are range-partitioned by domain and position into about one part per ``rows_per_file`` rows, so
+    a domain that holds most of the rows is written by many tasks, and its files follow one another in
+    order. ``headers`` renames the columns to the reviewers' wording.
     """
-    last = cut(review.groupBy("domain").agg(F.max("position").alias("_last")))
-    piece = F.floor((F.col("position") - 1) * files_per_domain / F.col("_last"))
-    placed = review.join(last, "domain").withColumn("_piece", piece).drop("_last")
-    spread = placed.repartition("domain", "_piece").sortWithinPartitions("domain", "position").drop("_piece")
-    if headers:
-        spread = spread.withColumnsRenamed(cfg.REVIEW_HEADERS)
     out = {"items": f"{path.rstrip('/')}/items", "leaves": f"{path.rstrip('/')}/leaves"}
-    spread.write.mode("overwrite").partitionBy("domain").parquet(out["items"])
-    summary.repartition("domain").sortWithinPartitions("domain", "position").write.mode("overwrite").partitionBy("domain").parquet(out["leaves"])
+    for name, df in (("items", cut(review)), ("leaves", cut(summary))):
+        parts = max(1, math.ceil(df.count() / rows_per_file))
+        spread = df.repartitionByRange(parts, "domain", "position").sortWithinPartitions("domain", "position")
+        if headers and name == "items":
+            spread = spread.withColumnsRenamed(cfg.REVIEW_HEADERS)
+        spread.write.mode("overwrite").partitionBy("domain").parquet(out[name])
     return out

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from coppice.functions import tags as tg
+from coppice.operators import hierarchy as hi
 from coppice.operators import scores as sc
 from coppice.operators import tag_metrics as tm
 from coppice.operators import vector_metrics as vm
@@ -177,3 +178,35 @@ def test_fast_silhouette_of_many_labellings(spark, monkeypatch, measure, slice_)
     for c, lab in ks.items():
         want = -1.0 if c == "one" else plain_fast(x[lab != -9], lab[lab != -9], measure)
         assert got[c] == pytest.approx(want, abs=1e-9), c
+
+
+def test_tag_overlap_of_large_sets(spark, monkeypatch):
+    """Sets of up to 40 tags beside small ones, equal sets, two groups, several tiles."""
+    monkeypatch.setattr(tm, "TILE_SETS", 7)
+    r = np.random.default_rng(2)
+    rows = []
+    for i in range(60):
+        size = int(r.integers(21, 41)) if i % 3 == 0 else int(r.integers(0, 13))
+        rows.append((i % 2, [f"t{t}" for t in r.choice(60, size, replace=False)]))
+    rows += [rows[0], rows[0], rows[3], rows[1]]
+    got = {(r.g, r.shared): (r.n_pairs, r.jaccard_sum) for r in tm.overlap_histogram(spark.createDataFrame(rows, "g int, tags array<string>"), ["g"], "tags").collect()}
+    want = {}
+    for i, (g, a) in enumerate(rows):
+        for h, b in rows[:i]:
+            if g == h and (c := len(set(a) & set(b))):
+                n, j = want.get((g, c), (0, 0.0))
+                want[g, c] = (n + 1, j + c / len(set(a) | set(b)))
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-9) for k in want)
+
+
+def test_cluster_sizes_of_many_clusters(spark):
+    rows = [(f"c{i % 2}", int(x), i) for i, x in enumerate(np.random.default_rng(0).integers(0, 40, 300))]
+    got = hi.cluster_sizes(spark.createDataFrame(rows, "config_id string, cluster int, item_id long")).collect()
+    for c in ("c0", "c1"):
+        sizes = {}
+        for k, x, _ in rows:
+            if k == c:
+                sizes[x] = sizes.get(x, 0) + 1
+        want = [(x, n, round(n * 100 / 150, 1), i + 1) for i, (x, n) in enumerate(sorted(sizes.items(), key=lambda v: (-v[1], v[0])))]
+        assert sorted([(r.cluster, r["size"], r.pct, r.size_rank) for r in got if r.config_id == c], key=lambda v: v[3]) == want

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from coppice import settings as cfg
 from coppice.operators import routing as ro
 from coppice.plans import routes
+from coppice.sources.sinks import write_review_files
 
 ITEMS = "item_id long, technology_name string, Technology_Description string, category_level_1 string, category_level_2 string, category_level_3 string, leaf_category string, full_path string"
 FLAGS = "array<struct<name:string,level:string>>"
@@ -157,3 +158,15 @@ def test_repeated_sub_domain_titles_and_bands(spark):
     assert kinds == ["sub_domain", "item", "spacer", "sub_domain", "separator", "item", "spacer", "sub_domain", "separator", "item",
                      "spacer", "sub_domain", "separator", "item", "separator", "item"]
     assert {r["leaf_category"]: r["band"] for r in ro.band_toggle(df).collect()} == {"l1": 0, "l2": 0, "l3": 0, "l4": 0, "l5": 1}
+
+
+def test_review_files_of_one_large_domain(spark, tmp_path):
+    """Most rows in one domain: several tasks write it, and its files follow one another in order."""
+    review = spark.range(1000).select(F.when(F.col("id") < 900, "big").when(F.col("id") < 990, "mid").otherwise("small").alias("domain"), (F.col("id") + 1).alias("position"), F.col("id").alias("item"))
+    summary = spark.createDataFrame([("big", 1, "x"), ("small", 1, "y")], "domain string, position int, leaf string")
+    out = write_review_files(review.repartition(5), summary, str(tmp_path / "r"), rows_per_file=100)
+    files = sorted((tmp_path / "r/items/domain=big").glob("*.parquet"))
+    assert len(files) >= 5
+    read = [r.item for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert read == list(range(900)) and spark.read.parquet(out["items"]).count() == 1000
+    assert spark.read.parquet(out["leaves"]).count() == 2

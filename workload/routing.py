@@ -193,7 +193,7 @@ register("domain_leaf_summary", lambda s, d: ro.domain_leaf_summary(routed(s, d)
 def _files(spark, sf):
     """Write the reviewer tables to the shared folder and read the item table back."""
     rows = ro.review_order(review(spark, sf))
-    out = sinks.write_review_files(rows, ro.domain_leaf_summary(routed(spark, sf), leaves(spark, sf)), scratch_path(spark, "review"), files_per_domain=4)
+    out = sinks.write_review_files(rows, ro.domain_leaf_summary(routed(spark, sf), leaves(spark, sf)), scratch_path(spark, "review"), rows_per_file=300)
     return spark.read.parquet(out["items"]).select("domain", "position", "item_id", "technology_name", "item_flag")
 
 
