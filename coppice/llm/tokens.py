@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from codecs import charmap_decode
 from collections.abc import Iterable
 from struct import pack
 
@@ -17,18 +18,18 @@ import numpy as np
 
 #: Bytes, about, that each generation of a worker's memory may take; when the young one is full it
 #: becomes the old one, and what is used again moves back.
-REMEMBER = 40 << 20
+REMEMBER = 80 << 20
 #: About what a remembered piece costs besides its characters and ids.
 ENTRY = 170
-#: Letters below this are one code point in composed and lower case form alike.
-PLAIN = "\u0250"
+#: In UTF-8, letters of smaller lead bytes than this (below U+0240) are one code point in composed and lower case form alike.
+LEAD = 0xC9
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable stand-ins of byte-level tokenizers, for every code point below PLAIN."""
+def byte_letters() -> str:
+    """The printable stand-ins of byte-level tokenizers, by byte."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(ord(PLAIN))}
+    return "".join(letter[b] for b in range(256))
 
 
 class Memory:
@@ -81,18 +82,26 @@ class Encoder:
         tokenizer's own words, which its model takes directly; any other piece goes through the
         whole tokenizer.
         """
-        mark, rest, tokenize = "\u0120" if lead else "", [], self.tok.model.tokenize
-        for p in memory.missing(pieces):
-            s = p if isinstance(p, str) else p.decode("utf-8", "surrogatepass")
-            core, end = (s[:-1], s[-1]) if s[-1:] in self.ends else (s, "")
-            low = core if self.kind == "byte" else core.lower()
-            if low.isalpha() and core.isalpha() and (low.isascii() or (max(low) < PLAIN and max(core) < PLAIN)):
-                ids = [t.id for t in tokenize(mark + (low if low.isascii() else low.translate(self.letters)))]
-                memory.put(p, pack(f"<{len(ids)}I", *ids) + (self.ends[end] if end else b""))
-            elif self.kind == "byte" and (not s or s[-1].isspace()):
+        mark, rest, tokenize, letters, ends = "\u0120" if lead else "", [], self.tok.model.tokenize, self.letters, self.ends
+        missing = memory.missing(pieces)
+        young, size, word = memory.young, 0, self.kind == "word"
+        for p in missing:
+            s = p.decode("utf-8", "surrogatepass") if word else p
+            core, tail = (s, b"") if s.isalpha() else (s[:-1], ends.get(s[-1:]))
+            if tail is not None and core.isalpha():
+                raw = core.encode()
+                if word and max(raw) < LEAD:
+                    raw = core.lower().encode()
+                if max(raw) < LEAD:
+                    ids = [t.id for t in tokenize(mark + charmap_decode(raw, "strict", letters)[0])]
+                    young[p] = pack(f"<{len(ids)}I", *ids) + tail
+                    size += ENTRY + len(p) + 4 * len(ids)
+                    continue
+            if not word and (not s or s[-1].isspace()):
                 memory.put(p, None)
             else:
                 rest.append((p, lead + s))
+        memory.size += size
         for (p, _), ids in zip(rest, self._raw([s for _, s in rest]) if rest else ()):
             memory.put(p, ids)
 
