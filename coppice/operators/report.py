@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,17 +95,24 @@ def naming_order(tree: DataFrame) -> DataFrame:
     return number_rows(work, [size_first, "l1", "l2", "l3"], "position", within=["phase"])
 
 
+def _words(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}-]+"), lambda w: w != "")
+
+
+def guarded_words(parent_name: Column) -> Column:
+    """The words of a parent's name that its children should not repeat: those of more than three letters."""
+    return F.filter(_words(F.coalesce(parent_name, F.lit(""))), lambda w: F.length(w) > 3)
+
+
 def name_guard_audit(names: DataFrame) -> DataFrame:
     """Check ``names(node_id, parent_id, name, parent_name)`` against the naming rules.
 
     Flags generic words, a name shared with a sibling, a word of more than three letters taken
     from the parent, and a name equal to the parent's.
     """
-    def words(c):
-        return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}-]+"), lambda w: w != "")
-
+    words = _words
     blocked = F.array(*[F.lit(w.lower()) for w in cfg.GENERIC_WORDS])
-    long_words = F.filter(words(F.coalesce("parent_name", F.lit(""))), lambda w: F.length(w) > 3)
+    long_words = guarded_words(F.col("parent_name"))
     siblings = names.groupBy("parent_id", F.lower("name").alias("_name")).agg(F.count("*").alias("_same"))
     flagged = names.withColumn("_name", F.lower("name")).join(siblings, ["parent_id", "_name"], "left")
     return flagged.select(

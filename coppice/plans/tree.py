@@ -27,6 +27,7 @@ class TreeTables:
     tree: DataFrame
     shortlist: DataFrame
     attempts: DataFrame
+    audit: DataFrame | None = None  # the names checked against the naming rules
 
     def overview(self) -> DataFrame:
         return overview_rows(self.result)
@@ -57,11 +58,12 @@ def split_third(items: DataFrame, labels: DataFrame, ks: list[int] | None = None
 def build_tree(items: DataFrame, features: DataFrame | None = None, embed_fn: EmbedFn | None = None, judge: sweep.Judge | None = None,
                name_fn: naming.NameFn | None = None, names: DataFrame | None = None, ks: list[int] | None = None,
                l2_ks: list[int] | None = None, l3_ks: list[int] | None = None, min_sizes: list[int] | None = None,
-               consolidate: bool = False, **kw) -> TreeTables:
+               consolidate: bool = False, naming_rounds: int = 2, **kw) -> TreeTables:
     """Cluster, judge, recurse, repair, name and number.
 
     ``items`` has ``item_id`` and the six item columns; ``features(item_id, features)`` replaces
-    embedding. The ranges can be narrowed; ``starts`` is passed on to the fits.
+    embedding. The ranges can be narrowed; ``starts`` is passed on to the fits. Names that break a naming rule
+    are asked for again, ``naming_rounds`` times at most; ``audit`` tells which still do.
     """
     ready = prepared(items, features, embed_fn)
     vectors = ready.select("item_id", "features")
@@ -72,8 +74,11 @@ def build_tree(items: DataFrame, features: DataFrame | None = None, embed_fn: Em
     tree = split_third(ready, labels, l3_ks, min_sizes, **kw)
     tree, _ = repair.reassign_orphans(tree, vectors)
     tree = repair.merge_small_leaves(tree, vectors)
-    node_names = cut(naming.name_tree(tree, ready, name_fn, names))
-    return result_tables(items, tree, node_names, shortlist, attempts)
+    node_names = naming.name_tree(tree, ready, name_fn, names)
+    node_names, audit = naming.repair_names(tree, ready, node_names, name_fn if names is None else None, naming_rounds)
+    tables = result_tables(items, tree, node_names, shortlist, attempts)
+    tables.audit = audit
+    return tables
 
 
 def result_tables(items: DataFrame, tree: DataFrame, names: DataFrame, shortlist: DataFrame, attempts: DataFrame) -> TreeTables:

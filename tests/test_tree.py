@@ -1,6 +1,7 @@
 """Ids, reports, repair and the plans on small fixtures."""
 
 import json
+import zlib
 
 import numpy as np
 import pytest
@@ -206,3 +207,39 @@ def test_build_tree_end_to_end(spark, sf, tmp_path):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _small_tree(spark):
+    paths = [(0, 0, 0), (0, 0, 1), (0, 1, None), (1, 0, None), (1, 1, None), (2, 0, None)]
+    tree = spark.createDataFrame([(2 * i + j, *p) for i, p in enumerate(paths) for j in (0, 1)], "item_id long, l1 int, l2 int, l3 int")
+    items = spark.range(12).select(F.col("id").alias("item_id"), F.concat(F.lit("thing "), "id").alias("technology_name"), F.lit("text").alias("Technology_Description"))
+    return tree, items
+
+
+def test_names_are_asked_for_again_with_their_context(spark):
+    tree, items = _small_tree(spark)
+    bad = cfg.GENERIC_WORDS[0]
+
+    def fn(digests):
+        """A generic name at first; told what to avoid, one of its own."""
+        return [f"No {zlib.crc32(d.encode()) % 10**6}" if "Words to avoid: " in d else f"{bad} {d[:12]}" for d in digests]
+
+    first = nm.name_tree(tree, items, fn)
+    names, audit = nm.repair_names(tree, items, first, fn, rounds=3)
+    assert {r.generic_words for r in audit.collect()} == {""} and names.count() == first.count() == 10
+    kept, left = nm.repair_names(tree, items, first, None)
+    assert {(r.level, r.l1, r.l2, r.l3, r.name) for r in kept.collect()} == {(r.level, r.l1, r.l2, r.l3, r.name) for r in first.collect()}
+    assert left.filter("generic_words <> ''").count() == 10
+
+
+def test_only_offending_names_are_asked_for(spark, tmp_path):
+    tree, items = _small_tree(spark)
+    start = [(1, 0, None, None, "Harbour Works"), (2, 0, 0, None, "Harbour Cranes"), (3, 0, 0, 0, "Twin"), (3, 0, 0, 1, "twin"), (2, 0, 1, None, "Lamps"),
+             (1, 1, None, None, "Looms"), (2, 1, 0, None, "Wool"), (2, 1, 1, None, "Silk"), (1, 2, None, None, "Kilns"), (2, 2, 0, None, "Kilns")]
+    names = spark.createDataFrame([(*r, f"about {r[-1]}") for r in start], "level int, l1 int, l2 int, l3 int, name string, summary string")
+    seen = {(r.level, r.l1, r.l2, r.l3): r.context for r in nm.offenders(names).collect()}
+    assert set(seen) == {(2, 0, 0, None), (3, 0, 0, 1), (2, 2, 0, None)}
+    assert "Parent group: Harbour Works" in seen[2, 0, 0, None] and "harbour" in seen[2, 0, 0, None] and "Names already taken: Lamps" in seen[2, 0, 0, None]
+    assert "Twin" in seen[3, 0, 0, 1].split("taken: ")[1]
+    stubborn, left = nm.repair_names(tree, items, names, lambda ds: ["" for _ in ds], rounds=2)
+    assert {r.name for r in stubborn.collect()} == {r[-1] for r in start} and left.filter("parent_words <> '' or equals_parent or shared_with_sibling").count() == 4
