@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Every step is a minimum per node and a join; a node with very many links is only ever aggregated or
-joined, never gathered. Once at most LOCAL links are left, one task finishes them: the answer is the
+joined, never gathered. Before that, tasks replace the links they hold, about LOCAL each, by a spanning forest,
+as long as that halves them: a large group of copies has far more links than it needs. Once at most LOCAL links are left, one task finishes them: the answer is the
 same, the least node of each component, and the bound does not grow with the data.
 """
 
@@ -48,11 +49,24 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], names=["node", "component"])
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fewer links with the same components: each node of the partition to the least one it hangs together with."""
+    for b in _finish(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"])
+
+
 def components(links: DataFrame, local: int = LOCAL) -> DataFrame:
     """Links a, b (long) to node, component (its least node), for every node that has a link."""
     edges = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     last = mark(edges)
+    while last[0] > local > 0:
+        before, count = edges, last[0]
+        edges = settle(before.coalesce(-(-count // local)).mapInArrow(_forest, "a long, b long").filter("a <> b").distinct())
+        discard(before)
+        last = mark(edges)
+        if 2 * last[0] > count:
+            break
     while last[0] > local:
         before, edges = edges, settle(_stars(_stars(edges, True), False))
         discard(before)

@@ -136,7 +136,11 @@ def test_families_in_crowded_nodes(spark, monkeypatch):
 def test_components_both_ways(spark):
     r = np.random.default_rng(2)
     links = spark.createDataFrame([(int(a), int(b)) for a, b in r.integers(0, 400, (300, 2))] + [(1000 + k, 1001 + k) for k in range(30)], "a long, b long")
-    assert sorted(components.components(links, 0).collect()) == sorted(components.components(links).collect())
+    want = sorted(components.components(links).collect())
+    assert sorted(components.components(links, 0).collect()) == want
+    assert sorted(components.components(links.repartition(9), 40).collect()) == want
+    dense = links.unionByName(spark.createDataFrame([(5000 + i, 5000 + j) for i in range(40) for j in range(i)], "a long, b long")).repartition(9)
+    assert sorted(components.components(dense, 120).collect()) == sorted(components.components(dense, 0).collect())
 
 
 def brute_repeats(rows):
