@@ -26,7 +26,7 @@ from coppice.session import cut
 SEED = 42
 KMEANS_STARTS, KMEANS_ITERATIONS, KMEANS_TOL = 10, 100, 1e-4
 GMM_STARTS, GMM_ITERATIONS, GMM_TOL, GMM_RIDGE, GMM_DIMS = 3, 50, 1e-3, 1e-6, 8
-START_ROUNDS = 4
+START_ROUNDS = 2
 
 
 def _scoped(items: DataFrame) -> DataFrame:
