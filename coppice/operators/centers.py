@@ -12,7 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark import TaskContext
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -25,7 +26,9 @@ from coppice.session import cut
 
 SEED = 42
 KMEANS_STARTS, KMEANS_ITERATIONS, KMEANS_TOL = 10, 100, 1e-4
-GMM_STARTS, GMM_ITERATIONS, GMM_TOL, GMM_RIDGE, GMM_DIMS = 3, 50, 1e-3, 1e-6, 8
+GMM_STARTS, GMM_ITERATIONS, GMM_TOL, GMM_RIDGE = 3, 50, 1e-3, 1e-6
+GMM_BYTES = 128 << 20  # factors of the mixtures that advance together
+TREE_FAN = 16
 START_ROUNDS = 2
 
 
@@ -222,18 +225,26 @@ def reduce_dims(items: DataFrame, dims: int) -> DataFrame:
     return model.transform(rows).withColumn("vec", vector_to_array("_p")).drop("_v", "_p")
 
 
+def _unpack(packed: np.ndarray, d: int) -> np.ndarray:
+    """Upper triangular matrices from their packed rows."""
+    out = np.zeros((len(packed), d, d))
+    out[:, *np.triu_indices(d)] = packed
+    return out
+
+
 def _log_density(x: np.ndarray, m: dict) -> np.ndarray:
+    d = x.shape[1]
     out = np.empty((len(x), m["k"]))
-    for c in range(m["k"]):
-        root = m["roots"][c]
-        z = np.linalg.solve(root, (x - m["centres"][c]).T)
-        out[:, c] = m["log_weights"][c] - 0.5 * (z * z).sum(0) - np.log(np.diag(root)).sum()
-    return out - 0.5 * x.shape[1] * np.log(2 * np.pi)
+    for c, packed in enumerate(m["factors"]):
+        factor = _unpack(packed[None], d)[0]
+        z = (x - m["centres"][c]) @ factor
+        out[:, c] = m["log_weights"][c] - 0.5 * (z * z).sum(1) + np.log(np.diag(factor)).sum()
+    return out - 0.5 * d * np.log(2 * np.pi)
 
 
 def _gmm_work(x: np.ndarray, m: dict) -> np.ndarray:
-    """Per component: weight, log-likelihood share, weighted sums of vectors and of outer products."""
-    if m["roots"] is None:
+    """Per component: weight, log-likelihood share, weighted sums of offsets from its centre and of their packed products."""
+    if m["factors"] is None:
         share = np.zeros((len(x), m["k"]))
         share[np.arange(len(x)), _nearest(x, m)[0]] = 1.0
         fit = np.zeros(len(x))
@@ -242,49 +253,132 @@ def _gmm_work(x: np.ndarray, m: dict) -> np.ndarray:
         top = logs.max(1, keepdims=True)
         fit = (top + np.log(np.exp(logs - top).sum(1, keepdims=True)))[:, 0]
         share = np.exp(logs - fit[:, None])
-    outer = np.einsum("ni,nj->nij", x, x).reshape(len(x), -1)
-    return np.hstack([share.sum(0)[:, None], (share.T @ fit)[:, None], share.T @ x, share.T @ outer])
+    d = x.shape[1]
+    upper = np.triu_indices(d)
+    out = np.empty((m["k"], 2 + d + len(upper[0])))
+    out[:, 0], out[:, 1] = share.sum(0), share.T @ fit
+    for c in range(m["k"]):
+        y = x - m["centres"][c]
+        weighted = y * share[:, c : c + 1]
+        out[c, 2 : 2 + d] = weighted.sum(0)
+        out[c, 2 + d :] = (weighted.T @ y)[upper]
+    return out
+
+
+def _factored(row: np.ndarray, d: int) -> np.ndarray:
+    """Weight, fit, the centre's move and the packed factor P of the inverse covariance P P' from a component's sums."""
+    n = row[0] + 1e-10
+    move = row[2 : 2 + d] / n
+    half = _unpack(row[None, 2 + d :], d)[0] / n
+    cov = half + np.triu(half, 1).T - np.outer(move, move)
+    values, vectors = np.linalg.eigh(cov)
+    root = np.linalg.cholesky((vectors * np.maximum(values, 0.0)) @ vectors.T + GMM_RIDGE * np.eye(d))
+    return np.concatenate([[n, row[1]], move, np.linalg.inv(root).T[np.triu_indices(d)]])
+
+
+_PARTS = "model int, centre int, part int, sums binary"
+
+
+def _moments(items: DataFrame, models: list[dict], d: int) -> pd.DataFrame:
+    """``(model, centre, sums)``: a pass over the items, its sums added ``TREE_FAN`` at a time and factored in tasks."""
+    by_scope: dict[int, list[int]] = {}
+    for i, m in enumerate(models):
+        by_scope.setdefault(m["scope"], []).append(i)
+
+    def partial(batches):
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for scope, part in pdf.groupby("scope"):
+                x = bl.matrix(part["vec"])
+                for i in by_scope.get(scope, []):
+                    rows = _gmm_work(x, models[i])
+                    sums[i] = sums[i] + rows if i in sums else rows
+        at = TaskContext.get().partitionId()
+        for i, rows in sums.items():
+            yield pd.DataFrame({"model": i, "centre": range(len(rows)), "part": at, "sums": [r.tobytes() for r in rows]})
 
+    def added(pdf: pd.DataFrame) -> np.ndarray:
+        return np.sum([np.frombuffer(b) for b in pdf.sort_values("part")["sums"]], axis=0)
 
-def gmm_sweep(items: DataFrame, ks: list[int], starts: int = GMM_STARTS, iterations: int = GMM_ITERATIONS, dims: int = GMM_DIMS) -> DataFrame:
-    """``(id, scope, k, cluster)`` by full-covariance mixtures started from k-means.
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(sums=[added(pdf).tobytes()])
 
-    Full covariances need the square of the dimension in numbers per component, so the vectors are
-    first projected on ``dims`` principal components.
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(sums=[_factored(added(pdf), d).tobytes()])
+
+    parts, n = items.mapInPandas(partial, _PARTS), items.rdd.getNumPartitions()
+    while n > TREE_FAN:
+        parts = parts.withColumn("part", F.floor(F.col("part") / TREE_FAN).cast("int")).groupBy("model", "centre", "part").applyInPandas(join, _PARTS)
+        n = -(-n // TREE_FAN)
+    return parts.groupBy("model", "centre").applyInPandas(settle, _PARTS).select("model", "centre", "sums").toPandas()
+
+
+def _advance(m: dict, rows: pd.DataFrame, d: int) -> None:
+    """One step of a fit from its factored sums."""
+    s = np.zeros((m["k"], 2 + d + d * (d + 1) // 2))
+    s[rows["centre"].to_numpy()] = [np.frombuffer(b) for b in rows["sums"]]
+    n, fit, started = s[:, 0], s[:, 1].sum(), m["factors"] is not None
+    m["centres"], m["log_weights"], m["factors"] = m["centres"] + s[:, 2 : 2 + d], np.log(n / n.sum()), s[:, 2 + d :]
+    cost = -fit / n.sum() if started else np.inf
+    m["converged"] = bool(started and abs(m["cost"] - cost) < GMM_TOL)
+    m["cost"] = cost
+
+
+def _turns(models: list[dict], d: int, limit: int) -> list[list[dict]]:
+    """Fits that advance together: their factors stay below ``limit`` bytes, or they are the starts of one scope and k."""
+    groups: dict[tuple, list[dict]] = {}
+    for m in models:
+        groups.setdefault((m["scope"], m["k"]), []).append(m)
+    turns, held = [], limit + 1
+    for (_, k), fits in groups.items():
+        size = 8 * k * len(fits) * (2 + d + d * (d + 1) // 2)
+        if held + size > limit:
+            turns.append([])
+            held = 0
+        turns[-1].extend(fits)
+        held += size
+    return turns
+
+
+def gmm_sweep(items: DataFrame, ks: list[int], starts: int = GMM_STARTS, iterations: int = GMM_ITERATIONS, dims: int | None = None,
+              turn_bytes: int = GMM_BYTES) -> DataFrame:
+    """``(id, scope, k, cluster, converged)`` by full-covariance mixtures started from k-means.
+
+    Covariances have the full width of the vectors; only a caller who passes ``dims`` gets a projection on that many
+    principal components. Second moments are packed triangles of offsets from a component's centre. Tasks
+    add and factor them, so the driver holds the factors of the fits that advance together, ``turn_bytes`` at most
+    unless the starts of one scope and k are larger. ``converged`` is false for a fit that ``iterations`` ended.
     """
-    width = len(items.select("vec").first()[0])
-    rows = cut(_scoped(reduce_dims(_scoped(items), min(dims, width))))
-    d = min(dims, width)
+    first = items.select("vec").first()
+    width = len(first[0]) if first else 1
+    d = min(dims or width, width)
+    rows = cut(_scoped(reduce_dims(_scoped(items), d) if d < width else items))
     models = _best(kmeans_models(rows, ks, starts), starts)
     for m in models:
-        m.update(roots=None, log_weights=None, cost=np.inf)
-    live = models
-    for _ in range(iterations):
-        if not live:
-            break
-        got = _pass(rows, live, _gmm_work)
-        still = []
-        for i, part in got.groupby("model"):
-            m, part = live[i], part.sort_values("centre")
-            s = bl.matrix(part["sums"])
-            n, fit = s[:, 0] + 1e-10, s[:, 1].sum()
-            mean = s[:, 2:2 + d] / n[:, None]
-            cov = s[:, 2 + d:].reshape(-1, d, d) / n[:, None, None] - np.einsum("ki,kj->kij", mean, mean)
-            started = m["roots"] is not None
-            m["roots"] = np.stack([np.linalg.cholesky(_definite(c)) for c in cov])
-            m["centres"], m["log_weights"] = mean, np.log(n / n.sum())
-            cost = -fit / n.sum() if started else np.inf
-            done = started and abs(m["cost"] - cost) < GMM_TOL
-            m["cost"] = cost
-            if not done:
-                still.append(m)
-        live = still
-    return _label(rows, _best(models), lambda x, m: _log_density(x, m).argmax(1))
-
-
-def _definite(cov: np.ndarray) -> np.ndarray:
-    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-    return (vectors * np.maximum(values, 0.0)) @ vectors.T + GMM_RIDGE * np.eye(len(cov))
+        m.update(factors=None, log_weights=None, cost=np.inf, converged=False)
+    out = None
+    for fits in _turns(models, d, turn_bytes):
+        live = fits
+        for _ in range(iterations):
+            if not live:
+                break
+            got = _moments(rows, live, d)
+            for i, part in got.groupby("model"):
+                _advance(live[i], part, d)
+            live = [m for m in live if not m["converged"]]
+        labels = cut(_label_fits(rows, _best(fits)))
+        out = out.unionByName(labels) if out is not None else labels
+        for m in fits:
+            m["factors"] = None
+    return out if out is not None else _label_fits(rows, [])
+
+
+def _label_fits(rows: DataFrame, models: list[dict]) -> DataFrame:
+    done = F.lit(False)
+    for m in models:
+        if m["converged"]:
+            done = done | ((F.col("scope") == m["scope"]) & (F.col("k") == m["k"]))
+    return _label(rows, models, lambda x, m: _log_density(x, m).argmax(1)).withColumn("converged", done)
 
 
 def kmeans(items: DataFrame, k: int, starts: int = KMEANS_STARTS, seed: int = SEED) -> DataFrame:
@@ -295,10 +389,6 @@ def kmeans(items: DataFrame, k: int, starts: int = KMEANS_STARTS, seed: int = SE
     return best.transform(rows).select("id", F.lit(k).alias("k"), "cluster")
 
 
-def gmm(items: DataFrame, k: int, starts: int = GMM_STARTS, dims: int = GMM_DIMS, seed: int = SEED) -> DataFrame:
-    """``(id, k, cluster)``: a single mixture by the library estimator on principal components."""
-    width = len(items.select("vec").first()[0])
-    rows = cut(reduce_dims(items.select("id", "vec"), min(dims, width)).select("id", array_to_vector("vec").alias("features")))
-    fits = [GaussianMixture(k=k, seed=seed + s, predictionCol="cluster").fit(rows) for s in range(starts)]
-    best = max(fits, key=lambda f: f.summary.logLikelihood)
-    return best.transform(rows).select("id", F.lit(k).alias("k"), "cluster")
+def gmm(items: DataFrame, k: int, starts: int = GMM_STARTS, dims: int | None = None) -> DataFrame:
+    """``(id, k, cluster, converged)``: a single mixture."""
+    return gmm_sweep(items.select("id", "vec"), [k], starts, dims=dims).select("id", "k", "cluster", "converged")

@@ -126,6 +126,43 @@ def test_kmeans_is_a_fixed_point(spark):
         assert (near == lab).mean() > 0.97
 
 
+def mixture(x, centres, steps):
+    """Expectation-maximisation from the nearest-centre labelling, with plain covariances."""
+    k, d = centres.shape
+    share = np.eye(k)[((x[:, None] - centres) ** 2).sum(-1).argmin(1)]
+    for _ in range(steps):
+        n = share.sum(0)
+        means = share.T @ x / n[:, None]
+        covs = [(share[:, c, None] * (x - means[c])).T @ (x - means[c]) / n[c] + ce.GMM_RIDGE * np.eye(d) for c in range(k)]
+        logs = np.stack([np.log(n[c] / len(x)) - 0.5 * np.linalg.slogdet(covs[c])[1]
+                         - 0.5 * np.einsum("ni,ij,nj->n", x - means[c], np.linalg.inv(covs[c]), x - means[c]) for c in range(k)], 1)
+        share = np.exp(logs - logs.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+    return logs.argmax(1)
+
+
+def test_mixtures_equal_plain_maximisation_at_full_width(spark, monkeypatch):
+    """Twelve correlated dimensions far from the origin, sums added two at a time, a turn for every k."""
+    monkeypatch.setattr(ce, "TREE_FAN", 2)
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(size=(150, 12)) @ (rng.normal(size=(12, 12)) * 0.6) + rng.normal(size=12) * 1.5 for _ in range(3)]) + 1e4
+    df = points(spark, x).repartition(7)
+    starts = {m["k"]: m["centres"] for m in ce.kmeans_models(ce._scoped(df), [2, 3], 1)}
+    got = ce.gmm_sweep(df, [2, 3], 1, iterations=6, turn_bytes=1).toPandas()
+    for k, g in got.groupby("k"):
+        assert list(g.sort_values("id")["cluster"]) == list(mixture(x, starts[k], 6))
+
+
+def test_mixtures_report_convergence(spark):
+    df = points(spark, BLOBS)
+    assert set(ce.gmm_sweep(df, [4], 1).toPandas()["converged"]) == {True}
+    assert set(ce.gmm_sweep(df, [4], 1, iterations=1).toPandas()["converged"]) == {False}
+    assert ce.gmm_sweep(df.limit(0), [4], 1).count() == 0
+    flat = points(spark, np.repeat(BLOBS[::40], 5, axis=0))  # four texts five times: covariances of rank zero
+    assert len(partition(ce.gmm_sweep(flat, [2], 1))) == 2
+    assert partition(ce.gmm(df, 4, 2, dims=2)) == TRUE
+
+
 def test_spectral_finds_blobs(spark):
     assert partition(sp.spectral_sweep(points(spark, BLOBS), [4], gamma=0.1, starts=3)) == TRUE
 
