@@ -129,14 +129,14 @@ def grid_rows() -> list[tuple]:
     return linkage + flat + [("hdbscan", None, s) for s in cfg.GRID_MIN_SIZES]
 
 
-def valid_configs(groups: DataFrame, rows: list[tuple], by: list[str]) -> DataFrame:
+def valid_configs(groups: DataFrame, rows: list[tuple], by: list[str], spectral_max: int | None = cfg.SPECTRAL_MAX_ITEMS) -> DataFrame:
     """The configurations that make sense for each group's size ``n``.
 
-    Fewer clusters than items; spectral only on small groups; a density size below half the group.
+    Fewer clusters than items; spectral only on groups of at most ``spectral_max`` items (None: all); a density size below half the group.
     """
     all_rows = groups.select(*by, "n", _configs(rows).alias("c")).select(*by, "n", "c.*")
-    ok = F.when(F.col("algo") == "hdbscan", F.col("size") < F.floor(F.col("n") / 2)).otherwise(
-        (F.col("size") < F.col("n")) & ((F.col("algo") != "spectral") | (F.col("n") <= cfg.SPECTRAL_MAX_ITEMS)))
+    gate = F.lit(True) if spectral_max is None else (F.col("algo") != "spectral") | (F.col("n") <= spectral_max)
+    ok = F.when(F.col("algo") == "hdbscan", F.col("size") < F.floor(F.col("n") / 2)).otherwise((F.col("size") < F.col("n")) & gate)
     return all_rows.filter(ok)
 
 

@@ -1,103 +1,292 @@
-"""Spectral clustering without writing down the affinity matrix.
+"""Spectral clustering on a stored affinity table.
 
-The leading eigenvectors of the normalised affinity D^-1/2 A D^-1/2, A = exp(-gamma d^2), come from
-block power iteration: a pass over the distance tiles multiplies the affinity of a tile with the
-current block of vectors and returns one short row per item. K-means on the leading k coordinates
-of the embedding gives the clusters, all k at once.
+The affinity A = exp(-gamma d^2) is written once, as tiles of blocks of items, the upper half only, in a table
+bucketed by tile. The leading eigenvectors of D^-1/2 A D^-1/2 come from a restarted block Krylov iteration:
+a pass multiplies the stored tiles with the newest columns of the basis, so items' vectors never
+move again and the tiles stay where they are; only blocks of basis columns travel. Small matrices per scope
+(basis against basis) reach the driver. A scope leaves the iteration when the residuals of its wanted
+eigenvectors are below a tolerance. K-means on the leading k coordinates gives the clusters, all k at once.
+
+Memory of a task: a tile and a few blocks of BLOCK_ROWS items. The table has the square of a scope's items in numbers.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.functions import vectors as vx
 from coppice.operators import blocks as bl
-from coppice.operators.centers import kmeans_sweep
-from coppice.session import cut
+from coppice.operators.centers import SEED, kmeans_sweep
+from coppice.session import cut, scratch_path
 
 GAMMA = 1.0
 EXTRA = 8
-ROUNDS = 8
+TOLERANCE = 1e-6
+ROUNDS = 200  # a scope that is not below the tolerance by then is an error
+BLOCK_ROWS = 512
+BASIS_BLOCKS = 6  # the basis is restarted beyond so many times the wanted columns
+_FLUSH = 32 << 20
+_STATE = "scope int, block int, blocks int, ids binary, root binary, q binary, aq binary"
+_TILE = ["scope", "i", "j"]
 
 
-def _multiply(rows: DataFrame, column: str, gamma: float) -> DataFrame:
-    """``(id, product)``: the affinity times ``column``, an array per item."""
-    def tile(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        a = np.exp(-gamma * bl.squared(bl.matrix(lp["vec"]), bl.matrix(rp["vec"])))
-        return pd.DataFrame({"id": lp["id"], "product": list(a @ bl.matrix(rp["v"]))})
+def _shaped(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b).reshape(n, -1)
 
-    side = rows.select("id", "scope", "vec", F.col(column).alias("v"))
-    parts = bl.over_tiles(side, side, tile, "id long, product array<double>")
-    return parts.groupBy("id").agg(vx.sum_vector(F.col("product")).alias("product"))
 
+def _blocks(items: DataFrame) -> DataFrame:
+    """``(scope, block, blocks, ids, x)``: one row per block of items, in order of their ids."""
+    scope = F.col("scope") if "scope" in items.columns else F.lit(0)
+    rows = cut(items.select("id", scope.cast("int").alias("scope"), "vec"))
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = rows.join(sizes, "scope").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
-def _gram(rows: DataFrame, left: str, right: str) -> dict[int, np.ndarray]:
-    """Per scope the small matrix left' right, summed inside the tasks."""
-    def partial(batches):
-        sums: dict[int, np.ndarray] = {}
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        return pdf.iloc[:1][["scope", "block", "blocks"]].assign(ids=[pdf["id"].to_numpy(np.int64).tobytes()], x=[bl.matrix(pdf["vec"]).tobytes()])
+
+    return cut(placed.groupBy("scope", "block").applyInPandas(pack, "scope int, block int, blocks int, ids binary, x binary"))
+
+
+def _sides(blocks: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``column`` of every block for each tile that the block is the row, or the column, of."""
+    left = blocks.select("scope", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col(column).alias("left"), (F.length("ids") / 8).cast("int").alias("rows"))
+    right = blocks.select("scope", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col(column).alias("right"), (F.length("ids") / 8).cast("int").alias("cols"))
+    return left, right
+
+
+def _affinity(blocks: DataFrame, gamma: float) -> tuple[DataFrame, str]:
+    """The table ``(scope, i, j, a)`` of tiles with i <= j, bucketed by tile, and its name."""
+    spark = blocks.sparkSession
+    left, right = _sides(blocks, "x")
+
+    def tile(batches):
         for pdf in batches:
-            for scope, part in pdf.groupby("scope"):
-                g = bl.matrix(part["l"]).T @ bl.matrix(part["r"])
-                sums[scope] = sums[scope] + g if scope in sums else g
+            for r in pdf.itertuples(index=False):
+                a = np.exp(-gamma * bl.squared(_shaped(r.left, r.rows), _shaped(r.right, r.cols)))
+                yield pd.DataFrame({"scope": [r.scope], "i": [r.i], "j": [r.j], "a": [a.tobytes()]})
+
+    tiles = left.join(right, _TILE).mapInPandas(tile, "scope int, i int, j int, a binary")
+    name = f"affinity_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tiles.repartition(buckets, *_TILE).write.bucketBy(buckets, *_TILE).format("parquet").option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name), name
+
+
+def _multiply(tiles: DataFrame, blocks: DataFrame, column: str) -> DataFrame:
+    """``(scope, block, product)``: the affinity times ``column``, a matrix per block."""
+    left, right = _sides(blocks, column)
+    schema = "scope int, block int, product binary"
+
+    def work(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"scope": [k[0] for k in sums], "block": [k[1] for k in sums], "product": [v.tobytes() for v in sums.values()]})
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                a = _shaped(r.a, r.rows)
+                parts = [(r.i, a @ _shaped(r.right, r.cols))]
+                if r.i != r.j:
+                    parts.append((r.j, a.T @ _shaped(r.left, r.rows)))
+                for block, p in parts:
+                    key = (r.scope, block)
+                    held += 0 if key in sums else p.nbytes
+                    sums[key] = sums[key] + p if key in sums else p
+                if held > _FLUSH:
+                    yield out()
+                    sums, held = {}, 0
         if sums:
-            yield pd.DataFrame({"scope": list(sums), "g": [g.ravel() for g in sums.values()]})
+            yield out()
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = sorted(pdf["product"])  # in one order, whatever order they arrive in
+        return pdf.iloc[:1].assign(product=[np.sum([np.frombuffer(b) for b in parts], axis=0).tobytes()])
 
-    out = rows.select("scope", F.col(left).alias("l"), F.col(right).alias("r")).mapInPandas(partial, "scope int, g array<double>")
-    got = out.groupBy("scope").agg(vx.sum_vector(F.col("g")).alias("g")).toPandas()
-    return {int(s): np.asarray(g).reshape(int(len(g) ** 0.5), -1) for s, g in zip(got["scope"], got["g"])}
+    met = tiles.join(left, _TILE).join(right, _TILE)
+    return met.mapInPandas(work, schema).groupBy("scope", "block").applyInPandas(add, schema)
 
 
-def _rotate(rows: DataFrame, column: str, by: dict[int, np.ndarray]) -> DataFrame:
-    """Multiply every item's ``column`` with its scope's small matrix."""
-    names = [c for c in rows.columns if c != column]
-    kinds = dict(rows.dtypes)
+def _each(state: DataFrame, fn: Callable, schema: str = _STATE) -> DataFrame:
+    """``fn(row)`` for every block; it gives the columns that change."""
+    names = [p.split()[0] for p in schema.split(", ")]
 
-    def turn(batches):
+    def run(batches):
         for pdf in batches:
-            for scope, part in pdf.groupby("scope"):
-                yield part.assign(**{column: list(bl.matrix(part[column]) @ by[scope])})
+            for r in pdf.itertuples(index=False):
+                yield pd.DataFrame([{**r._asdict(), **fn(r)}])[names]
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*names, column])
-    return rows.select(*names, column).mapInPandas(turn, schema)
+    return state.mapInPandas(run, schema)
 
 
-def _orthonormal(gram: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
-    out = {}
-    for s, g in gram.items():
-        values, vectors = np.linalg.eigh((g + g.T) / 2)
-        keep = values > values.max() * 1e-12
-        out[s] = vectors / np.where(keep, np.sqrt(np.where(keep, values, 1.0)), np.inf)
-    return out
+def _gram(state: DataFrame, pairs: Callable) -> dict[int, list[np.ndarray]]:
+    """Per scope the products left' right of ``pairs(row)``, summed inside the tasks."""
+    def partial(batches):
+        sums: dict[int, list[np.ndarray]] = {}
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                got = [a.T @ b for a, b in pairs(r)]
+                sums[r.scope] = [x + y for x, y in zip(sums[r.scope], got)] if r.scope in sums else got
+        for scope, got in sums.items():
+            for k, g in enumerate(got):
+                yield pd.DataFrame({"scope": [scope], "k": [k], "wide": [g.shape[1]], "g": [g.tobytes()]})
 
+    schema = "scope int, k int, wide int, g binary"
 
-def embedding(items: DataFrame, dims: int, gamma: float = GAMMA, rounds: int = ROUNDS) -> DataFrame:
-    """``(id, scope, vec)``: the ``dims`` leading eigenvectors, rescaled by the item degrees."""
-    width = dims + EXTRA
-    scope = F.col("scope") if "scope" in items.columns else F.lit(0)
-    rows = cut(items.select("id", scope.alias("scope"), "vec", F.array(F.lit(1.0)).alias("one")))
-    degree = _multiply(rows, "one", gamma).select("id", F.sqrt(F.col("product")[0]).alias("root"))
-    start = F.array(*[F.xxhash64("id", F.lit(c)).cast("double") / float(1 << 63) for c in range(width)])
-    state = cut(rows.drop("one").join(degree, "id").withColumn("v", start))
-    scale = F.transform("v", lambda x: x / F.col("root"))
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(g=[np.sum([np.frombuffer(b) for b in sorted(pdf["g"])], axis=0).tobytes()])
+
+    out: dict[int, dict[int, np.ndarray]] = {}
+    for r in state.mapInPandas(partial, schema).groupBy("scope", "k").applyInPandas(add, schema).collect():
+        out.setdefault(r["scope"], {})[r["k"]] = np.frombuffer(r["g"]).reshape(-1, r["wide"])
+    return {s: [got[k] for k in sorted(got)] for s, got in out.items()}
+
+
+def _whitening(g: np.ndarray, least: float = 1e-12) -> np.ndarray:
+    """W with W' g W = 1, without directions that g hardly holds."""
+    values, vectors = np.linalg.eigh((g + g.T) / 2)
+    keep = values > values.max() * least
+    return vectors[:, keep] / np.sqrt(values[keep])
+
+
+def _ritz(g: np.ndarray, h: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leading values, their coefficients in the basis, and the lengths of their residuals."""
+    w = _whitening(g)
+    values, vectors = np.linalg.eigh(w.T @ (h + h.T) @ w / 2)
+    order = np.argsort(-values, kind="stable")[:width]
+    values, y = values[order], w @ vectors[:, order]
+    square = np.einsum("ij,ik,kj->j", y, b, y) - 2 * values * np.einsum("ij,ik,kj->j", y, h, y) + values**2 * np.einsum("ij,ik,kj->j", y, g, y)
+    return values, y, np.sqrt(np.maximum(square, 0.0))
+
+
+def embedding(items: DataFrame, dims: int, gamma: float = GAMMA, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+    """``(id, scope, vec, residual)``: the ``dims`` leading eigenvectors, rescaled by the item degrees.
+
+    ``residual`` is the length of the worst residual of the scope's wanted eigenvectors (of unit length; the greatest
+    eigenvalue is 1), at most ``tolerance``. A scope of fewer items than ``dims`` has zeros in the columns beyond.
+    """
+    blocks = _blocks(items)
+    spark = blocks.sparkSession
+    tiles, name = _affinity(blocks, gamma)
+    try:
+        return _iterate(tiles, blocks, dims, tolerance, rounds)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _iterate(tiles: DataFrame, blocks: DataFrame, dims: int, tolerance: float, rounds: int) -> DataFrame:
+    width, keys = dims + EXTRA, ["scope", "block"]
+
+    def ones(r) -> dict:
+        return {"q": np.ones(len(r.ids) // 8).tobytes()}
+
+    bare = blocks.select(*keys, "blocks", "ids", F.lit(b"").alias("root"), F.lit(b"").alias("q"), F.lit(b"").alias("aq"))
+    one = cut(_each(bare, ones))
+    degree = _multiply(tiles, one, "q").withColumnRenamed("product", "degree")
+
+    def begin(r) -> dict:
+        """The root of the degrees is the first eigenvector; the other columns are random, the same for a block every time."""
+        root = np.sqrt(np.frombuffer(r.degree))
+        other = np.random.default_rng([SEED, r.scope & 0xFFFFFFFF, r.block]).normal(size=(len(root), width - 1))
+        return {"root": root.tobytes(), "q": np.column_stack([root, other]).tobytes(), "aq": b""}
+
+    state = cut(_each(one.join(degree, keys), begin))
+    # per scope: columns of the basis with a known image, and the fix that makes the newest columns orthonormal
+    known = {s: 0 for s in _scopes(state)}
+    done = None
     for _ in range(rounds):
-        turned = _rotate(state, "v", _orthonormal(_gram(state, "v", "v"))).withColumn("v", scale)
-        turned = cut(turned)
-        state = cut(turned.drop("v").join(_multiply(turned, "v", gamma), "id").select(
-            "id", "scope", "vec", "root", F.transform("product", lambda x: x / F.col("root")).alias("v")))
-    basis = cut(_rotate(state, "v", _orthonormal(_gram(state, "v", "v"))))
-    image = _multiply(basis.withColumn("v", scale), "v", gamma).select("id", "product")
-    both = cut(basis.join(image, "id").withColumn("lv", F.transform("product", lambda x: x / F.col("root"))).drop("product"))
-    turn = {}
-    for s, h in _gram(both, "v", "lv").items():
-        values, vectors = np.linalg.eigh((h + h.T) / 2)
-        turn[s] = vectors[:, np.argsort(-values)[:dims]]
-    return _rotate(both.select("id", "scope", "root", "v"), "v", turn).select(
-        "id", "scope", F.transform("v", lambda x: x / F.col("root")).alias("vec"))
-
-
-def spectral_sweep(items: DataFrame, ks: list[int], gamma: float = GAMMA, starts: int = 10) -> DataFrame:
+        if not known:
+            return done if done is not None else _finished(state, {}, dims)
+        fix = {}
+        for s, (c, g) in _gram(state, lambda r: _newest(r, known)).items():
+            fix[s] = (c, _whitening(g - c.T @ c, 1e-10))
+
+        def orthonormal(r) -> dict:
+            n = len(r.ids) // 8
+            q, root = _shaped(r.q, n), np.frombuffer(r.root)
+            old, new = q[:, : known[r.scope]], q[:, known[r.scope] :]
+            c, w = fix[r.scope]
+            new = (new - old @ c) @ w
+            return {"q": np.hstack([old, new]).tobytes(), "fresh": (new / root[:, None]).tobytes()}
+
+        state = cut(_each(state, orthonormal, _STATE + ", fresh binary"))
+        image = _multiply(tiles, state, "fresh")
+
+        def extend(r) -> dict:
+            n = len(r.ids) // 8
+            got = _shaped(r.product, n) / np.frombuffer(r.root)[:, None]
+            return {"aq": (np.hstack([_shaped(r.aq, n), got]) if len(r.aq) else got).tobytes()}
+
+        state = cut(_each(state.join(image, keys), extend))
+        turn, ready = {}, {}
+        for s, (g, h, b) in _gram(state, _products).items():
+            values, y, residual = _ritz(g, h, b, width)
+            if residual[:dims].max() <= tolerance:
+                ready[s] = (y[:, :dims], float(residual[:dims].max()))
+                continue
+            open_ = np.flatnonzero(residual > tolerance / 10)
+            turn[s] = (values, y, residual, open_, len(g) + len(open_) > BASIS_BLOCKS * width)
+        if ready:
+            found = cut(_finished(state, ready, dims))
+            done = found if done is None else done.unionByName(found)
+            state = state.filter(F.col("scope").isin([int(s) for s in turn]))
+
+        def grow(r) -> dict:
+            """The basis, or the eigenvectors found so far, and the residuals that are left."""
+            n = len(r.ids) // 8
+            q, aq = _shaped(r.q, n), _shaped(r.aq, n)
+            values, y, residual, open_, restart = turn[r.scope]
+            x, ax = q @ y, aq @ y
+            rest = (ax[:, open_] - x[:, open_] * values[open_]) / residual[open_]
+            q, aq = (x, ax) if restart else (q, aq)
+            return {"q": np.hstack([q, rest]).tobytes(), "aq": aq.tobytes()}
+
+        known = {s: (t[1].shape[1] if t[4] else t[1].shape[0]) for s, t in turn.items()}
+        if turn:
+            state = cut(_each(state, grow))
+    if known:
+        raise np.linalg.LinAlgError(f"spectral: residuals of scopes {sorted(known)[:10]} above {tolerance} after {rounds} rounds")
+    return done
+
+
+def _scopes(state: DataFrame) -> list[int]:
+    return [r["scope"] for r in state.select("scope").distinct().collect()]
+
+
+def _newest(r, known: dict[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    q = _shaped(r.q, len(r.ids) // 8)
+    old, new = q[:, : known[r.scope]], q[:, known[r.scope] :]
+    return [(old, new), (new, new)]
+
+
+def _products(r) -> list[tuple[np.ndarray, np.ndarray]]:
+    n = len(r.ids) // 8
+    q, aq = _shaped(r.q, n), _shaped(r.aq, n)
+    return [(q, q), (q, aq), (aq, aq)]
+
+
+def _finished(state: DataFrame, ready: dict[int, tuple[np.ndarray, float]], dims: int) -> DataFrame:
+    """The items of finished scopes with their coordinates."""
+    def rows(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.scope in ready:
+                    y, residual = ready[r.scope]
+                    ids = np.frombuffer(r.ids, np.int64)
+                    v = np.zeros((len(ids), dims))
+                    v[:, : y.shape[1]] = _shaped(r.q, len(ids)) @ y / np.frombuffer(r.root)[:, None]
+                    yield pd.DataFrame({"id": ids, "scope": r.scope, "vec": list(v), "residual": residual})
+
+    return state.mapInPandas(rows, "id long, scope int, vec array<double>, residual double")
+
+
+def spectral_sweep(items: DataFrame, ks: list[int], gamma: float = GAMMA, starts: int = 10, tolerance: float = TOLERANCE) -> DataFrame:
     """``(id, scope, k, cluster)`` for every k by k-means on the k leading eigenvectors."""
-    return kmeans_sweep(embedding(items, max(ks), gamma), ks, starts, dims=lambda k: k)
+    return kmeans_sweep(embedding(items, max(ks), gamma, tolerance).drop("residual"), ks, starts, dims=lambda k: k)

@@ -52,20 +52,20 @@ def _fits(rows: DataFrame, configs: list[tuple], starts: int) -> dict[tuple, Cal
     return {key: (lambda a=key[0], m=key[1], ks=ks: run(a, m, ks)) for key, ks in sizes.items()}
 
 
-def candidate_sweep(items: DataFrame, configs: list[tuple], gate_spectral: bool = True,
+def candidate_sweep(items: DataFrame, configs: list[tuple], spectral_max: int | None = cfg.SPECTRAL_MAX_ITEMS,
                     starts: int = centers.KMEANS_STARTS) -> tuple[DataFrame, list[tuple[str, str]]]:
     """``(scope, ord, algo, method, size, item_id, cluster)`` and the fits that failed.
 
     ``configs`` are ``(algo, method, size)`` in generation order; ``ord`` is the place in it.
-    Candidates with fewer than two clusters, or one per item, are left out.
+    Candidates with fewer than two clusters, or one per item, are left out. Spectral clustering, whose table is the
+    square of a scope, is kept to scopes of ``spectral_max`` items; None lifts that.
     """
     spark = items.sparkSession
     rows = cut(_scoped(items).select(F.col("item_id").alias("id"), "scope", F.col("features").alias("vec")))
     sizes = cut(rows.groupBy("scope").agg(F.count("*").alias("n")))
-    plan = scores.valid_configs(sizes, configs, ["scope"]) if gate_spectral else _ungated(sizes, configs)
-    plan = cut(plan)
+    plan = cut(scores.valid_configs(sizes, configs, ["scope"], spectral_max))
     wanted = {(r["algo"], r["method"]) for r in plan.select("algo", "method").distinct().collect()}
-    gate = rows.join(sizes.filter(F.col("n") <= cfg.SPECTRAL_MAX_ITEMS), "scope", "left_semi") if gate_spectral else rows
+    gate = rows if spectral_max is None else rows.join(sizes.filter(F.col("n") <= spectral_max), "scope", "left_semi")
     fits = {**_fits(rows, [c for c in configs if c[0] != "spectral"], starts), **_fits(gate, [c for c in configs if c[0] == "spectral"], starts)}
 
     def attempt(key: tuple):
@@ -94,11 +94,6 @@ def candidate_sweep(items: DataFrame, configs: list[tuple], gate_spectral: bool
     return kept.join(good, CONFIG, "left_semi"), failed
 
 
-def _ungated(sizes: DataFrame, configs: list[tuple]) -> DataFrame:
-    rows = sizes.select("scope", "n", scores._configs(configs).alias("c")).select("scope", "n", "c.*")
-    return rows.filter(F.col("size") < F.col("n"))
-
-
 def score_candidates(items: DataFrame, assignments: DataFrame, full: bool = False, silhouette_kind: str = "euclidean") -> DataFrame:
     """One row per candidate: shape, tag metrics, separation and stage-1 score.
 

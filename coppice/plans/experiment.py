@@ -53,7 +53,7 @@ def grid_experiment(items: DataFrame, vectors: DataFrame, judge: sweep.Judge | N
     for scope, (model, variant) in enumerate(sets):
         mine = vectors.filter((F.col("model") == model) & (F.col("variant") == variant)).select("item_id", "features")
         ready = cut(tagged.join(mine, "item_id"))
-        assigned, broken = sweep.candidate_sweep(ready, configs, gate_spectral=False, **kw)
+        assigned, broken = sweep.candidate_sweep(ready, configs, spectral_max=None, **kw)
         assigned = cut(assigned)
         failed += [(model, variant, *b) for b in broken]
         label = config_label(F.col("algo"), F.col("method"), F.col("size"))

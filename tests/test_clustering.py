@@ -167,15 +167,32 @@ def test_spectral_finds_blobs(spark):
     assert partition(sp.spectral_sweep(points(spark, BLOBS), [4], gamma=0.1, starts=3)) == TRUE
 
 
-def test_spectral_embedding_spans_the_leading_eigenvectors(spark):
-    x = BLOBS[::4]
-    got = sp.embedding(points(spark, x), 4, gamma=0.05).toPandas().sort_values("id")
-    a = np.exp(-0.05 * ((x[:, None] - x[None]) ** 2).sum(-1))
-    root = np.sqrt(a.sum(1))
-    values, vectors = np.linalg.eigh(a / root[:, None] / root[None, :])
-    want = vectors[:, -4:]
-    q, _ = np.linalg.qr(np.stack(got["vec"]) * root[:, None])
-    assert np.linalg.svd(q.T @ want)[1] == pytest.approx(np.ones(4), abs=1e-6)
+@pytest.mark.parametrize("block", [512, 9])
+def test_spectral_embedding_equals_the_leading_eigenvectors(spark, monkeypatch, block):
+    """Scopes of 40, 25, 3 and 1 items beside each other, in one tile and in many, with restarts."""
+    monkeypatch.setattr(sp, "BLOCK_ROWS", block)
+    monkeypatch.setattr(sp, "BASIS_BLOCKS", 2)
+    x = np.random.default_rng(5).normal(size=(69, 6))
+    scope = np.repeat([0, 1, 2, 3], [40, 25, 3, 1])
+    which = F.element_at(F.array(*[F.lit(int(v)) for v in scope]), (F.col("id") + 1).cast("int"))
+    got = sp.embedding(points(spark, x).withColumn("scope", which), 4, gamma=0.05).toPandas().sort_values("id")
+    assert got["residual"].max() <= sp.TOLERANCE and list(got["scope"]) == list(scope)
+    for s, part in got.groupby("scope"):
+        own = x[scope == s]
+        a = np.exp(-0.05 * ((own[:, None] - own[None]) ** 2).sum(-1))
+        root = np.sqrt(a.sum(1))
+        values, vectors = np.linalg.eigh(a / root[:, None] / root[None, :])
+        n = min(4, len(own))
+        mine, want = np.stack(part["vec"]) * root[:, None], vectors[:, ::-1][:, :n]
+        assert np.abs(mine[:, n:]).max(initial=0.0) == 0.0
+        assert np.abs((mine[:, :n] * want).sum(0)) == pytest.approx(np.ones(n), abs=1e-6)
+
+
+def test_spectral_says_when_the_tolerance_is_out_of_reach(spark):
+    x = np.random.default_rng(5).normal(size=(60, 6))
+    with pytest.raises(np.linalg.LinAlgError):
+        sp.embedding(points(spark, x), 4, rounds=1)
+    assert sp.embedding(points(spark, x).limit(0), 4).count() == 0
 
 
 @pytest.mark.parametrize("small", [1 << 16, 10])
