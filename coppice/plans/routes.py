@@ -21,6 +21,7 @@ class ReviewTables:
     leaves: DataFrame
     unassigned: DataFrame
     quarantine: DataFrame
+    unknown: DataFrame  # domains outside the known list, to be settled before the files go out
 
     def write(self, path: str, **kw) -> dict[str, str]:
         return write_review_files(ro.review_order(self.review), self.summary, path, **kw)
@@ -55,4 +56,4 @@ def route(result: DataFrame, leaves: DataFrame, flags: DataFrame | None = None,
     empty = leaves.select(F.lit(0).cast("long").alias("batch_id"), F.lit("").alias("raw")).limit(0)
     return ReviewTables(
         review, ro.domain_leaf_summary(review, leaves), ro.review_rows(review, leaves), leaves,
-        ro.unassigned_leaves(result, leaves), empty if quarantine is None else quarantine)
+        ro.unassigned_leaves(result, leaves), empty if quarantine is None else quarantine, ro.unknown_domains(leaves))

@@ -81,6 +81,16 @@ def test_domain_repair(spark):
     assert raw.filter("leaf_category = 'l'").first()["primary_domain"] == "  D1  "
 
 
+def test_unknown_domains_are_listed(spark, routed):
+    raw = spark.createDataFrame([("l", "D1", "Dx"), ("m", None, " "), ("n", "Done", None), ("o", "Dx", "D1")], "leaf_category string, primary_domain string, secondary_domain string")
+    aliases = spark.createDataFrame([("Done", "D1")], "variant string, canonical string")
+    named = ro.normalize_domain(raw, aliases, spark.createDataFrame([("D1",)], "domain string"))
+    want = [("Dx", "primary_domain", "o"), ("Dx", "secondary_domain", "l")]
+    assert sorted(map(tuple, ro.unknown_domains(named).collect())) == want
+    assert ro.unknown_domains(raw).count() == 0 == ro.unknown_domains(named.limit(0)).count()
+    assert routed.unknown.columns == ["domain", "role", "leaf_category"]
+
+
 def test_prompt_carries_the_evidence(spark):
     ctx = spark.createDataFrame([("Trap hardware", "A / B / Trap hardware", "shared core", 0, 2, ["Alpha", "Beta"]), ("Z", "p", "", None, None, None)],
                                 "leaf_category string, full_path string, summary string, part_no long, n long, names array<string>")

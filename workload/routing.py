@@ -116,6 +116,11 @@ register("normalize_domain", lambda s, d: ro.normalize_domain(derive(s, d, LEAVE
     "leaf_category", "primary_domain", "secondary_domain", F.col("primary_domain_known").alias("is_known_domain")), _L + """
 SELECT leaf_category, primary_domain, secondary_domain, coalesce(primary_domain LIKE 'Domain%', false) AS is_known_domain FROM lv""")
 
+# against a list that lacks one of the domains
+register("unknown_domains", lambda s, d: ro.unknown_domains(ro.normalize_domain(derive(s, d, LEAVES), aliases(s, d), known(s, d).filter("domain <> 'Domain 1'"))), _L + """
+SELECT primary_domain AS domain, 'primary_domain' AS role, leaf_category FROM lv WHERE trim(primary_domain) <> '' AND (primary_domain = 'Domain 1' OR primary_domain NOT LIKE 'Domain%')
+UNION ALL SELECT secondary_domain, 'secondary_domain', leaf_category FROM lv WHERE trim(secondary_domain) <> '' AND (secondary_domain = 'Domain 1' OR secondary_domain NOT LIKE 'Domain%')""")
+
 register("normalize_flags", lambda s, d: leaves(s, d).select("leaf_category", "group_status"),
          _L + "SELECT leaf_category, group_status FROM lv")
 
