@@ -188,11 +188,15 @@ class Mix:
         self.copies = settle(copies.join(spots, ["rank", "spot"]).select("rank", "block", "copy", "partial", "shard"))
 
     def digest(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken for every row."""
-        per_block = self.copies.groupBy("rank", "block").agg(F.sum((~F.col("partial")).cast("int")).alias("n"), F.max("partial").alias("part"))
-        rows = self.placed.join(per_block, ["rank", "block"], "left").join(self.picked, ["rank", "key"], "left")
-        times = F.coalesce("n", F.lit(0)) + F.when(F.col("part") & F.col("picked"), 1).otherwise(0)
-        return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * times).cast("long").alias("taken"))
+        """doc_id, size, source_size, target, taken and the shards of its copies, for every row.
+
+        ``taken`` counts the copies that the splitting tree dealt out; a block has at most ``most`` + 1 of them.
+        """
+        dealt = self.copies.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("shard", "copy", "partial"))).alias("dealt"))
+        rows = self.placed.join(dealt, ["rank", "block"], "left").join(self.picked, ["rank", "key"], "left")
+        mine = F.filter(F.coalesce("dealt", F.array()), lambda x: ~x["partial"] | F.coalesce("picked", F.lit(False)))
+        shards = F.transform(mine, lambda x: x["shard"].cast("int"))
+        return rows.withColumn("shards", shards).select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), "shards")
 
     def rows_with_copies(self, text_col: str = "text", source_col: str = "source") -> DataFrame:
         """The input's columns, one row per copy, with _shard and _order (the place inside the shard)."""

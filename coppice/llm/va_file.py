@@ -12,7 +12,7 @@ back only candidates that its own threshold leaves. Equal vectors are one candid
 
 Defined cases: vectors that are null or hold a null or non-finite component, or have another length
 than most, take no part; fewer rows than k give all; ties go to the smaller id; repeated rows count
-once; an empty table gives no row.
+once; an empty table gives no row; vectors whose inner products may pass 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -31,12 +31,15 @@ from coppice.llm.vectors import classes, common_length, expand, matrix, usable
 BITS = 6
 QUERIES = 2048
 SCALE = 256
+FINEST = float(1 << 54)  # the greatest size of a component whose integer fits in 63 bits
 
 
 def _pack_ints(df: DataFrame, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(flat) and np.abs(flat).max() > FINEST:
+                raise OverflowError(f"components above {FINEST:g} in size have no exact integers here")
             ints = np.floor(SCALE * flat.reshape(b.num_rows, dim)).astype("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ints], pa.binary())], names=["vec_id", "v"])
 
@@ -90,6 +93,9 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     members = classes(_pack_ints(good.select("vec_id", "x"), dim), k + 1)
     queries = settle(_pack_ints(good.filter("q").select("vec_id", "x"), dim).dropDuplicates(["vec_id"]))
     lo, hi = _edges(members, dim)
+    size = max(abs(int(lo.min())), abs(int(hi.max())))
+    if size * size * dim >= 1 << 63:
+        raise OverflowError("inner products of these vectors may not fit in 64 bits")
     first, last = cell_bounds(lo, hi)
     width = last[:, 0] - first[:, 0] + 1
 

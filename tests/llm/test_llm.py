@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -273,6 +274,22 @@ def test_mixing(spark):
     copies = mix.rows_with_copies()
     assert copies.count() == sum(r.taken // r["size"] for r in got if r["size"]) + copies.filter(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).count()
     assert set(docs.columns) <= set(copies.columns)
+    assert all(r.taken == r["size"] * len(r.shards) for r in got)
+    placed = Counter((r.doc_id, r._shard) for r in copies.select("doc_id", "_shard").collect())
+    assert placed == Counter((r.doc_id, s) for r in got for s in r.shards) and len({s for _, s in placed}) > 8
+
+
+def test_mixing_handles_hard_rows(spark):
+    """Null ids, texts and sources, a row forty times, one very long text and clashing columns."""
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(i, text[: 20 + i], "a", 1) for i in range(60)] + [(7, text, "b", 2)] * 40 + [(None, text, None, 3), (101, None, "a", 4), (102, "", None, 5), (103, "x " * 50_000, "c", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").withColumn("rank", F.lit(1)).withColumn("block", F.lit("x"))
+    mix = mixing.Mix(docs)
+    got = mix.digest().collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r["size"] and r.taken == r["size"] * len(r.shards) for r in got)
+    assert len({r.taken for r in got if r.doc_id == 7 and r["size"] == 30}) == 1  # repeated rows are taken alike
+    copies = mix.rows_with_copies()
+    assert [c for c in copies.columns if not c.startswith("_")] == docs.columns and copies.count() == sum(len(r.shards) for r in got)
 
 
 def test_hypergeometric(spark):
@@ -315,6 +332,14 @@ def vectors(spark, n=300, d=16):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string"), np.vstack([x, np.zeros((1, d))]), [*range(n), 1004]
 
 
+@pytest.mark.parametrize("big", [1e17, 1e8])
+def test_va_file_refuses_what_does_not_fit(spark, big):
+    """One component without an exact integer; products beyond 64 bits."""
+    df = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(20)] + [(20, [big, -big])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OverflowError|may not fit"):
+        va_file.search(df, F.col("vec_id") % 10 == 0, 3).count()
+
+
 def test_va_file_is_exact(spark):
     df, x, ids = vectors(spark)
     ints = np.floor(256 * x).astype(np.int64)
