@@ -40,7 +40,7 @@ def _fits(rows: DataFrame, configs: list[tuple], starts: int) -> dict[tuple, Cal
         if algo == "kmeans":
             return centers.kmeans_sweep(rows, ks, starts)
         if algo == "gmm":
-            return centers.gmm_sweep(rows, ks, min(starts, centers.GMM_STARTS))
+            return centers.gmm_sweep(rows, ks, min(starts, centers.GMM_STARTS)).drop("converged")
         if algo == "birch":
             return birch.birch(rows, ks)
         if algo == "spectral":
