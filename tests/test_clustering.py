@@ -404,3 +404,11 @@ def test_starts_on_fewer_points_than_centres(spark):
     x = np.array([[0.0, 0], [0, 0], [0, 0], [1, 1], [1, 1]])
     assert partition(ce.kmeans_sweep(points(spark, x), [2], 2)) == {frozenset([0, 1, 2]), frozenset([3, 4])}
     assert ce.kmeans_sweep(points(spark, x), [4], 2).count() == 5
+
+
+def test_sweep_joins_mixtures_and_gates_spectral(spark):
+    rows = points(spark, BLOBS[::4]).select(F.col("id").alias("item_id"), F.col("vec").alias("features"))
+    configs = [("gmm", None, 4), ("spectral", None, 4)]
+    for most, want in ((None, {"gmm", "spectral"}), (39, {"gmm"})):
+        got, failed = sweep.candidate_sweep(rows, configs, spectral_max=most, starts=1)
+        assert failed == [] and {r["algo"] for r in got.select("algo").distinct().collect()} == want
