@@ -210,3 +210,32 @@ def test_cluster_sizes_of_many_clusters(spark):
                 sizes[x] = sizes.get(x, 0) + 1
         want = [(x, n, round(n * 100 / 150, 1), i + 1) for i, (x, n) in enumerate(sorted(sizes.items(), key=lambda v: (-v[1], v[0])))]
         assert sorted([(r.cluster, r["size"], r.pct, r.size_rank) for r in got if r.config_id == c], key=lambda v: v[3]) == want
+
+
+@pytest.mark.parametrize("block, sums", [(7, 1), (16, 4096), (4096, 4096)])
+def test_silhouette_values_send_few_sums(spark, monkeypatch, block, sums):
+    """Blocks of any size and sums given away early, one-item clusters, a cluster a pair, rows without a label."""
+    monkeypatch.setattr(vm, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(vm, "SUMS_HELD", sums)
+    monkeypatch.setattr(vm, "FEW", 3)
+    x = np.random.default_rng(8).normal(size=(60, 3))
+    ways = {"alone": lambda i: i if i % 2 else -1, "pairs": lambda i: i // 2, "few": lambda i: i % 3, "some": lambda i: i % 4 if i < 40 else None, "one": lambda i: 0}
+    asg = spark.createDataFrame([(i, c, f(i)) for c, f in ways.items() for i in range(60) if f(i) is not None], "item_id long, config_id string, cluster int")
+    vec = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "item_id long, features array<double>")
+    out = vm.silhouette_values(vec, asg, 5)
+    assert "CoGroup" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["config_id"], r["item_id"]): r for r in out.collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for c, f in ways.items():
+        lab = [f(i) for i in range(60)]
+        for i in range(60):
+            if lab[i] is None:
+                assert (c, i) not in got
+                continue
+            to = {k: [d[i, j] for j in range(60) if j != i and lab[j] == k] for k in set(lab) - {None}}
+            a = np.mean(to[lab[i]]) if to[lab[i]] else 0.0
+            rest = [np.mean(v) for k, v in to.items() if k != lab[i]]
+            r = got[c, i]
+            assert r["a"] == pytest.approx(a, abs=1e-9)
+            assert (r["b"] is None) if not rest else r["b"] == pytest.approx(min(rest), abs=1e-9)
+            assert r["s"] == pytest.approx((min(rest) - a) / max(a, min(rest)) if rest and to[lab[i]] else 0.0, abs=1e-9)
