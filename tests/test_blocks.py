@@ -1,12 +1,14 @@
 """Rows against groups: the short list, the tiles and the cells give what a plain scan gives."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from coppice.operators import blocks as bl
 from coppice.operators import linkage as lk
 from coppice.operators import vector_metrics as vm
+from tests.conftest import points
 
 COSTS = {"euclidean": bl.EUCLIDEAN, "cosine": bl.COSINE, "ward": lk.WARD, "average": lk.AVERAGE, "davies": vm.DAVIES}
 
@@ -71,3 +73,12 @@ def test_cells_rule_out_most_groups(spark, monkeypatch):
     cells = bl._cells(groups, groups.groupBy("scope").agg(F.count("*").alias("_n")), bl.EUCLIDEAN)[1].count()
     bl.best_group(rows, groups, bl.EUCLIDEAN).collect()
     assert cells > 12 and met[0] == 400 and met[1] < 400 * (cells - 1) / 2
+
+
+def test_blocks_meet_without_a_shuffle_of_their_rows(spark):
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    rows = points(spark, x).withColumn("scope", (F.col("id") % 3).cast("int"))
+    got = bl.over_tiles(rows, rows, lambda lp, rp: pd.DataFrame({"id": lp["id"], "n": len(rp)}), "id long, n long", 16)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "hashpartitioning" not in plan
+    assert {r["id"]: r["n"] for r in got.groupBy("id").agg(F.sum("n").alias("n")).collect()} == {i: 100 for i in range(300)}
