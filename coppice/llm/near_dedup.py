@@ -151,16 +151,17 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _walk(records: DataFrame, threshold: float, trees: range | None, levels: int) -> DataFrame:
-    """record, s1, s2 at its nodes: from the roots of ``trees``, or from its column ``node``."""
+    """record, s1, s2 at its nodes: from the roots of ``trees``, or from those in its list ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for lo in range(0, big.num_rows, 4096):
-                b = big.slice(lo, 4096)
+            for lo in range(0, big.num_rows, 4096 if trees is not None else 256):
+                b = big.slice(lo, 4096 if trees is not None else 256)
                 sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, SIGNATURE)
                 row = np.arange(b.num_rows)
                 if trees is None:
-                    node = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    row = np.repeat(row, b.column(4).value_lengths().to_numpy())
+                    node = b.column(4).flatten().to_numpy().astype(np.int64).view(np.uint64)
                 else:
                     node = np.repeat(roots(trees), b.num_rows)
                     row = np.tile(row, len(trees))
@@ -346,7 +347,9 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
             links.compare_families(placed.select("node", "record", "pivot").join(many, "node"))
         elif deeper:
             crowded = placed.select("node", "record").join(many, "node")
-            act = _walk(crowded.join(records, "record"), threshold, None, STEP)
+            # one row a record, with its nodes, so that a signature is neither joined nor sent once a node
+            nodes = crowded.groupBy("record").agg(F.collect_set("node").alias("node"))
+            act = _walk(nodes.join(records, "record"), threshold, None, STEP)
             if depth == START:  # pairs that met in crowded nodes only get the trees that the deeper levels need
                 again = crowded.select("record").distinct().join(records, "record")
                 act = act.unionByName(_walk(again, threshold, range(trees_for(threshold), deep_trees(threshold)), START + STEP))

@@ -493,3 +493,34 @@ def test_pipeline_stages(spark, sf):
     assert mixed.columns == columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     packed = step["pack"](spark, mixed, sf)
     assert packed.filter("piece = 0").count() == mixed.count()
+
+
+def test_deep_walk_has_one_row_a_record(spark, monkeypatch):
+    """Records of crowded nodes walk on with the list of their nodes, not once a node with their signature each time."""
+    r = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):  # a crowd of texts that share most words but are not linked
+        words = list(base)
+        for k in r.choice(60, 6, replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    walk, rows_in = near_dedup._walk, []
+
+    def seen(df, threshold, trees, levels):
+        if trees is None:
+            rows_in.append((df.count(), df.select("record").distinct().count()))
+        return walk(df, threshold, trees, levels)
+
+    monkeypatch.setattr(near_dedup, "_walk", seen)
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, 100).collect()
+    assert rows_in and all(n == records for n, records in rows_in)
+    sets = [set(t.split()) for _, t in rows]
+    root = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(root))
