@@ -15,8 +15,9 @@ all, block against block: no limit drops a pair. Branching further parts similar
 records of such nodes walk down further trees from the root, as many as DEEPEST levels need for the
 same recall (``deep_trees``).
 
-Sketches settle most comparisons (a pair at the threshold passes but once in a million); every link
-is confirmed on the full sets. Only components matter, so a pair that already is in one component is
+Sketches settle most comparisons (a pair at the threshold passes but once in a million); below the first look
+records carry a map of their set's hashes too, which bounds the intersection, so that a crowd of sets just below the threshold
+makes few pairs and no link is lost. Every link is confirmed on the full sets. Only components matter, so a pair that already is in one component is
 not compared again, and no list of pairs of a group is made.
 
 Defined cases: null and empty texts have no shingle and no link; a text with fewer words than a
@@ -48,6 +49,8 @@ DEEPEST = 9
 BLOCK = 512
 SMALL = 16
 MISS = 1e-6
+#: Bits of the map of a set's hashes that records carry below the first look.
+MAP = 1024
 #: Sketch bits in which a pair at the threshold may differ, in standard deviations above the mean.
 SPREAD = 4.9
 
@@ -84,6 +87,20 @@ def sketch(sig: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(bits.tobytes(), "<i8").tolist())
 
 
+def bit_map(items: np.ndarray) -> list[int]:
+    """Which of MAP buckets the hashes of a set fall in, as signed 64-bit integers."""
+    bits = np.zeros(MAP, np.uint8)
+    bits[(items % np.uint64(MAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view("<i8").tolist()
+
+
+def _possible(x: Column, m: Column, y: Column, n: Column, parts: int, of: int) -> Column:
+    """False only for sets that cannot be linked: a bucket that one set alone uses holds an item that the other lacks."""
+    alone = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda k, c: k + c)
+    both = F.least(m - alone(x, y), n - alone(y, x))
+    return of * both >= parts * (m + n - both)
+
+
 def recall(similarity: float, share: float, levels: int) -> float:
     """The chance that a pair of that similarity is still together ``levels`` below the root."""
     two, r = 1 / share - 1, 1.0
@@ -132,7 +149,7 @@ def roots(trees: range) -> np.ndarray:
 
 
 def _described(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, record (the set's hash; null without words), n_shingles, sig, s1, s2 for every row."""
+    """doc_id, record (the set's hash; null without words), n_shingles, sig, s1, s2, bits for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -141,17 +158,22 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                 s = shingles(t, n)
                 if len(s):
                     sig = signature(s)
-                    rows.append((np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64).item(), len(s), sig.tobytes(), *sketch(sig)))
+                    rows.append((np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64).item(), len(s), sig.tobytes(), *sketch(sig), bit_map(s)))
                 else:
-                    rows.append((None, 0, None, None, None))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "record", "n_shingles", "sig", "s1", "s2"])
+                    rows.append((None, 0, None, None, None, None))
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "record", "n_shingles", "sig", "s1", "s2", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, record long, n_shingles long, sig binary, s1 long, s2 long")
+    return docs.mapInArrow(run, "doc_id long, record long, n_shingles long, sig binary, s1 long, s2 long, bits array<long>")
 
 
 def _walk(records: DataFrame, threshold: float, trees: range | None, levels: int) -> DataFrame:
-    """record, s1, s2 at its nodes: from the roots of ``trees``, or from those in its list ``node``."""
+    """record, s1, s2 at its nodes: from the roots of ``trees``, or from those in its list ``node``.
+
+    Below the first look also n_shingles and bits; few records go there.
+    """
+    more = ["n_shingles", "bits"] if levels > START or trees is None else []
+    carried = ["record", "s1", "s2", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -160,17 +182,17 @@ def _walk(records: DataFrame, threshold: float, trees: range | None, levels: int
                 sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, SIGNATURE)
                 row = np.arange(b.num_rows)
                 if trees is None:
-                    row = np.repeat(row, b.column(4).value_lengths().to_numpy())
-                    node = b.column(4).flatten().to_numpy().astype(np.int64).view(np.uint64)
+                    row = np.repeat(row, b.column("node").value_lengths().to_numpy())
+                    node = b.column("node").flatten().to_numpy().astype(np.int64).view(np.uint64)
                 else:
                     node = np.repeat(roots(trees), b.num_rows)
                     row = np.tile(row, len(trees))
                 node, row = extend(node, row, sig, threshold, levels)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column(0).take(at), b.column(2).take(at), b.column(3).take(at)], names=["node", "record", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *[b.column(c).take(at) for c in carried]], names=["node", *carried])
 
-    names = ["record", "sig", "s1", "s2"] + ([] if trees is not None else ["node"])
-    return records.select(*names).mapInArrow(run, "node long, record long, s1 long, s2 long").distinct()
+    names = ["record", "sig", "s1", "s2", *more] + ([] if trees is not None else ["node"])
+    return records.select(*names).mapInArrow(run, "node long, record long, s1 long, s2 long" + ", n_shingles long, bits array<long>" * bool(more)).distinct()
 
 
 class Links:
@@ -308,38 +330,43 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
     differ = SIGNATURE * (1 - threshold) / 2
     most = int(np.ceil(differ + SPREAD * np.sqrt(differ * (1 + threshold) / 2)))
     signed = settle(_described(docs, words))
-    records = settle(signed.filter("record is not null").dropDuplicates(["record"]).select("record", "sig", "s1", "s2"))
+    records = settle(signed.filter("record is not null").dropDuplicates(["record"]).select("record", "sig", "s1", "s2", "n_shingles", "bits"))
     described = settle(signed.select("doc_id", "record", "n_shingles"))
     discard(signed)
     links = Links(docs, described, words, parts, of)
     act, depth = settle(_walk(records, threshold, range(trees_for(threshold)), START)), START
-    rank = F.struct(F.xxhash64("record").alias("r"), "record", "s1", "s2")
     while True:
+        more = ["n_shingles", "bits"] if depth > START else []
+        rank = F.struct(F.xxhash64("record").alias("r"), "record", "s1", "s2", *more)
         nodes = act.groupBy("node").agg(F.count("*").alias("n"), F.min(rank).alias("p")).filter("n > 1")
-        members = settle(act.join(nodes, "node").select("node", "record", "s1", "s2", "n", F.col("p.record").alias("pivot"), F.col("p.r").alias("r"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")))
+        members = settle(act.join(nodes, "node").select("node", "record", "s1", "s2", *more, *[F.col(f"p.{c}").alias(f"p_{c}") for c in more], "n", F.col("p.record").alias("pivot"), F.col("p.r").alias("r"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")))
         discard(act)
         if depth == START:
             links.fetch(members)
         star = members.filter(F.col("record") != F.col("pivot")).filter(_far(F.col("s1"), F.col("s2"), F.col("p1"), F.col("p2")) <= most)
+        if more:
+            star = star.dropDuplicates(["record", "pivot"]).filter(_possible(F.col("bits"), F.col("n_shingles"), F.col("p_bits"), F.col("p_n_shingles"), parts, of))
         star = settle(star.select("record", "pivot", "r").distinct())
         one = star.groupBy("record").agg(F.min(F.struct("r", "pivot"))["pivot"].alias("b")).select(F.col("record").alias("a"), "b")
         if depth == START:  # one pivot for each record first: that alone joins most groups of near copies
             links.confirm(one)
         pairs = star.select(F.col("record").alias("a"), F.col("pivot").alias("b"))
-        placed = settle(links.of_record(links.of_record(members.select("node", "record", "s1", "s2", "n", "pivot"), "record", "c"), "pivot", "pc"))
+        placed = settle(links.of_record(links.of_record(members.select("node", "record", "s1", "s2", *more, "n", "pivot"), "record", "c"), "pivot", "pc"))
         discard(members)
         others = placed.groupBy("node").agg(F.sum((F.col("c") != F.col("pc")).cast("long")).alias("others"))
         few = others.filter(f"others > 0 and others <= {SMALL}")
         # the records outside the pivot's component meet all records of other components in the node
-        out = placed.filter("c <> pc").join(few, "node").select("node", F.col("record").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("c").alias("ca"))
-        met = out.join(placed.select("node", F.col("record").alias("b"), "s1", "s2", F.col("c").alias("cb")), "node")
+        out = placed.filter("c <> pc").join(few, "node").select("node", F.col("record").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), *[F.col(c).alias(f"a_{c}") for c in more], F.col("c").alias("ca"))
+        met = out.join(placed.select("node", F.col("record").alias("b"), "s1", "s2", *more, F.col("c").alias("cb")), "node")
         met = met.filter((F.col("ca") != F.col("cb")) & (_far(F.col("a1"), F.col("a2"), F.col("s1"), F.col("s2")) <= most))
+        if more:
+            met = met.filter(_possible(F.col("a_bits"), F.col("a_n_shingles"), F.col("bits"), F.col("n_shingles"), parts, of))
         met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(met).distinct()
-        more = links.of_record(links.of_record(more, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
+        left = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(met).distinct()
+        left = links.of_record(links.of_record(left, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
         if depth == START:
-            more = more.join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        links.confirm(more)
+            left = left.join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        links.confirm(left)
         discard(star)
         many = settle(others.filter(f"others > {SMALL}").select("node"))
         deeper, last = many.limit(1).count() > 0, depth >= DEEPEST

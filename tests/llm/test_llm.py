@@ -524,3 +524,18 @@ def test_deep_walk_has_one_row_a_record(spark, monkeypatch):
                 a, b = root[i], root[j]
                 root = [min(a, b) if x in (a, b) else x for x in root]
     assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(root))
+
+
+def test_bit_maps_drop_no_link(spark):
+    """The bound from the maps keeps every pair that is linked, and drops most of a crowd just below the threshold."""
+    r, rows = np.random.default_rng(2), []
+    for n, share in [(1, 1.0), (3, 0.7), (90, 0.72), (90, 0.9), (700, 0.7), (5000, 0.86)]:
+        for _ in range(40):
+            x = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            y = np.where(r.random(n) < 2 * share / (1 + share), x, r.integers(0, 1 << 63, n, dtype=np.uint64))
+            x, y = np.unique(x), np.unique(y)
+            rows.append((near_dedup.bit_map(x), len(x), near_dedup.bit_map(y), len(y), bool(near_dedup.similar(x, y, 85, 100)), n))
+    df = spark.createDataFrame(rows, "x array<long>, m long, y array<long>, n long, linked boolean, size long")
+    got = df.withColumn("kept", near_dedup._possible(F.col("x"), F.col("m"), F.col("y"), F.col("n"), 85, 100)).collect()
+    assert any(g["linked"] for g in got) and all(g["kept"] for g in got if g["linked"])
+    assert sum(g["kept"] for g in got if g["size"] == 90 and not g["linked"]) < 0.3 * sum(g["size"] == 90 and not g["linked"] for g in got)
