@@ -95,6 +95,40 @@ def test_linkage_of_copies(spark, monkeypatch, method):
     assert len(rounds) < 10
 
 
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_long_tail_takes_the_least_merge_each_time(spark, monkeypatch, method):
+    """Whole-number points, many equal costs, more groups than the rounds used to leave; no round is needed."""
+    r = np.random.default_rng(9)
+    x = r.integers(-3, 4, (700, 5)).astype(float)
+    x[np.abs(x).sum(1) == 0] = 1.0
+    monkeypatch.setattr(lk, "_mutual_pairs", lambda near: pytest.fail("a round"))
+    got = lk.agglomerative(points(spark, x[:90]), method, [3, 9])
+    assert [len(partition(got, k=k)) for k in (3, 9)] == [3, 9]
+    y = r.normal(size=(700, 4))
+    steps = lk.dendrogram(points(spark, y), method).toPandas()
+    assert len(steps) == 2 * 699 and steps["up"].nunique() == 699
+    monkeypatch.undo()
+    few = lk.agglomerative(points(spark, y[:70]), method, [4])
+    assert partition(few, k=4) == greedy(y[:70], method, 4)
+
+
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_rounds_in_plain_tiles_equal_the_tail(spark, monkeypatch, method):
+    """Cells that rule nothing out are given up: later rounds meet all groups in one product, with equal merges."""
+    x = np.random.default_rng(8).normal(size=(90, 24))
+    df = points(spark, x)
+    want = {m[:3] for m in merges(lk.dendrogram(df, method))}
+    made = []
+    cells = bl._cells
+    monkeypatch.setattr(lk, "SUMMARY_TAIL", 40)
+    monkeypatch.setattr(bl, "GROUP_BLOCK", 20)
+    monkeypatch.setattr(bl, "CELL_GROUPS", 25)
+    monkeypatch.setattr(bl, "TILE_ROWS", 30)
+    monkeypatch.setattr(bl, "_cells", lambda *a: made.append(1) or cells(*a))
+    assert {m[:3] for m in merges(lk.dendrogram(df, method))} == want
+    assert len(made) == 1
+
+
 def test_linkage_scopes_do_not_mix(spark):
     x = np.random.default_rng(3).normal(size=(40, 4))
     two = points(spark, x).withColumn("scope", (F.col("id") % 2).cast("int"))
