@@ -9,9 +9,12 @@ names. Two records of similarity J stay together on each pick with probability J
 meet again and again, others part. The number of independent trees follows from the recall wanted
 at the threshold (MISS). Nodes with few records (SMALL) compare all of theirs. In a larger node
 every record is first compared with one pivot; what is then in the pivot's component needs no more
-comparison inside it, so only the others meet the node's records, if they are few. Otherwise the node
-branches further, at most to DEEPEST; records that are still together there are compared all with
-all, block against block: no limit drops a pair. Branching further parts similar records too, so the
+comparison inside it, so only the others meet the node's records, if they are few. Otherwise the node's
+records belong to a family, with those of all crowded nodes that share a record. A family of more than one block
+and at most WHOLE of them is compared all with all, block against block, since that sends fewer rows than walking on; its
+tasks take exact intersections as matrix products. In other families the node
+branches further, at most to DEEPEST; records that are still together there are compared in the same way, however many:
+no limit drops a pair. Branching further parts similar records too, so the
 records of such nodes walk down further trees from the root, as many as DEEPEST levels need for the
 same recall (``deep_trees``).
 
@@ -47,6 +50,13 @@ STEP = 3  # levels between looks
 DEEPEST = 9
 #: Records of a family that a task compares with as many others.
 BLOCK = 512
+#: Blocks of a family that is compared whole instead of walking on, and the shingles that one of its records may send for that.
+WHOLE = 16
+SENT = 8192
+#: Shingles, columns of a matrix, that are counted at a time.
+COLUMNS = 4096
+#: Shingles, about, of either side of such a count.
+HELD = 1 << 20
 SMALL = 16
 MISS = 1e-6
 #: Bits of the map of a set's hashes that records carry below the first look.
@@ -256,13 +266,17 @@ class Links:
         discard(found, old)
 
     def compare_families(self, members: DataFrame) -> None:
-        """Records that share nodes which do not part them (record, pivot): all of a family, block against block.
+        """Records that share nodes which do not part them (record, pivot): all of a family, block against block."""
+        self.compare_whole(family := family_of(members))
+        discard(family)
+
+    def compare_whole(self, family: DataFrame) -> None:
+        """Families (node: a record, component: its family), all of each, block against block.
 
         A task holds two blocks of at most about BLOCK records and gives back only links that join
         two components, so a family of any size is compared whole without a list of its pairs.
         """
-        family = components(members.select(F.col("record").alias("a"), F.col("pivot").alias("b")))
-        blocks = family.groupBy("component").agg((F.floor((F.count("*") - 1) / BLOCK) + 1).alias("blocks"))
+        blocks = settle(family.groupBy("component").agg(_blocks().alias("blocks")))
         placed = family.join(blocks, "component").select(F.col("node").alias("record"), F.col("component").alias("family"), "blocks")
         placed = self.of_record(placed.withColumn("block", F.pmod(F.xxhash64("record"), F.col("blocks"))), "record", "c")
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -274,7 +288,7 @@ class Links:
 
         read = self.sets(family.select(F.col("node").alias("record")))
         self.add(settle(placed.join(read, "record").groupBy("family", "lo", "hi").applyInPandas(meet, "a long, b long")))
-        discard(read, family)
+        discard(read, blocks)
 
     def clear(self) -> None:
         """Delete the tables behind the links."""
@@ -289,30 +303,67 @@ def similar(x: np.ndarray, y: np.ndarray, parts: int, of: int) -> bool:
     return of * both >= parts * (len(x) + len(y) - both)
 
 
+def _blocks() -> Column:
+    return F.floor((F.count("*") - 1) / BLOCK) + 1
+
+
+def family_of(members: DataFrame) -> DataFrame:
+    """Rows of record and pivot to node (a record) and component (its family)."""
+    return components(members.select(F.col("record").alias("a"), F.col("pivot").alias("b")))
+
+
+def shared_sizes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of every set of ``x`` with every one of ``y``."""
+    flat = [np.concatenate(z) if z else np.zeros(0, np.uint64) for z in (x, y)]
+    row = [np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y)]
+    common = np.intersect1d(*flat)
+    out = np.zeros((len(x), len(y)))
+    at = [np.searchsorted(common, z) for z in flat]
+    known = [np.flatnonzero(common[np.minimum(a, len(common) - 1)] == z) if len(common) else np.zeros(0, np.int64) for a, z in zip(at, flat)]
+    at, row = [a[k] for a, k in zip(at, known)], [r[k] for r, k in zip(row, known)]
+    for lo in range(0, len(common), COLUMNS):
+        both = []
+        for a, r, z in zip(at, row, (x, y)):
+            use = (a >= lo) & (a < lo + COLUMNS)
+            m = np.zeros((len(z), min(COLUMNS, len(common) - lo)), np.float32)
+            m[r[use], a[use] - lo] = 1
+            both.append(m)
+        out += both[0] @ both[1].T
+    return out.astype(np.int64)
+
+
+def _pieces(rows: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Rows cut where their sets get long; a block of short ones stays whole."""
+    return np.split(rows, np.flatnonzero(np.diff(np.cumsum(size[rows]) // HELD)) + 1)
+
+
 def block_links(names: list[int], items: list[bytes], known: list[int], block: np.ndarray, parts: int, of: int) -> list[tuple[int, int]]:
     """Links that join components, among the records of one block or between two."""
-    sets = [np.frombuffer(x, np.uint64) for x in items]
-    sigs = np.array([signature(x) for x in sets])
-    need = parts / of - SPREAD * np.sqrt(parts / of * (1 - parts / of) / SIGNATURE)
-    root = {c: c for c in known}
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    out, two = [], block.min() != block.max()
-    for i in range(len(names)):
-        rest = np.flatnonzero(block > block[i]) if two else np.arange(i + 1, len(names))
-        if not len(rest):
-            continue
-        near = rest[(sigs[rest] == sigs[i]).mean(axis=1) >= need]
-        for j in near.tolist():
-            a, b = find(known[i]), find(known[j])
-            if a != b and similar(sets[i], sets[j], parts, of):
-                root[b] = a
-                out.append((names[i], names[j]))
+    sets, c = [np.frombuffer(x, np.uint64) for x in items], np.asarray(known, np.int64)
+    two = block.min() != block.max()
+    left, right = (np.flatnonzero(block == b) for b in ((block.min(), block.max())))
+    size = np.array([len(x) for x in sets], np.int64)
+    root = {k: k for k in known}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for i in _pieces(left, size):
+        for j in _pieces(right, size):
+            both = shared_sizes([sets[k] for k in i], [sets[k] for k in j])
+            ok = (of * both >= parts * (size[i][:, None] + size[j][None, :] - both)) & (c[i][:, None] != c[j][None, :])
+            if not two:
+                ok &= i[:, None] < j[None, :]
+            for p, q in np.argwhere(ok).tolist():
+                p, q = int(i[p]), int(j[q])
+                a, b = find(known[p]), find(known[q])
+                if a != b:
+                    root[b] = a
+                    out.append((names[p], names[q]))
     return out
 
 
@@ -373,7 +424,20 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
         if deeper and last:
             links.compare_families(placed.select("node", "record", "pivot").join(many, "node"))
         elif deeper:
-            crowded = placed.select("node", "record").join(many, "node")
+            crowded = settle(placed.select("node", "record", "pivot").join(many, "node"))
+            family = family_of(crowded)
+            sizes = family.join(records.select(F.col("record").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("n"), _blocks().alias("blocks"), F.sum("n_shingles").alias("held"))
+            whole = settle(sizes.filter((F.col("n") > BLOCK) & (F.col("blocks") <= WHOLE) & (F.col("blocks") * F.col("held") <= SENT * F.col("n"))).select("component"))
+            if whole.limit(1).count():
+                whole_families = settle(family.join(whole, "component").select("node", "component"))
+                links.compare_whole(whole_families)
+                rest = settle(crowded.join(whole_families.select(F.col("node").alias("record")), "record", "left_anti").select("node", "record", "pivot"))
+                discard(crowded, whole_families)
+                crowded = rest
+            discard(family, whole)
+            if not crowded.limit(1).count():
+                discard(crowded, placed, many)
+                break
             # one row a record, with its nodes, so that a signature is neither joined nor sent once a node
             nodes = crowded.groupBy("record").agg(F.collect_set("node").alias("node"))
             act = _walk(nodes.join(records, "record"), threshold, None, STEP)
@@ -382,6 +446,7 @@ def link_components(docs: DataFrame, words: int = 3, parts: int = 85, of: int =
                 act = act.unionByName(_walk(again, threshold, range(trees_for(threshold), deep_trees(threshold)), START + STEP))
             act = settle(act)
             depth += STEP
+            discard(crowded)
         discard(placed, many)
         if last or not deeper:
             break

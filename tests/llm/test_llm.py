@@ -539,3 +539,35 @@ def test_bit_maps_drop_no_link(spark):
     got = df.withColumn("kept", near_dedup._possible(F.col("x"), F.col("m"), F.col("y"), F.col("n"), 85, 100)).collect()
     assert any(g["linked"] for g in got) and all(g["kept"] for g in got if g["linked"])
     assert sum(g["kept"] for g in got if g["size"] == 90 and not g["linked"]) < 0.3 * sum(g["size"] == 90 and not g["linked"] for g in got)
+
+
+def test_crowds_of_some_blocks_are_compared_whole(spark, monkeypatch):
+    """A crowd of a few blocks makes no deeper walk, whose rows are some hundred a record; links are exact."""
+    r = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for k in r.choice(60, 6, replace=False):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+        rows.append((1000 + i, " ".join([*words, "x"] if i % 3 else [*words[:50], *(f"y{i}_{k}" for k in range(10))])))
+    walk, walked = near_dedup._walk, []
+    monkeypatch.setattr(near_dedup, "_walk", lambda df, threshold, trees, levels: walked.append(trees) or walk(df, threshold, trees, levels))
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, 100).collect()
+    assert walked == [range(near_dedup.trees_for(0.85))]
+    want = brute_components(rows, 1, 85, 100)
+    assert len({c for _, c in want.values()}) > 100
+    assert all((x.n_shingles, x.component_id) == want[x.doc_id] for x in got)
+
+
+def test_shared_sizes():
+    """Intersections as matrix products, across pieces of columns and with sets that share nothing."""
+    r = np.random.default_rng(13)
+    sets = [np.unique(r.integers(0, 9000, r.integers(1, 3000)).astype(np.uint64)) for _ in range(20)] + [np.array([10_000], np.uint64)]
+    got = near_dedup.shared_sizes(sets, sets[5:])
+    assert got.shape == (21, 16) and near_dedup.COLUMNS < 9000
+    assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets[5:]))
+    assert near_dedup.shared_sizes(sets[20:], sets[:3]).tolist() == [[0, 0, 0]]
