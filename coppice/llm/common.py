@@ -82,16 +82,16 @@ def ready(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about SLICE_BYTES of text, however long the texts are."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about ``most`` bytes of text, however long the texts are."""
     for b in batches:
         col = b.column(b.schema.get_field_index(text))
         size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        if size.sum() <= SLICE_BYTES:
+        if size.sum() <= most:
             if b.num_rows:
                 yield b
             continue
-        group = np.cumsum(size) // SLICE_BYTES
+        group = np.cumsum(size) // most
         bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(bounds, bounds[1:]):
             if hi > lo:

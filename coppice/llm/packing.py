@@ -24,16 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coppice.llm.common import keyed, ready, settle, slices
-from coppice.llm.tokens import encoder
+from coppice.llm.common import SLICE_BYTES, keyed, ready, settle, slices
+from coppice.llm.tokens import REMEMBER, encoder
 
 #: Pieces packed together in one task.
 GROUP = 16_384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, kind: str = "word", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every text: ids by the tokenizer, then ``end_id``, cut every ``capacity`` ids."""
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, kind: str = "word", id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBER, at_once: int = SLICE_BYTES) -> DataFrame:
+    """The pieces of every text: ids by the tokenizer, then ``end_id``, cut every ``capacity`` ids.
+
+    A worker keeps about twice ``remember`` bytes of words with their ids and handles ``at_once`` bytes of text at a time.
+    """
     spark = docs.sparkSession
     ready(spark)
     js = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
@@ -41,8 +44,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(js.value, kind)
-        for b in slices(batches):
+        enc = encoder(js.value, kind, remember)
+        for b in slices(batches, most=at_once):
             rows: list[tuple] = []
             for name, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
                 ids += end

@@ -35,7 +35,8 @@ def byte_letters() -> str:
 class Memory:
     """Ids by piece, in two generations."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = REMEMBER) -> None:
+        self.most = most
         self.young: dict[str | bytes, bytes | None] = {}
         self.old: dict[str | bytes, bytes | None] = {}
         self.size = 0
@@ -46,7 +47,7 @@ class Memory:
 
     def missing(self, pieces: Iterable) -> list:
         """Pieces to learn; known ones are in the young generation afterwards."""
-        if self.size > REMEMBER:
+        if self.size > self.most:
             self.old, self.young, self.size = self.young, {}, 0
         out = []
         for p in pieces:
@@ -61,7 +62,7 @@ class Memory:
 class Encoder:
     """``kind`` is "word" (white space is dropped) or "byte" (a blank belongs to the next word)."""
 
-    def __init__(self, json_text: str, kind: str):
+    def __init__(self, json_text: str, kind: str, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -70,7 +71,7 @@ class Encoder:
         self.markers = [t["content"] for t in json.loads(json_text)["added_tokens"]]
         self.letters = byte_letters()
         self.ends = dict(zip((",", "."), self._raw([",", "."])))
-        self.first, self.next = Memory(), Memory()
+        self.first, self.next = Memory(remember), Memory(remember)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -129,12 +130,12 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(json_text: str, kind: str) -> Encoder:
+def encoder(json_text: str, kind: str, remember: int = REMEMBER) -> Encoder:
     """One encoder for each worker process and tokenizer; what it remembers serves later tasks."""
-    key = (kind, hash(json_text))
+    key = (kind, hash(json_text), remember)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(json_text, kind)
+        _ENCODERS[key] = Encoder(json_text, kind, remember)
     return _ENCODERS[key]

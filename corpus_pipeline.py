@@ -18,6 +18,9 @@ from coppice.llm.common import settle, table
 QUALITY = 0.3
 #: Near-duplicates share ``PARTS`` of ``OF`` of their shingles of ``WORDS`` words.
 WORDS, PARTS, OF = 5, 80, 100
+#: Bytes of words with their ids that a worker of the last stage keeps (about twice), and of text that it handles at a time:
+#: it comes after four stages that leave the executor's heap at its full size.
+REMEMBER, AT_ONCE = 24 << 20, 2 << 20
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their place in sequences of 4096."""
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remember=REMEMBER, at_once=AT_ONCE))
 
 
 STAGES = [

@@ -43,3 +43,24 @@ def test_classifiers_take_a_bounded_number_of_rows(spark, monkeypatch):
     toxicity.fit(docs, labels, ["quality", "toxic"], sample=10)
     toxicity.fit(docs, labels, ["quality", "toxic"])
     assert got == [(10, (10, 2)), (59, (59, 2))]
+
+
+def test_small_memory_gives_the_same_pieces(spark):
+    """A worker that may keep few words forgets in time, handles small slices and gives equal rows."""
+    import random
+
+    import public_tokenizers
+
+    from coppice.llm import packing, tokens
+
+    r = random.Random(5)
+    rows = [(i, " ".join(f"word{r.randrange(4000)}" for _ in range(300))) for i in range(120)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = packing.token_pieces(docs, path).collect()
+    assert sorted(packing.token_pieces(docs, path, remember=20_000, at_once=5_000).collect()) == sorted(want)
+    enc = tokens.Encoder(open(path, encoding="utf-8").read(), "word", 20_000)
+    for _, text in rows:
+        enc.encode([text])
+        held = sum(tokens.ENTRY + len(p) + len(ids) for p, ids in enc.first.young.items())
+        assert held == enc.first.size < 20_000 + 300 * 220 and len(enc.first.old) < 600
