@@ -446,3 +446,37 @@ def test_sweep_joins_mixtures_and_gates_spectral(spark):
     for most, want in ((None, {"gmm", "spectral"}), (39, {"gmm"})):
         got, failed = sweep.candidate_sweep(rows, configs, spectral_max=most, starts=1)
         assert failed == [] and {r["algo"] for r in got.select("algo").distinct().collect()} == want
+
+
+def _united_one_by_one(parts, radius, most):
+    """Every part measured against every feature; the radius grows after a whole pass."""
+    while True:
+        n, total, squares, names, into = [], [], [], [], {}
+        for name, k, t, sq in parts:
+            c = int(((np.array([x / m for x, m in zip(total, n)]) - t / k) ** 2).sum(axis=1).argmin()) if n else -1
+            if n:
+                mean = (total[c] + t) / (n[c] + k)
+                if max((squares[c] + sq) / (n[c] + k) - mean @ mean, 0.0) <= radius * radius:
+                    n[c], total[c], squares[c], into[name] = n[c] + k, total[c] + t, squares[c] + sq, names[c]
+                    continue
+            n, total, squares, names, into[name] = [*n, k], [*total, t], [*squares, sq], [*names, name], name
+        if len(n) <= most:
+            return n, names, into, radius
+        radius *= bi.GROWTH
+
+
+def test_features_unite_without_measuring_all(monkeypatch):
+    """Lists unite as if every part met every feature, but few features a part are measured one by one."""
+    r = np.random.default_rng(7)
+    take, measured = bi.Features._take, []
+    monkeypatch.setattr(bi.Features, "_take", lambda self, part, v, near: measured.append(len(near)) or take(self, part, v, near))
+    blobs = r.normal(size=(30, 6))[r.integers(0, 30, 700)] + 0.1 * r.normal(size=(700, 6))
+    for x, radius, most in ((blobs, 0.3, 1 << 15), (r.integers(0, 5, (700, 3)).astype(float), 0.6, 1 << 15), (r.normal(size=(900, 16)), 0.5, 1 << 15), (r.normal(size=(600, 3)), 0.2, 90)):
+        parts = [(i, 1.0, v, float(v @ v)) for i, v in enumerate(x)]
+        got, into = bi.unite(parts, x.shape[1], radius, most)
+        n, names, want, grown = _united_one_by_one(parts, radius, most)
+        assert into == want and got.names == names and got.n[: got.m].tolist() == n and got.radius == grown
+        assert np.mean(measured) <= bi.AT_ONCE
+        measured.clear()
+    parts = [(i, 1.0, v, float(v @ v)) for i, v in enumerate(10 * r.normal(size=(2000, 4)))]
+    assert bi.Features(4, 0.1).absorb(parts, 50) is None and len(measured) <= 50 + bi.AT_ONCE
