@@ -29,6 +29,25 @@ def test_ids_are_the_library_s(name, kind, monkeypatch):
     assert small.first.size < 20_000 + 250 * 5 * 400
 
 
+def test_clauses_do_without_the_whole_tokenizer():
+    """Words with marks and line ends are put together from their parts, as the library gives them."""
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(1)
+    words = ["The", "wörd", "ÉTÉ", "don't", "s", "x1", "²", "日本", "ª", "a_b", "snake_", "t"]
+    marks = [".", ",", "", "!!", "$$$", ".***", "'", "'s", "...", "_", "!!!!!", "…", "\t", "\r"]
+    ends = ["", "\n", "\n\n", "\r\n", "\n'"]
+    pieces = ["".join(str(r.choice(x)) for x in (words, marks, ends, words, marks)) for _ in range(4000)]
+    texts = [" ".join(r.choice(pieces, 6)) for _ in range(2000)]
+    enc = tokens.Encoder(open(path).read(), "byte")
+    assert enc.encode(texts) == library(path, texts)
+    asked, raw = [], enc._raw
+    enc._raw = lambda t: asked.extend(t) or raw(t)
+    plain = ["he said xyzzy.\nNext$$$ plugh,!! end..."]
+    assert enc.encode(plain) == library(path, plain)
+    assert all(not any(c.isalpha() for c in t) for t in asked)
+    held = sum(tokens.ENTRY + len(p) + len(ids or b"") for p, ids in enc.next.young.items())
+    assert held == enc.next.size
+
+
 def test_classifiers_take_a_bounded_number_of_rows(spark, monkeypatch):
     """Most rows share one id: few of them are sent."""
     rows = [(1, f"one id and many texts {i}") for i in range(3000)] + [(i, f"text number {i} is here") for i in range(2, 60)]
