@@ -1,7 +1,11 @@
 """Clusterings against brute force on small fixtures, and their invariants."""
 
+from pathlib import Path
+from urllib.parse import unquote, urlparse
+
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from coppice import settings as cfg
@@ -229,6 +233,24 @@ def test_spectral_says_when_the_tolerance_is_out_of_reach(spark):
     assert sp.embedding(points(spark, x).limit(0), 4).count() == 0
 
 
+def test_spectral_writes_no_square_of_the_items(spark, monkeypatch):
+    """The largest table of a run is the basis; the affinities of 1,500 items would be 9 MB."""
+    x = np.random.default_rng(3).normal(size=(1500, 4))
+    made, sizes = sp.cut, []
+
+    def watched(df):
+        out = made(df)
+        sizes.append(sum(Path(unquote(urlparse(f).path)).stat().st_size for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(sp, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(sp, "cut", watched)
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", lambda *a, **k: pytest.fail("a stored affinity"))
+    got = sp.embedding(points(spark, x), 2, gamma=0.02).toPandas()
+    assert len(got) == 1500 and got["residual"].max() <= sp.TOLERANCE
+    assert max(sizes) < 1500 * 2 * sp.BASIS_BLOCKS * 12 * 8 < 1500**2 * 2
+
+
 @pytest.mark.parametrize("small", [1 << 16, 10])
 def test_density_clusters_and_noise(spark, monkeypatch, small):
     monkeypatch.setattr(mt, "UNIT_EDGES", small)
