@@ -133,6 +133,21 @@ def test_rounds_in_plain_tiles_equal_the_tail(spark, monkeypatch, method):
     assert len(made) == 1
 
 
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_rounds_of_few_groups_do_not_try_cells(spark, monkeypatch, method):
+    """Two scopes, tied data; cells would have been made and given up or not, with equal merges."""
+    x = np.random.default_rng(12).integers(-4, 5, (70, 6)).astype(float)
+    x[np.abs(x).sum(1) == 0] = 1.0
+    df = points(spark, x).withColumn("scope", (F.col("id") % 9 == 0).cast("int"))
+    want = {m[:3] for m in merges(lk.dendrogram(df, method))}
+    monkeypatch.setattr(lk, "SUMMARY_TAIL", 30)
+    monkeypatch.setattr(bl, "GROUP_BLOCK", 20)
+    monkeypatch.setattr(bl, "CELL_GROUPS", 10)
+    monkeypatch.setattr(bl, "TILE_ROWS", 30)
+    monkeypatch.setattr(bl, "_cells", lambda *a: pytest.fail("cells"))
+    assert {m[:3] for m in merges(lk.dendrogram(df, method))} == want
+
+
 def test_linkage_scopes_do_not_mix(spark):
     x = np.random.default_rng(3).normal(size=(40, 4))
     two = points(spark, x).withColumn("scope", (F.col("id") % 2).cast("int"))
