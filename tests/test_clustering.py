@@ -485,6 +485,15 @@ def test_sweep_joins_mixtures_and_gates_spectral(spark):
         assert failed == [] and {r["algo"] for r in got.select("algo").distinct().collect()} == want
 
 
+def test_sweep_fits_spectral_whatever_the_size(spark):
+    """A scope above and one below the 200 items that used to decide about spectral clustering."""
+    x = np.vstack([BLOBS, BLOBS + 0.01])
+    rows = points(spark, x).select(F.col("id").alias("item_id"), F.col("vec").alias("features"), (F.col("id") >= 240).cast("int").alias("scope"))
+    got, failed = sweep.candidate_sweep(rows, [("kmeans", None, 2), ("spectral", None, 2)], starts=1)
+    sizes = {(r["scope"], r["algo"]): r["count"] for r in got.groupBy("scope", "algo").count().collect()}
+    assert failed == [] and sizes == {(s, a): n for s, n in ((0, 240), (1, 80)) for a in ("kmeans", "spectral")}
+
+
 def _united_one_by_one(parts, radius, most):
     """Every part measured against every feature; the radius grows after a whole pass."""
     while True:
