@@ -148,6 +148,53 @@ def test_rounds_of_few_groups_do_not_try_cells(spark, monkeypatch, method):
     assert {m[:3] for m in merges(lk.dendrogram(df, method))} == want
 
 
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_rounds_of_a_task_take_the_same_merges(spark, monkeypatch, method):
+    """Tied data, copies, two scopes: rounds on summaries inside the task merge what the task merges one by one."""
+    x = np.random.default_rng(13).integers(-3, 4, (160, 4)).astype(float)
+    x[np.abs(x).sum(1) == 0] = 1.0
+    df = points(spark, x).withColumn("scope", (F.col("id") % 7 == 0).cast("int"))
+    want = {m[:3] for m in merges(lk.dendrogram(df, method))}
+    monkeypatch.setattr(lk, "SQUARE_TAIL", 6)
+    assert {m[:3] for m in merges(lk.dendrogram(df, method))} == want and len(want) == 2 * (160 - 2)
+
+
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_rounds_of_a_task_look_again_only_where_needed(monkeypatch, method):
+    """Many equal costs, weights, blocks of few rows and columns; every group against every group in each round gives the same."""
+    monkeypatch.setattr(lk, "TAIL_ROWS", 7)
+    monkeypatch.setattr(lk, "TAIL_COLUMNS", 13)
+    r = np.random.default_rng(3)
+    for case in range(6):
+        x = np.unique(r.integers(-2, 3, (120, 3)).astype(float), axis=0) if case % 2 else r.normal(size=(120, 4))
+        x = x[np.abs(x).sum(1) > 0]
+        if method == "average":
+            x = np.unique(np.round(x / np.linalg.norm(x, axis=1, keepdims=True), 12), axis=0)
+        size, names, n = r.integers(1, 4, len(x)).astype(float), np.arange(len(x)), len(x)
+        got = lk._rounds(x.copy(), size.copy(), names.copy(), method, 2, n)[3]
+        want, cost = [], lk.WARD if method == "ward" else lk.AVERAGE
+        while len(x) > 2:
+            d = cost.value(x, size[:, None], x, size[None, :])
+            np.fill_diagonal(d, np.inf)
+            i, at = np.arange(len(x)), d.argmin(1)
+            a = i[(at[at] == i) & (i < at)]
+            if not len(a):
+                _, a, b = min((d[k, at[k]], min(k, at[k]), max(k, at[k])) for k in i)
+                a, at[a] = np.array([a]), b
+            b, up, both = at[a], names[a] + n, size[a] + size[at[a]]
+            want += [(p, u) for part in (a, b) for p, u in zip(names[part], up)]
+            x[a] = (x[a] * size[a][:, None] + x[b] * size[b][:, None]) / both[:, None]
+            size[a], names[a] = both, up
+            x, size, names = (np.delete(v, b, axis=0) for v in (x, size, names))
+        assert [m[:2] for m in got] == want
+
+
+def test_thousands_of_groups_need_no_round_of_jobs(spark, monkeypatch):
+    monkeypatch.setattr(lk, "_mutual_pairs", lambda near: pytest.fail("a round"))
+    x = np.random.default_rng(4).normal(size=(4300, 3))
+    assert lk.dendrogram(points(spark, x), "ward").count() == 2 * 4299
+
+
 def test_linkage_scopes_do_not_mix(spark):
     x = np.random.default_rng(3).normal(size=(40, 4))
     two = points(spark, x).withColumn("scope", (F.col("id") % 2).cast("int"))
