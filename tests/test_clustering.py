@@ -343,6 +343,17 @@ def test_spanning_tree_weight(spark):
         assert got[j][0] == 69 and got[j][1] == pytest.approx(total, abs=1e-6)
 
 
+def test_few_items_look_again_for_their_edge(spark, monkeypatch):
+    """Two scopes, one of them finished early and too small for a size: after two passes an item looks again only where its edge has come to lie inside."""
+    looked, outside = [], de._outside
+    monkeypatch.setattr(de, "_outside", lambda looking, state, n: looked.append(looking.count()) or outside(looking, state, n))
+    x = np.random.default_rng(10).normal(size=(400, 6))
+    rows = points(spark, x).withColumn("scope", (F.col("id") >= 397).cast("int"))
+    got = {(r["scope"], r["j"]): r["n"] for r in de.spanning_tree(rows, [2, 4]).groupBy("scope", "j").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, 0): 396, (0, 1): 396, (1, 0): 2}
+    assert looked[:2] == [400, 397] and sum(looked[2:]) < 300
+
+
 def test_all_noise_is_left_out(spark):
     x = np.random.default_rng(0).normal(size=(12, 2))
     df = points(spark, x)
